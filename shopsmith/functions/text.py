@@ -28,9 +28,15 @@ def _is_blank(c: Column) -> Column:
 _RUNS = r"([\p{Lu}\p{Ll}\p{Lt}]+|[^\p{Lu}\p{Ll}\p{Lt}]+)"
 
 
+def _title_first(ch: Column) -> Column:
+    # title-case mapping differs from upper-case for the sharp s
+    return F.when(ch == "ß", F.lit("Ss")).otherwise(F.upper(ch))
+
+
 def title_case(c: ColumnOrName) -> Column:
     runs = F.regexp_extract_all(F.lower(_c(c)), F.lit(_RUNS), 1)
-    return F.array_join(F.transform(runs, lambda p: F.concat(F.upper(F.left(p, F.lit(1))), F.substring(p, 2, 1 << 30))), "")
+    return F.array_join(F.transform(
+        runs, lambda p: F.concat(_title_first(F.left(p, F.lit(1))), F.substring(p, 2, 1 << 30))), "")
 
 
 def normalize_category_name(c: ColumnOrName) -> Column:
