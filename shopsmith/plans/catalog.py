@@ -12,6 +12,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from ..sources.fixtures import CatalogInputs
 from ..operators import tree as T
 from ..operators import products as P
@@ -32,22 +33,24 @@ class Catalog:
             _CACHE[key] = cls(spark, sf_dir)
         return _CACHE[key]
 
-    @property
+    @cached_property
     def records(self) -> DataFrame:
-        return self.inputs.records
+        # the nested records feed every stage: materialise them once
+        return cut_lineage(self.inputs.records)
 
     @cached_property
     def tree(self) -> DataFrame:
-        return T.build_category_tree(self.records, self.inputs.existing_categories)
+        return cut_lineage(T.build_category_tree(self.records, self.inputs.existing_categories))
 
     @cached_property
     def brands(self) -> DataFrame:
-        return T.build_brand_dim(self.records, self.inputs.existing_brands)
+        return cut_lineage(T.build_brand_dim(self.records, self.inputs.existing_brands))
 
     @cached_property
     def _products(self):
         max_id = self.inputs.existing_products.agg(F.coalesce(F.max("id"), F.lit(0)).alias("m")).first()["m"]
-        return P.build_products(self.records, self.tree, self.brands, max_id)
+        products, rejects = P.build_products(self.records, self.tree, self.brands, max_id)
+        return cut_lineage(products), cut_lineage(rejects)
 
     @property
     def products(self) -> DataFrame:
@@ -59,4 +62,33 @@ class Catalog:
 
     @cached_property
     def skus(self) -> DataFrame:
-        return P.build_skus(self.records, self.products)
+        return cut_lineage(P.build_skus(self.records, self.products))
+
+    # ------------------------------------------------------------ images, price, stock
+    @cached_property
+    def image_plan(self) -> DataFrame:
+        from ..operators.images import image_plan
+        return cut_lineage(image_plan(self.skus, self.records))
+
+    @cached_property
+    def image_results(self) -> DataFrame:
+        from ..operators.images import image_results
+        return image_results(self.image_plan, self.inputs.outcomes)
+
+    @cached_property
+    def sku_image_status(self) -> DataFrame:
+        from ..operators.images import sku_image_status
+        return sku_image_status(self.skus, self.image_results)
+
+    @cached_property
+    def active_skus(self) -> DataFrame:
+        return P.activate_skus(self.skus, self.sku_image_status)
+
+    @cached_property
+    def prices(self) -> DataFrame:
+        return P.sku_prices(self.skus)
+
+    @cached_property
+    def inventory(self) -> DataFrame:
+        from ..operators.stock import sku_inventory
+        return sku_inventory(self.skus, self.inputs.warehouses)
