@@ -92,3 +92,14 @@ class Catalog:
     def inventory(self) -> DataFrame:
         from ..operators.stock import sku_inventory
         return sku_inventory(self.skus, self.inputs.warehouses)
+
+    # ------------------------------------------------------------ parsed pages (one Python pass each)
+    @cached_property
+    def parsed_product_pages(self) -> DataFrame:
+        from ..operators.html import parse_pages
+        return cut_lineage(parse_pages(self.inputs.product_pages, key="page_id"))
+
+    @cached_property
+    def parsed_pages(self) -> DataFrame:
+        from ..operators.html import parse_pages
+        return cut_lineage(parse_pages(self.inputs.t("pages"), key="page_id"))
