@@ -249,14 +249,42 @@ class CatalogInputs:
 
     @cached_property
     def sitemaps(self) -> DataFrame:
-        """One urlset body per site listing its captured pages."""
+        """Captured sitemap answers per site: chunked urlsets of its pages (1,000 URLs
+        per file), an index, robots.txt, and 404s; which entry answers depends on
+        the site (``length(site) % 3``); every other site writes raw ``&`` (malformed XML)."""
         pg = self.t("pages").select("page_id", "url")
         site = F.regexp_extract("url", r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
-        entry = F.concat(F.lit("<url><loc>"), F.regexp_replace("url", "&", "&amp;"), F.lit("</loc></url>"))
-        g = pg.groupBy(site.alias("site")).agg(
+        chunk_url = F.concat(F.col("site"), F.lit("/sitemap-pages-"), F.col("chunk").cast("string"), F.lit(".xml"))
+        pg = pg.select(site.alias("site"), F.floor(F.col("page_id") / 1000).alias("chunk"), "page_id", "url")
+        raw = F.length("site") % 2 == 0
+        loc = F.when(raw, F.col("url")).otherwise(F.regexp_replace("url", "&", "&amp;"))
+        entry = F.concat(F.lit("<url><loc>"), loc, F.lit("</loc></url>"))
+        chunks = pg.groupBy("site", "chunk").agg(
             F.array_sort(F.collect_list(F.struct("page_id", entry.alias("e")))).alias("es"))
-        return g.select(
-            F.concat(F.col("site"), F.lit("/sitemap.xml")).alias("sitemap_url"),
-            F.lit(200).alias("status"), F.lit("application/xml").alias("content_type"),
+        urlsets = chunks.select(
+            "site", chunk_url.alias("sitemap_url"), F.lit(200).alias("status"),
             F.concat(F.lit('<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">'),
                      F.array_join(F.transform("es", lambda x: x["e"]), ""), F.lit("</urlset>")).alias("body"))
+        per_site = chunks.groupBy("site").agg(F.array_sort(F.collect_list(chunk_url)).alias("files"))
+        kind = F.length("site") % 3
+        index_body = F.concat(
+            F.lit('<sitemapindex xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">'),
+            F.array_join(F.transform("files", lambda f: F.concat(F.lit("<sitemap><loc>"), f,
+                                                                 F.lit("</loc></sitemap>"))), ""),
+            F.lit("</sitemapindex>"))
+        robots_body = F.concat(F.lit("User-agent: *\nDisallow: /cart\n"),
+                               F.array_join(F.transform("files", lambda f: F.concat(F.lit("sitemap: "), f)), "\n"),
+                               F.lit("\n"))
+        not_found = F.lit("Not Found")
+
+        def row(path, ok, body):
+            return per_site.select("site", F.concat("site", F.lit(path)).alias("sitemap_url"),
+                                   F.when(ok, 200).otherwise(404).alias("status"),
+                                   F.when(ok, body).otherwise(not_found).alias("body"))
+        out = (urlsets.unionByName(row("/sitemap.xml", kind == 2, index_body))
+               .unionByName(row("/sitemap_index.xml", kind == 0, index_body))
+               .unionByName(row("/sitemaps.xml", F.lit(False), not_found))
+               .unionByName(row("/robots.txt", F.lit(True), robots_body)))
+        return out.select("sitemap_url", "status",
+                          F.when(F.col("sitemap_url").endswith(".txt"), "text/plain")
+                          .otherwise("application/xml").alias("content_type"), "body")
