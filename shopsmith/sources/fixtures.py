@@ -288,3 +288,17 @@ class CatalogInputs:
         return out.select("sitemap_url", "status",
                           F.when(F.col("sitemap_url").endswith(".txt"), "text/plain")
                           .otherwise("application/xml").alias("content_type"), "body")
+
+    @cached_property
+    def responses(self) -> DataFrame:
+        """Raw model answers for the product records, wrapped the ways models answer:
+        plain, fenced, with text around, with a trailing comma; every 50th is cut off."""
+        r = self.records
+        j = F.to_json(F.struct(*[c for c in r.columns if c not in ("product_key", "url")]))
+        k = F.col("product_key")
+        text = (F.when(k % 50 == 0, F.left(j, F.floor(F.length(j) / 2).cast("int")))
+                .when(k % 4 == 1, F.concat(F.lit("```json\n"), j, F.lit("\n```")))
+                .when(k % 4 == 2, F.concat(F.lit("Here is the product:\n"), j, F.lit("\nDone.")))
+                .when(k % 4 == 3, F.regexp_replace(j, r"\}$", ",}"))
+                .otherwise(j))
+        return r.select("product_key", "url", text.alias("text"))
