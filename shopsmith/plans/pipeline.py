@@ -1,0 +1,77 @@
+"""The full workflow as one Spark job chain.
+
+pages -> HTML pass (C3) -> valid records (B14) -> tree and brands (E9) ->
+products (E3) -> SKUs (E4) -> image plan (W3) -> outcomes (E8) -> per-SKU
+status (G3) -> active SKUs (E5) -> prices (E6) -> inventory (J7) -> summary (G5)
+and the outbox of load requests in load order (A10, W7).  Stage outputs are
+checkpointed into the shared checkpoint folder, so a lost executor recomputes
+only the current stage.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..operators import html as H
+from ..operators import images as I
+from ..operators import products as P
+from ..operators import quality as Q
+from ..operators import report as R
+from ..operators import tree as T
+from ..operators.stock import sku_inventory
+from ..session import cut_lineage
+from ..sources.stages import export_payloads
+
+
+@dataclass
+class PipelineResult:
+    records: DataFrame
+    record_rejects: DataFrame
+    tree: DataFrame
+    brands: DataFrame
+    products: DataFrame
+    product_rejects: DataFrame
+    skus: DataFrame
+    image_plan: DataFrame
+    image_results: DataFrame
+    sku_status: DataFrame
+    prices: DataFrame
+    inventory: DataFrame
+    summary: DataFrame
+    outbox: DataFrame
+
+
+def run_pipeline(pages: DataFrame, existing_categories: DataFrame, existing_brands: DataFrame,
+                 warehouses: DataFrame, outcomes: DataFrame | None = None, existing_products: DataFrame | None = None,
+                 rules: DataFrame | None = None, key: str = "url") -> PipelineResult:
+    """E13.  ``outcomes`` (sku_id, seq, status, error) come from the image host;
+    without them every planned image counts as associated."""
+    recs = cut_lineage(H.extract_products(pages, key=key, rules=rules))
+    if key != "url":
+        recs = recs.drop(key)
+    good, bad = Q.valid_records(recs)
+    tree = cut_lineage(T.build_category_tree(good, existing_categories))
+    brands = cut_lineage(T.build_brand_dim(good, existing_brands))
+    max_id = 0
+    if existing_products is not None:
+        max_id = existing_products.agg(F.coalesce(F.max("id"), F.lit(0)).alias("m")).first()["m"]
+    products, prejects = P.build_products(good, tree, brands, max_id)
+    products = cut_lineage(products)
+    skus = cut_lineage(P.build_skus(good, products))
+    plan = cut_lineage(I.image_plan(skus, good))
+    if outcomes is None:
+        outcomes = plan.select("sku_id", "seq", F.lit("associated").alias("status"),
+                               F.lit(None).cast("string").alias("error"))
+    results = I.image_results(plan, outcomes)
+    status = cut_lineage(I.sku_image_status(skus, results))
+    active = P.activate_skus(skus, status)
+    prices = P.sku_prices(skus)
+    inventory = sku_inventory(skus, warehouses)
+    summary = R.execution_summary(tree, brands, products, skus, status, prices, inventory)
+    outbox = export_payloads({"tree": tree, "brands": brands, "products": products, "skus": active,
+                              "images": plan, "prices": prices, "inventory": inventory})
+    return PipelineResult(good, bad, tree, brands, products, prejects, active, plan, results, status, prices,
+                          inventory, summary, outbox)

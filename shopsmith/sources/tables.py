@@ -65,43 +65,35 @@ def normalise_records(df: DataFrame) -> DataFrame:
     return df.withColumn("categories", F.coalesce(cats, F.array().cast(T.ArrayType(CATEGORY))))
 
 
-def read_product_records(spark: SparkSession, path: str) -> DataFrame:
-    """Extraction documents ``{"products": [...]}`` (multi-line JSON) or JSON
-    lines of records; fixed schema, no inference."""
-    doc = T.StructType([T.StructField("products", T.ArrayType(RECORD))])
-    raw = spark.read.schema(doc).option("multiLine", "true").json(path)
-    recs = raw.select(F.explode("products").alias("r")).select("r.*")
+def read_product_records(spark: SparkSession, path: str, document: bool = True) -> DataFrame:
+    """Extraction documents ``{"products": [...]}`` (one multi-line JSON file
+    each, as the extraction step saves them) or, with ``document=False``, JSON
+    lines of records (splittable: the form to use at scale); fixed schema."""
+    if document:
+        doc = T.StructType([T.StructField("products", T.ArrayType(RECORD))])
+        raw = spark.read.schema(doc).option("multiLine", "true").json(path)
+        recs = raw.select(F.explode("products").alias("r")).select("r.*")
+    else:
+        recs = spark.read.schema(RECORD).json(path)
     return normalise_records(recs).drop("category")
 
 
 def read_existing_catalog(spark: SparkSession, path: str) -> DataFrame:
-    """Category export as JSON; parent under any of three names; bad parent -> 0."""
-    schema = T.StructType([
-        T.StructField("Id", T.StringType()), T.StructField("id", T.StringType()),
-        T.StructField("Name", T.StringType()), T.StructField("name", T.StringType()),
-        T.StructField("FatherCategoryId", T.StringType()),
-        T.StructField("FatherCategoryID", T.StringType()),
-        T.StructField("ParentId", T.StringType()),
-    ])
-    spark.conf.set("spark.sql.caseSensitive", "true")
-    df = spark.read.schema(schema).json(path)
-    return existing_categories_from(df)
-
-
-def existing_categories_from(df: DataFrame) -> DataFrame:
-    cols = set(df.columns)
-
-    def pick(*names):
-        present = [F.col(n) for n in names if n in cols]
-        return F.coalesce(*present) if present else F.lit(None).cast("string")
-
-    parent = pick("FatherCategoryId", "FatherCategoryID", "ParentId", "parent_id")
-    return df.select(
-        pick("Id", "id").cast("string").alias("_id"),
-        pick("Name", "name").cast("string").alias("name"),
-        parent.cast("string").alias("_parent"),
-    ).select(
-        F.expr("try_cast(trim(_id) as bigint)").alias("id"),
-        F.coalesce(F.expr("try_cast(trim(_parent) as bigint)"), F.lit(0).cast("bigint")).alias("parent_id"),
-        "name",
-    )
+    """Category export as JSON text: one object per line, or a list of objects,
+    or a wrapper object holding the list under ``items``/``data``/``categories``.
+    Field names differ by export (``Id``/``id``, parent under three names), so
+    each object is read as a case-sensitive map; a bad parent becomes 0."""
+    line = F.trim(F.col("value"))
+    objs = F.when(line.startswith("["), F.from_json(line, "array<map<string,string>>")).otherwise(
+        F.coalesce(
+            F.from_json(F.get_json_object(line, "$.items"), "array<map<string,string>>"),
+            F.from_json(F.get_json_object(line, "$.data"), "array<map<string,string>>"),
+            F.from_json(F.get_json_object(line, "$.categories"), "array<map<string,string>>"),
+            F.array(F.from_json(line, "map<string,string>"))))
+    raw = spark.read.text(path).filter(line != "").select(F.explode(objs).alias("m")).filter(F.col("m").isNotNull())
+    m = F.col("m")
+    return raw.select(
+        F.expr("try_cast(trim(coalesce(m['Id'], m['id'])) as bigint)").alias("id"),
+        F.coalesce(F.expr("try_cast(trim(coalesce(m['FatherCategoryId'], m['FatherCategoryID'], m['ParentId'],"
+                          " m['parent_id'])) as bigint)"), F.lit(0).cast("bigint")).alias("parent_id"),
+        F.coalesce(m["Name"], m["name"]).alias("name"))
