@@ -127,3 +127,14 @@ def sku_prices(skus: DataFrame) -> DataFrame:
     """Price payload per SKU: markup 0, cost price = price (list price kept)."""
     return skus.select(F.col("id").alias("sku_id"), F.lit(0).alias("markup"),
                        F.col("price").alias("cost_price"), F.col("list_price"))
+
+
+def fill_sku_ids(skus, product_id):
+    """in every SKU of a record, SkuId, EAN and RefId default to the product id;
+    SKUs start inactive and may be activated."""
+    pid = F.col(product_id) if isinstance(product_id, str) else product_id
+    s = F.col(skus) if isinstance(skus, str) else skus
+    return F.transform(s, lambda x: F.struct(
+        x["Name"].alias("Name"), F.coalesce(x["SkuId"], pid).alias("SkuId"), F.coalesce(x["EAN"], pid).alias("EAN"),
+        F.lit(False).alias("IsActive"), F.lit(True).alias("activeIfPossible"),
+        F.coalesce(x["RefId"], pid).alias("RefId"), x["Price"].alias("Price"), x["ListPrice"].alias("ListPrice")))

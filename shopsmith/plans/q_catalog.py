@@ -294,3 +294,33 @@ def q_products_last_wins(spark, sf):
     """W6 over SKU rows keyed by product: the latest (highest order) row wins."""
     s = _cat(spark, sf).inputs.skus.select("product_key", "sku_id", "variant_no", F.col("sku_id").alias("ord"))
     return P.products_last_wins(s, "ord", key="product_key").select("product_key", "sku_id", "variant_no")
+
+
+@query("fill_sku_ids", """
+select product_key, cast(row_number() over (partition by product_key order by sku_id) - 1 as integer) as pos,
+  cast(sku_id as varchar) as sku_id, cast(product_key as varchar) as ean,
+  case when variant_no % 2 = 0 then 'REF-' || cast(sku_id as varchar) else cast(product_key as varchar) end as ref_id,
+  false as is_active, true as active_if_possible
+from v_skus""", ("v_skus",))
+def q_fill_sku_ids(spark, sf):
+    r = _cat(spark, sf).records
+    filled = r.select("product_key", P.fill_sku_ids("skus", F.col("product.ProductId")).alias("s"))
+    return filled.select("product_key", F.posexplode("s").alias("pos", "x")).select(
+        "product_key", "pos", F.col("x.SkuId").alias("sku_id"), F.col("x.EAN").alias("ean"),
+        F.col("x.RefId").alias("ref_id"), F.col("x.IsActive").alias("is_active"),
+        F.col("x.activeIfPossible").alias("active_if_possible"))
+
+
+@query("upsert_skus", f"""
+with {_PATHS}, {_BRANDS}, {_PRODUCTS}, {_SKUS},
+ex as (select sku_id as id, 'old Variant ' || cast(variant_no as varchar) as name, product_key as product_id
+       from v_skus where product_key % 3 = 0)
+select coalesce(n.id, e.id) as id, coalesce(e.name, n.name) as name, coalesce(e.product_id, n.product_id) as product_id,
+  case when e.id is null then 'inserted' when n.id is not null then 'kept_existing' else 'untouched' end as action
+from skids n full outer join ex e on e.id = n.id""", _CAT_VIEWS + ("v_products", "v_existing_brands", "v_skus"))
+def q_upsert_skus(spark, sf):
+    c = _cat(spark, sf)
+    ex = c.inputs.skus.filter(F.col("product_key") % 3 == 0).select(
+        F.col("sku_id").alias("id"), F.concat(F.lit("old Variant "), F.col("variant_no").cast("string")).alias("name"),
+        F.col("product_key").alias("product_id"))
+    return P.upsert_skus(c.skus, ex)

@@ -260,3 +260,13 @@ def q_classify_pages_by_signals(spark, sf):
     p = c.parsed_product_pages.select("url", *H.page_signals()).unionByName(
         c.parsed_pages.select("url", *H.page_signals()))
     return p.select("url", classify_url("url").alias("class"), "is_product_page")
+
+
+@query("clean_model_json")
+def q_clean_model_json(spark, sf):
+    """F18 on raw model answers: unfenced, cut to the object, trailing commas dropped;
+    the cleaned text must parse for every answer that was not cut off."""
+    r = _cat(spark, sf).inputs.responses
+    cleaned = r.select("url", M.cleaned_json("text").alias("json"))
+    return cleaned.select("url", F.length("json").alias("chars"),
+                          F.get_json_object("json", "$.product.Name").isNotNull().alias("parses"))
