@@ -54,6 +54,8 @@ def crawl_reach(links: DataFrame, seeds: DataFrame, max_pages: int | None = None
     The FIFO order is (hop, parent's rank, link position); each hop is one join,
     the seen set is an anti-join and each frontier is checkpointed.
     """
+    if max_pages is None:
+        return _reach_all(links, seeds, max_hops, ok_nodes)
     level = with_index(seeds.select(F.col("node"), F.col("ord")).groupBy("node").agg(F.min("ord").alias("ord")),
                        ["ord", "node"], "rank").select("node", F.lit(0).alias("hop"), "rank")
     seen = cut_lineage(level)
@@ -83,3 +85,19 @@ def crawl_reach(links: DataFrame, seeds: DataFrame, max_pages: int | None = None
             .unionByName(discovered.select("node", "hop", F.lit(None).cast("long").alias("visit_rank"),
                                            F.lit(False).alias("visited"))))
 
+
+
+def _reach_all(links: DataFrame, seeds: DataFrame, max_hops: int, ok_nodes: DataFrame | None) -> DataFrame:
+    """E12 without a page cap: every reachable node with its hop (order is irrelevant)."""
+    seen = cut_lineage(seeds.select("node").distinct().withColumn("hop", F.lit(0)))
+    frontier = seen
+    for hop in range(1, max_hops + 1):
+        src = frontier if ok_nodes is None else frontier.join(ok_nodes.select("node"), "node", "left_semi")
+        nxt = (links.join(src.select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node"))
+               .distinct().join(seen.select("node"), "node", "left_anti").withColumn("hop", F.lit(hop)))
+        nxt = cut_lineage(nxt)
+        if nxt.isEmpty():
+            break
+        seen = cut_lineage(seen.unionByName(nxt))
+        frontier = nxt
+    return seen.select("node", "hop", F.lit(None).cast("long").alias("visit_rank"), F.lit(True).alias("visited"))

@@ -52,7 +52,7 @@ def with_extractor(pages: DataFrame, fn, key: str = "url", instructions: str | N
                    pages_per_batch: int = 64) -> DataFrame:
     """The user's model maps (html, url, instructions) to JSON text, one Arrow
     batch of pages at a time; the result goes to ``parse_model_json``."""
-    p = pages.select(*dict.fromkeys([key, "url"]), "html").repartition(F.xxhash64("url"))
+    p = pages.select(*dict.fromkeys([key, "url"]), "html")
     schema = T.StructType([f for f in p.schema.fields if f.name != "html"] + [T.StructField("text", T.StringType())])
 
     def run(it):

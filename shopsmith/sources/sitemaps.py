@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.urls import url_root
+from ..session import cut_lineage
 
 _XML_SCHEMA = "url array<struct<loc:string>>, sitemap array<struct<loc:string>>, _corrupt_record string"
 _XML_OPTS = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
@@ -59,8 +60,9 @@ def expand_sitemaps(sitemaps: DataFrame, roots: DataFrame, max_depth: int = 8) -
     bodies = sitemaps.filter(F.coalesce(F.col("status"), F.lit(200)) == 200) if "status" in sitemaps.columns \
         else sitemaps
     bodies = bodies.select("sitemap_url", "body")
-    refs = sitemap_index_refs(bodies)
-    urls = sitemap_urls(bodies)
+    # parse every body once; the level loop only joins the small results
+    refs = cut_lineage(sitemap_index_refs(bodies))
+    urls = cut_lineage(sitemap_urls(bodies))
     frontier = roots.select(F.trim("sitemap_url").alias("sitemap_url")).distinct()
     visited = frontier
     found = None
