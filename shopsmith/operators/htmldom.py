@@ -15,13 +15,20 @@ RAW_TEXT = {"script", "style"}
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "parent", "children")
+    __slots__ = ("tag", "attrs", "parent", "children", "_index")
 
     def __init__(self, tag, attrs, parent):
         self.tag = tag
         self.attrs = attrs
         self.parent = parent
         self.children = []
+        self._index = None
+
+    def elements(self):
+        """All elements below this node in document order (computed once)."""
+        if self._index is None:
+            self._index = [n for n in self.iter() if n is not self]
+        return self._index
 
     def get(self, name, default=None):
         return self.attrs.get(name, default)
@@ -37,9 +44,8 @@ class Node:
             stack.extend(c for c in reversed(n.children) if isinstance(c, Node))
 
     def descendants(self, tag=None):
-        for n in self.iter():
-            if n is not self and (tag is None or n.tag == tag):
-                yield n
+        els = self.elements()
+        return iter(els) if tag is None else (n for n in els if n.tag == tag)
 
     def text(self, skip=RAW_TEXT):
         out = []
@@ -183,7 +189,11 @@ def _match_chain(node, chain):
 def select(root: Node, sel) -> list[Node]:
     """Matching elements in document order."""
     chains = compile_selector(sel) if isinstance(sel, str) else sel
-    return [n for n in root.descendants() if any(_match_chain(n, ch) for ch in chains)]
+    tags = {ch[-1][1][0] for ch in chains}
+    nodes = root.elements()
+    if None not in tags:  # every chain ends in a tag: only those elements can match
+        nodes = [n for n in nodes if n.tag in tags]
+    return [n for n in nodes if any(_match_chain(n, ch) for ch in chains)]
 
 
 def render(node: Node, drop=("script", "style", "noscript")) -> str:

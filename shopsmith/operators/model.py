@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import drop_trailing_commas, first_json_object, strip_code_fence
+from ..session import spread
 from ..sources.tables import RECORD
 from .ordering import batches
 
@@ -64,7 +65,7 @@ def with_extractor(pages: DataFrame, fn, key: str = "url", instructions: str | N
                 out["text"] = texts
                 yield out
 
-    return p.mapInPandas(run, schema)
+    return spread(p).mapInPandas(run, schema)
 
 
 def with_url_reviewer(urls: DataFrame, fn, batch_size: int = 100, retries: int = 3, url_col: str = "url",

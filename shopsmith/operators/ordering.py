@@ -86,9 +86,12 @@ def assign_ids(df: DataFrame, preserved: str | Column | None, existing_max: int,
     else:
         missing = df.filter(pres.isNull())
         kept = df.filter(pres.isNotNull()).withColumn(name, pres.cast("bigint"))
-        # new ids start above every preserved id too, so they never collide
-        top = kept.agg(F.max(name).alias("m")).first()["m"]
-        base_value = max(base_value, int(top or 0))
+        # one pass: the highest preserved id (new ids start above it, so they never
+        # collide) and whether any row needs a new id at all
+        stats = df.agg(F.max(pres.cast("bigint")).alias("m"), F.count_if(pres.isNull()).alias("n")).first()
+        base_value = max(base_value, int(stats["m"] or 0))
+        if stats["n"] == 0:
+            return kept
     base = F.lit(base_value)
     new = with_index(missing, order, "__i").withColumn(
         name, (base + F.col("__i") + 1).cast("bigint")).drop("__i")

@@ -73,3 +73,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     import uuid
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/shopsmith-scratch/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def spread(df):
+    """Use every core for a Python pass: when the input has fewer partitions than
+    the cluster's parallelism (a small file is one split), deal its rows out
+    round-robin; large inputs keep their scan splits and are not shuffled."""
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
