@@ -1,14 +1,14 @@
 """Global positions, samples and batches without a single-partition window.
 
 ``with_index`` is the building block: range-sort by the order key, number rows
-inside each sorted partition, count rows per partition (one row per partition,
-so the offsets table is bounded by the partition count, not the data), and add
-the running offset through a broadcast join.
+inside each sorted partition, count rows per partition (one number per
+partition, so what reaches the driver is bounded by the partition count, not
+the data), and add the running offset of the row's partition.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
@@ -36,18 +36,16 @@ def with_index(df: DataFrame, order, name: str = "idx", partitions: int | None =
     # The ids must not change between the counting pass and the numbering pass.
     sorted_df = cut_lineage(sorted_df)
     part = F.shiftright(F.col("__mid"), _LOCAL_BITS)
-    counts = sorted_df.groupBy(part.alias("__pid")).agg(F.count(F.lit(1)).alias("__n"))
-    # One row per partition: this window is over at most `n` rows.
-    offsets = counts.select(
-        "__pid",
-        (F.sum("__n").over(Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)))
-        .alias("__off"))
-    offsets = offsets.fillna(0, subset=["__off"])
+    # Rows per range partition: one number per partition (bounded by `n`, not by
+    # the data), turned into running offsets and applied as a literal array.
+    counts = dict(sorted_df.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("c")).collect())
+    offsets, running = [], 0
+    for p in range(n):
+        offsets.append(running)
+        running += counts.get(p, 0)
+    off = F.element_at(F.array(*[F.lit(o).cast("long") for o in offsets]), (part + 1).cast("int"))
     local = F.col("__mid").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1))
-    return (sorted_df.withColumn("__pid", part)
-            .join(F.broadcast(offsets), "__pid")
-            .withColumn(name, F.col("__off") + local)
-            .drop("__pid", "__off", "__mid"))
+    return sorted_df.withColumn(name, off + local).drop("__mid")
 
 
 def even_sample(df: DataFrame, n: int, order) -> DataFrame:

@@ -85,13 +85,20 @@ def attempt_cutoff(attempts: DataFrame, max_consecutive: int = 3, run: str = "ru
 
 
 def retry_schedule(attempts: DataFrame, key: str, order: str, initial: float = 2.0, factor: float = 2.0,
-                   max_wait: float = 120.0, max_retries: int = 5) -> DataFrame:
+                   max_wait: float = 120.0, max_retries: int = 5, chunk_size: int = 4096) -> DataFrame:
     """Wait before retry k is ``min(initial * factor^k, max_wait)``; after
-    ``max_retries`` retries the request gives up.  Attempt logs per request are
-    short (at most ``max_retries + 1`` rows), so a per-key window is bounded."""
-    w = Window.partitionBy(key).orderBy(order)
-    k = F.row_number().over(w) - 1
-    return attempts.withColumn("retry", k).withColumn(
+    ``max_retries`` retries the request gives up.  k is the attempt's position
+    within its key; a hot key is numbered in chunks of ``chunk_size`` positions
+    (local row numbers plus the count of earlier chunks), so no window sorts a
+    whole key."""
+    a = attempts.withColumn("__chunk", F.floor(F.col(order) / chunk_size))
+    a = a.withColumn("__local", F.row_number().over(Window.partitionBy(key, "__chunk").orderBy(order)) - 1)
+    per = a.groupBy(key, "__chunk").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy(key).orderBy("__chunk")
+                               .rowsBetween(Window.unboundedPreceding, -1))
+    per = per.select(key, "__chunk", F.coalesce(before, F.lit(0)).alias("__before"))
+    k = F.col("__before") + F.col("__local")
+    return a.join(per, [key, "__chunk"]).withColumn("retry", k).drop("__chunk", "__local", "__before").withColumn(
         "wait_sec", F.when(F.col("retry") < max_retries,
                            F.least(F.lit(initial) * F.pow(F.lit(factor), F.col("retry")), F.lit(max_wait)))) \
         .withColumn("gives_up", F.col("retry") >= max_retries)

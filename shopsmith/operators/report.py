@@ -13,9 +13,16 @@ from ..functions.text import normalize_brand_name, normalize_spec_name
 from .tree import category_path
 
 
-def _one_row(*parts: DataFrame) -> DataFrame:
-    """Side by side one-row aggregates (each part has exactly one row)."""
-    return reduce(lambda a, b: a.crossJoin(b), parts)
+def one_row(*parts: DataFrame) -> DataFrame:
+    """Put one-row aggregates side by side without a join: union them with the
+    other parts' columns null, then keep each column's single non-null value."""
+    fields = [(f.name, f.dataType) for p in parts for f in p.schema.fields]
+    aligned = [p.select(*[F.col(n) if n in p.columns else F.lit(None).cast(t).alias(n) for n, t in fields])
+               for p in parts]
+    return reduce(DataFrame.unionByName, aligned).agg(*[F.max(n).alias(n) for n, _ in fields])
+
+
+_one_row = one_row
 
 
 def catalog_summary(products: DataFrame, skus: DataFrame, existing_products: DataFrame | None = None,

@@ -224,4 +224,5 @@ def tree_summary(tree: DataFrame, brands: DataFrame) -> DataFrame:
         F.count_if(F.col("level") > 1).alias("categories"),
         F.count_if((F.col("level") > 1) & F.col("created")).alias("categories_created"))
     b = brands.agg(F.count(F.lit(1)).alias("brands"), F.count_if("created").alias("brands_created"))
-    return t.crossJoin(b)
+    from .report import one_row
+    return one_row(t, b)

@@ -234,10 +234,8 @@ def q_flatten_products(spark, sf):
     parts = P.flatten_products(_cat(spark, sf).records)
     aggs = [parts[k].agg(F.count(F.lit(1)).alias(k)) for k in
             ("products", "product_categories", "skus", "specs", "images")]
-    out = aggs[0]
-    for a in aggs[1:]:
-        out = out.crossJoin(a)
-    return out
+    from ..operators.report import one_row
+    return one_row(*aggs)
 
 
 @query("missing_tail", f"""
