@@ -28,10 +28,11 @@ class Catalog:
 
     @classmethod
     def of(cls, spark: SparkSession, sf_dir: str) -> "Catalog":
-        key = (id(spark), sf_dir)
-        if key not in _CACHE:
-            _CACHE[key] = cls(spark, sf_dir)
-        return _CACHE[key]
+        key = (spark.sparkContext.applicationId, id(spark), sf_dir)
+        cached = _CACHE.get(key)
+        if cached is None or cached.spark is not spark:
+            cached = _CACHE[key] = cls(spark, sf_dir)
+        return cached
 
     @cached_property
     def records(self) -> DataFrame:
