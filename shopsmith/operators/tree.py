@@ -133,29 +133,29 @@ def resolve_category(paths: DataFrame, tree: DataFrame, key: str = "url") -> Dat
     """J3 + J4: category id per product.
 
     J3: start at the first path entry that is a department (case-insensitive),
-    then take the deepest contiguous match (a prefix matches only if every level
-    above it matched, which path equality guarantees).
-    J4: without a department, the whole path must exist below some department;
-    the lowest department id wins.
+    then take the deepest contiguous match.  Every contiguous sub-path of the
+    product path is joined to the tree paths once: a sub-path matches only if
+    all levels above it match (path equality) and, since tree paths begin at a
+    department, the smallest matching start is the first department in the
+    list; the answer is the longest match at that start.
+    J4: with no department in the list (so no J3 match at all) the whole path
+    must exist below some department; the lowest department id wins.
     """
-    t = tree.select("id", F.transform("path_arr", F.lower).alias("lpath"), "level", "path_arr")
-    depts = t.filter(F.col("level") == 1).select(F.element_at("lpath", 1).alias("dname")).distinct()
+    t = tree.select("id", F.transform("path_arr", F.lower).alias("lpath"), "level")
     lp = paths.select(key, F.transform("path", F.lower).alias("lp")).filter(F.size("lp") > 0)
-    pos = lp.select(key, F.posexplode("lp").alias("pos", "dname"))
-    start = pos.join(depts, "dname", "left_semi").groupBy(key).agg(F.min("pos").alias("start"))
-    sub = lp.join(start, key).select(key, F.slice("lp", F.col("start") + 1, F.size("lp")).alias("sub"))
-    pref = sub.select(key, F.explode(_prefixes(F.col("sub"))).alias("lpath"))
-    direct = (pref.join(t, "lpath")
-              .groupBy(key).agg(F.max_by("id", F.struct(F.col("level"), -F.col("id"))).alias("direct_id")))
-    # No department in the list at all
-    no_dept = lp.join(start, key, "left_anti")
+    n = F.size("lp")
+    subs = F.flatten(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.transform(
+        F.sequence(F.lit(1), n - i), lambda m: F.struct(i.alias("i"), m.alias("m"), F.slice("lp", i + 1, m).alias("sp")))))
+    cand = lp.select(key, F.explode(subs).alias("s")).select(key, "s.i", "s.m", F.col("s.sp").alias("lpath"))
+    direct = (cand.join(t, "lpath")
+              .groupBy(key).agg(F.max_by("id", F.struct(-F.col("i"), F.col("m"), -F.col("id"))).alias("direct_id")))
+    roots = t.filter(F.col("level") == 1).groupBy(F.element_at("lpath", 1).alias("root")).agg(
+        F.min("id").alias("root_id"))
     tails = (t.filter(F.col("level") >= 2)
              .select(F.col("id").alias("any_id"), F.slice("lpath", 2, F.col("level")).alias("lp"),
-                     F.element_at("lpath", 1).alias("root")))
-    roots = t.filter(F.col("level") == 1).select(F.element_at("lpath", 1).alias("root"),
-                                                 F.col("id").alias("root_id"))
-    tails = tails.join(roots, "root")
-    any_root = (no_dept.join(tails, "lp")
+                     F.element_at("lpath", 1).alias("root"))
+             .join(roots, "root"))
+    any_root = (lp.join(tails, "lp")
                 .groupBy(key).agg(F.min_by("any_id", F.struct("root_id", "any_id")).alias("any_id")))
     return (paths.select(key).join(direct, key, "left").join(any_root, key, "left")
             .select(key, F.coalesce("direct_id", "any_id").alias("category_id")))
