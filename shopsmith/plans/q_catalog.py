@@ -16,7 +16,7 @@ _PATHS = f"""
 cats as (select product_key, level, {duck_title('trim(name)')} as nname from v_categories
          where name is not null and trim(name) <> '' and lower(trim(name)) not in ('home','root','default')),
 paths as (select product_key, list(nname order by level) as path from cats group by product_key),
-nodes as (select distinct array_to_string(list_slice(path, 1, n), ' > ') as path, n as level,
+nodes as (select distinct array_to_string(list_slice(path, 1, n), ' > ') as path, cast(n as integer) as level,
                  path[n] as name, array_to_string(list_slice(path, 1, n - 1), ' > ') as parent_path
           from (select path, unnest(range(1, len(path) + 1)) as n from paths) x),
 expaths as (select id, {duck_title('trim(name)')} as path from v_existing_l1
@@ -91,7 +91,7 @@ def catalog_by_department(spark, sf):
 
 
 @query("skip_root_levels", f"""
-select product_key, count(*) as n_levels from v_categories
+select product_key, cast(count(*) as integer) as n_levels from v_categories
 where name is not null and trim(name) <> '' and lower(trim(name)) not in ('home','root','default')
 group by product_key""", ("v_categories",))
 def q_skip_root_levels(spark, sf):
@@ -244,7 +244,7 @@ pre as (select product_key, path, n, array_to_string(list_slice(path, 1, n), ' >
         from (select product_key, path, unnest(range(1, len(path) + 1)) as n from paths) x),
 hit as (select product_key, max(n) as depth, max_by(e.id, n) as node_id from pre join exbest e on e.path = pre.pp
         group by product_key)
-select p.url, coalesce(h.node_id, 0) as parent_id, coalesce(h.depth, 0) as matched_levels,
+select p.url, coalesce(h.node_id, 0) as parent_id, cast(coalesce(h.depth, 0) as integer) as matched_levels,
        array_to_string(list_slice(x.path, coalesce(h.depth, 0) + 1, len(x.path)), ' > ') as missing
 from paths x join v_products p using (product_key) left join hit h using (product_key)""",
        _CAT_VIEWS + ("v_products",))

@@ -70,7 +70,7 @@ with segs as (
 flags as (select page_id, s, list_transform(s, lambda x: length(x) > 20 or regexp_matches(x, '-\d{5,}$')) as f from segs),
 kept as (select page_id, case when list_position(f, true) is not null then list_slice(s, 1, list_position(f, true) - 1)
                          else s end as k from flags)
-select page_id, len(k) as n_levels from kept""")
+select page_id, cast(len(k) as integer) as n_levels from kept""")
 def q_extract_categories_from_path(spark, sf):
     """C4 on captured pages without breadcrumbs or meta: the URL path is the last resort."""
     p = _cat(spark, sf).parsed_pages
@@ -108,7 +108,7 @@ with a as (select page_id, url, unnest(generate_series(0, len(h) - 1)) as pos, u
 r as (select page_id, pos, url, case when starts_with(href, '//') then regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1) || ':' || href
        when starts_with(href, '/') then regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1) || href
        when starts_with(href, 'http') then href end as t from a)
-select page_id, pos, split_part(split_part(t, '#', 1), '?', 1) as dst from r
+select page_id, cast(pos as integer) as pos, split_part(split_part(t, '#', 1), '?', 1) as dst from r
 where t is not null and regexp_extract(t, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1) = regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)""")
 def q_page_links(spark, sf):
     return H.page_links(_cat(spark, sf).parsed_pages, "page_id")
@@ -123,7 +123,7 @@ with a as (select page_id, url, unnest(generate_series(0, len(h) - 1)) as pos, u
 r as (select page_id, pos, url, case when starts_with(href, '/') and not starts_with(href, '//') then
         regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1) || href end as t from a),
 c as (select page_id, pos, split_part(split_part(t, '#', 1), '?', 1) as dst from r where t is not null)
-select page_id, dst, min(pos) as pos from c where regexp_matches(dst, '^(?:{_LINK_PATTERN})$') group by page_id, dst""")
+select page_id, dst, cast(min(pos) as integer) as pos from c where regexp_matches(dst, '^(?:{_LINK_PATTERN})$') group by page_id, dst""")
 def q_product_links(spark, sf):
     """B5 with a user pattern (two- or three-letter top-level paths), anchored at the start."""
     return H.product_links(_cat(spark, sf).parsed_pages, "page_id", _LINK_PATTERN + "$")

@@ -54,8 +54,8 @@ def q_sku_image_status(spark, sf):
 
 
 @query("image_summary", f"""with {_BASE}, {_PLAN}
-select count(*) as total_skus, sum(total_images) as total_images, sum(total_associated) as total_associated,
-  sum(total_failed) as total_failed, count(*) filter (where status = 'completed') as skus_completed,
+select count(*) as total_skus, cast(sum(total_images) as bigint) as total_images,
+  cast(sum(total_associated) as bigint) as total_associated, cast(sum(total_failed) as bigint) as total_failed, count(*) filter (where status = 'completed') as skus_completed,
   count(*) filter (where status = 'failed') as skus_failed, count(*) filter (where status = 'no_images') as skus_no_images
 from st""", _V)
 def q_image_summary(spark, sf):
@@ -115,8 +115,8 @@ def q_top_images(spark, sf):
 
 
 @query("export_payloads", f"""with {_BASE}, {_PLAN}
-select 'department' as entity, 0 as load_order, count(*) as n from tree2 where level = 1 and created
-union all select 'category', 1000 + level, count(*) from tree2 where level > 1 and created group by level
+select 'department' as entity, cast(0 as integer) as load_order, count(*) as n from tree2 where level = 1 and created
+union all select 'category', cast(1000 + level as integer), count(*) from tree2 where level > 1 and created group by level
 union all select 'brand', 2000, count(*) from bdim where created
 union all select 'product', 3000, count(*) from prod
 union all select 'sku', 4000, count(*) from skids

@@ -61,7 +61,7 @@ _W4_SQL = """
 with a as (select run_id, pos, outcome, case when outcome in ('ok', 'other_error') then 1 else 0 end as rst,
              case when outcome = 'rate_limit' then 1 else 0 end as rl from v_attempts),
 b as (select *, sum(rst) over (partition by run_id order by pos rows unbounded preceding) as isl from a),
-c as (select *, sum(rl) over (partition by run_id, isl order by pos rows unbounded preceding) as consecutive_limits from b),
+c as (select *, cast(sum(rl) over (partition by run_id, isl order by pos rows unbounded preceding) as bigint) as consecutive_limits from b),
 s as (select run_id, min(pos) as stop from c where consecutive_limits >= 3 group by run_id)
 select c.run_id, c.pos, c.outcome, c.consecutive_limits,
   case when s.stop is not null and c.pos > s.stop then 'not_attempted' else c.outcome end as status,
@@ -90,8 +90,8 @@ def q_retry_schedule(spark, sf):
 
 
 @query("parse_model_json", """
-select p.url, p.name, coalesce(s.n, 0) as n_skus,
-  coalesce(i.n, 0) as n_images, case when p.product_key % 50 = 0 then 'invalid JSON' end as reason
+select p.url, p.name, cast(coalesce(s.n, 0) as integer) as n_skus,
+  cast(coalesce(i.n, 0) as integer) as n_images, case when p.product_key % 50 = 0 then 'invalid JSON' end as reason
 from v_products p left join (select product_key, count(*) as n from v_skus group by 1) s using (product_key)
 left join (select product_key, count(*) as n from v_images group by 1) i using (product_key)""",
        ("v_products", "v_skus", "v_images"))
@@ -216,7 +216,8 @@ def q_catalog_summary(spark, sf):
 select (select count(*) from tree2 where level = 1) as departments, (select count(*) from tree2 where level > 1) as categories,
   (select count(*) from bdim) as brands, (select count(*) from prod) as products, (select count(*) from st) as skus,
   (select count(*) from st where total_associated > 0) as skus_active,
-  (select sum(total_associated) from st) as images_associated, (select sum(total_failed) from st) as images_failed,
+  (select cast(sum(total_associated) as bigint) from st) as images_associated,
+  (select cast(sum(total_failed) as bigint) from st) as images_failed,
   (select count(*) from skids) as prices, (select count(*) from skids, v_warehouses) as inventory_rows""", _V)
 def q_execution_summary(spark, sf):
     c = _cat(spark, sf)

@@ -23,7 +23,7 @@ def _anchors(spark, sf):
 
 
 _DUCK_ANCHORS = f"""anchors as (
-  select page_id, url, unnest(generate_series(1, len(h))) as pos, unnest(h) as href, unnest(t) as label
+  select page_id, url, cast(unnest(generate_series(1, len(h))) as integer) as pos, unnest(h) as href, unnest(t) as label
   from (select page_id, url, regexp_extract_all(html, '{_HREF}', 1) as h,
                regexp_extract_all(html, '{_HREF}', 2) as t from pages) x)"""
 
@@ -60,7 +60,7 @@ def q_normalize_brand_name(spark, sf):
 @query("extract_id", f"""
 with {_DUCK_ANCHORS}
 select page_id, pos, try_cast(nullif(regexp_extract(href, '(\\d+)', 1), '') as bigint) as id from anchors
-union all select page_id, 0, try_cast(nullif(regexp_extract(url, '(\\d+)', 1), '') as bigint) from pages""")
+union all select page_id, cast(0 as integer), try_cast(nullif(regexp_extract(url, '(\\d+)', 1), '') as bigint) from pages""")
 def q_extract_id(spark, sf):
     a = _anchors(spark, sf).select("page_id", "pos", X.extract_id("href").alias("id"))
     p = table(spark, sf, "pages").select("page_id", F.lit(0).alias("pos"), X.extract_id("url").alias("id"))
@@ -78,7 +78,7 @@ with segs as (
 flags as (select page_id, s, list_transform(s, lambda x: length(x) > 20 or regexp_matches(x, '-\\d{{5,}}$')) as f from segs),
 kept as (select page_id, case when list_position(f, true) is not null then list_slice(s, 1, list_position(f, true) - 1)
                          else s end as k from flags)
-select page_id, len(k) as n_levels,
+select page_id, cast(len(k) as integer) as n_levels,
   array_to_string(list_transform(k, lambda x: {duck_title("translate(x, '-_', '  ')")}), '|') as names from kept""",
        ("v_products",))
 def q_categories_from_url(spark, sf):

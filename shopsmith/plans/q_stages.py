@@ -35,7 +35,7 @@ def q_read_pages(spark, sf):
 
 
 @query("read_product_records", """
-select url, name, brand, (select count(*) from v_skus s where s.product_key = p.product_key) as n_skus
+select url, name, brand, cast((select count(*) from v_skus s where s.product_key = p.product_key) as integer) as n_skus
 from v_products p""", ("v_products", "v_skus"))
 def q_read_product_records(spark, sf):
     """Records written as JSON lines (splittable) and read back with the fixed schema."""
@@ -135,7 +135,7 @@ select (select count(distinct l1) from v_products) as departments, (select count
   (select count(*) from v_products where brand <> 'Default') as products,
   (select count(*) from v_products where brand <> 'Default') as skus,
   (select count(*) from v_products where brand <> 'Default') as skus_active,
-  (select 2 * count(*) from v_products where brand <> 'Default') as images_associated, 0 as images_failed,
+  (select 2 * count(*) from v_products where brand <> 'Default') as images_associated, cast(0 as bigint) as images_failed,
   (select count(*) from v_products where brand <> 'Default') as prices,
   (select count(*) from v_products, v_warehouses where brand <> 'Default') as inventory_rows""",
        ("v_products", "v_warehouses"))

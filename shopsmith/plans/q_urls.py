@@ -48,7 +48,8 @@ def q_robots_sitemaps(spark, sf):
 
 @query("pick_site_entry", f"""with {_DUCK_SITES}
 select distinct site, site || case length(site) % 3 when 2 then '/sitemap.xml' when 0 then '/sitemap_index.xml'
-  else '/robots.txt' end as entry_url, case length(site) % 3 when 2 then 1 when 0 then 2 else 4 end as entry_rank from pg""")
+  else '/robots.txt' end as entry_url, cast(case length(site) % 3 when 2 then 1 when 0 then 2 else 4 end as bigint) as entry_rank
+from pg""")
 def q_pick_site_entry(spark, sf):
     return SM.pick_site_entry(_cat(spark, sf).inputs.sitemaps)
 
@@ -157,7 +158,7 @@ def q_assign_ids(spark, sf):
 @query("dedupe_first_seen", """
 with a as (select page_id, unnest(generate_series(0, len(h) - 1)) as pos, unnest(h) as href
            from (select page_id, regexp_extract_all(html, '<a href="([^"]*)"', 1) as h from pages) x)
-select href, min_by(page_id, page_id * 100000 + pos) as page_id, min_by(pos, page_id * 100000 + pos) as pos
+select href, min_by(page_id, page_id * 100000 + pos) as page_id, cast(min_by(pos, page_id * 100000 + pos) as integer) as pos
 from a group by href""")
 def q_dedupe_first_seen(spark, sf):
     """Each link target once, at its first (page, position)."""
