@@ -18,6 +18,7 @@ from ..operators.urlsets import classify_url
 from .catalog import Catalog
 from .q_catalog import _BRANDS, _CAT_VIEWS, _PATHS, _PRODUCTS, _SKUS
 from .q_images import _PLAN
+from .q_urls import _DUCK_URLS as _DUCK_URLS_CLASSIFIED
 from .registry import query
 
 _V = _CAT_VIEWS + ("v_products", "v_existing_brands", "v_skus", "v_images", "v_outcomes", "v_warehouses",
@@ -145,7 +146,15 @@ def demo_reviewer(urls):
     return out
 
 
-@query("with_url_reviewer")
+@query("with_url_reviewer", r"""
+with u as (select url from pages union select url from v_products),
+b as (select url, (row_number() over (order by url) - 1) // 100 as batch_id from u),
+bad as (select distinct batch_id from b where regexp_matches(url, '/fr/\d*7($|[?#])')),
+p as (select url, batch_id, regexp_replace(split_part(split_part(url, '#', 1), '?', 1), '^[a-zA-Z]+://[^/?#]*', '')
+        as path from b)
+select url, case when batch_id in (select batch_id from bad) then 'rejected'
+  when regexp_matches(path, '\d{5,}') then 'definitely_pdp' when regexp_matches(path, '\d{3,}') then 'possibly_pdp'
+  else 'not_pdp' end as class from p""", ("v_products",))
 def q_with_url_reviewer(spark, sf):
     """URL batches of 100 through a reviewer function; failed batches become rejects."""
     c = _cat(spark, sf)
@@ -254,7 +263,12 @@ def q_extraction_metrics_cleaning(spark, sf):
     return R.extraction_metrics(_cat(spark, sf).records, pages.select("url"), sizes)
 
 
-@query("classify_pages_by_signals")
+@query("classify_pages_by_signals", rf"""
+with {_DUCK_URLS_CLASSIFIED},
+sig as (select url, true as is_product_page from v_products
+        union all select url, regexp_matches(html, '<script[^>]*type="application/ld\+json"|property="og:type"[^>]*content="[^"]*(?i:product)|<span[^>]*itemprop="price"|itemtype="[^"]*Product|<form[^>]*action="[^"]*(cart|add)|<button[^>]*class="[^"]*(buy|add-to-cart)')
+        from pages)
+select s.url, c.class, s.is_product_page from sig s join classified c using (url)""", ("v_products",))
 def q_classify_pages_by_signals(spark, sf):
     """B7 + B8 together on every page: URL class next to the page-content verdict."""
     c = _cat(spark, sf)

@@ -95,7 +95,9 @@ def q_write_outbox(spark, sf):
     return back.filter(F.col("entity") == "department").groupBy("entity").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("stream_pages")
+@query("stream_pages", """
+select url, name, cast(case when product_key % 2 = 0 then 0 else 1 end as integer) as batch_id from v_products""",
+       ("v_products",))
 def q_stream_pages(spark, sf):
     """Shop pages arrive in two drops; the second run only processes the new files."""
     c = _cat(spark, sf)
