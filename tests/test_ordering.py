@@ -114,3 +114,43 @@ def test_crawl_reach_matches_fifo_walk(spark, cap):
     got_visited = [r["node"] for r in sorted((r for r in res if r["visited"]), key=lambda r: r["visit_rank"])]
     assert got_visited == visited
     assert {r["node"] for r in res} == found
+
+
+def seq_harvest(pages_by_cat, max_pages=20):
+    """The listing walk written as the loop it replaces."""
+    out = []
+    for cat in sorted(pages_by_cat):
+        seen, last = [], -1
+        for page in range(1, max_pages + 1):
+            entry = pages_by_cat[cat].get(page)
+            if entry is None or entry[0] != 200 or not entry[1]:
+                break
+            for item in entry[1]:
+                if item not in seen:
+                    seen.append(item)
+            if len(seen) == last:
+                break
+            last = len(seen)
+        out += [(cat, item) for item in seen]
+    first = {}
+    for cat, item in out:
+        first.setdefault(item, cat)
+    return first
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_listing_harvest_against_loop(spark, seed):
+    rnd = random.Random(seed)
+    pages_by_cat, rows = {}, []
+    for cat in range(8):
+        pages_by_cat[cat] = {}
+        for page in range(1, rnd.randrange(2, 9)):
+            if rnd.random() < 0.1:
+                continue  # missing page
+            status = 500 if rnd.random() < 0.1 else 200
+            items = sorted({rnd.randrange(30) for _ in range(rnd.randrange(1, 5))})
+            pages_by_cat[cat][page] = (status, items)
+            rows += [(cat, page, it, status) for it in items]
+    df = spark.createDataFrame(rows, "category_no long, page int, product_key long, status int")
+    got = {r["product_key"]: r["category_no"] for r in C.harvest_first_seen(C.listing_harvest(df, 20)).collect()}
+    assert got == seq_harvest(pages_by_cat)

@@ -68,3 +68,19 @@ def test_stream_two_drops_equal_one_batch(spark):
     assert out.count() == pages.count()
     assert out.select("url").distinct().count() == pages.count()
     assert out.select("batch_id").distinct().count() == 2
+
+
+def test_ids_do_not_depend_on_partition_count(spark):
+    from shopsmith.plans.catalog import Catalog as Cat
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    out = []
+    try:
+        for n in ("1", "7"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            c = Cat(spark, SF)
+            out.append((sorted(c.tree.select("id", "path").collect()),
+                        sorted(c.skus.select("id", "product_id", "pos").collect()),
+                        sorted(c.products.select("id", "url", "category_id", "brand_id").collect())))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert out[0] == out[1]
