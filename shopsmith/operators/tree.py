@@ -147,16 +147,21 @@ def resolve_category(paths: DataFrame, tree: DataFrame, key: str = "url") -> Dat
     subs = F.flatten(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.transform(
         F.sequence(F.lit(1), n - i), lambda m: F.struct(i.alias("i"), m.alias("m"), F.slice("lp", i + 1, m).alias("sp")))))
     cand = lp.select(key, F.explode(subs).alias("s")).select(key, "s.i", "s.m", F.col("s.sp").alias("lpath"))
-    direct = (cand.join(t, "lpath")
-              .groupBy(key).agg(F.max_by("id", F.struct(-F.col("i"), F.col("m"), -F.col("id"))).alias("direct_id")))
+    # one node per lower-cased path (lowest id) on the small side, so the product
+    # side needs only fixed-width aggregates: smallest start, then longest match
+    tl = t.groupBy("lpath").agg(F.min("id").alias("id"))
+    rank = F.col("m").cast("long") - F.col("i").cast("long") * 4096
+    direct = cand.join(tl, "lpath").groupBy(key).agg(F.max_by("id", rank).alias("direct_id"))
     roots = t.filter(F.col("level") == 1).groupBy(F.element_at("lpath", 1).alias("root")).agg(
         F.min("id").alias("root_id"))
+    # J4 candidates resolved on the dimension side: per tail path the node under the
+    # lowest department; the product side is then a plain left join
     tails = (t.filter(F.col("level") >= 2)
              .select(F.col("id").alias("any_id"), F.slice("lpath", 2, F.col("level")).alias("lp"),
                      F.element_at("lpath", 1).alias("root"))
-             .join(roots, "root"))
-    any_root = (lp.join(tails, "lp")
-                .groupBy(key).agg(F.min_by("any_id", F.struct("root_id", "any_id")).alias("any_id")))
+             .join(roots, "root")
+             .groupBy("lp").agg(F.min_by("any_id", F.struct("root_id", "any_id")).alias("any_id")))
+    any_root = lp.join(tails, "lp").select(key, "any_id")
     return (paths.select(key).join(direct, key, "left").join(any_root, key, "left")
             .select(key, F.coalesce("direct_id", "any_id").alias("category_id")))
 
@@ -175,12 +180,13 @@ def missing_tail(paths: DataFrame, tree: DataFrame, key: str = "url") -> DataFra
     t = tree.select(F.col("path_arr").alias("prefix"), F.col("id").alias("node_id"))
     p = paths.filter(F.size("path") > 0)
     pref = p.select(key, "path", F.explode(_prefixes(F.col("path"))).alias("prefix"))
+    t = t.groupBy("prefix").agg(F.min("node_id").alias("node_id"))
     hit = (pref.join(t, "prefix")
-           .groupBy(key).agg(F.max_by(F.struct(F.size("prefix").alias("depth"), F.col("node_id")),
-                                      F.size("prefix")).alias("m")))
+           .groupBy(key).agg(F.max(F.size("prefix")).alias("depth"),
+                             F.max_by("node_id", F.size("prefix")).alias("node_id")))
     j = p.join(hit, key, "left")
-    depth = F.coalesce(F.col("m.depth"), F.lit(0))
-    return j.select(key, "path", F.coalesce(F.col("m.node_id"), F.lit(0).cast("bigint")).alias("parent_id"),
+    depth = F.coalesce(F.col("depth"), F.lit(0))
+    return j.select(key, "path", F.coalesce(F.col("node_id"), F.lit(0).cast("bigint")).alias("parent_id"),
                     depth.alias("matched_levels"),
                     F.slice("path", depth + 1, F.size("path")).alias("missing"))
 
