@@ -83,7 +83,9 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def spread(df):
     """Use every core for a Python pass: when the input has fewer partitions than
     the cluster's parallelism (a small file is one split), deal its rows out
-    round-robin; large inputs keep their scan splits and are not shuffled."""
+    round-robin; large inputs keep their scan splits and are not shuffled.
+    Meant for scan-like inputs (page tables): their split count is known without
+    running anything."""
     target = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < target:
         return df.repartition(target)
