@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_brand_name, normalize_category_name, strip
+from ..session import cut_lineage
 from .ordering import assign_ids
 
 # Category names that are not real levels ("Início" is kept on purpose).
@@ -83,6 +84,7 @@ def tree_paths(categories: DataFrame, max_depth: int = 32) -> DataFrame:
                .select(F.col("c.id").alias("id"), F.col("c.parent_id").alias("parent_id"), F.col("c.name").alias("name"),
                        F.concat("ppath", F.array(normalize_category_name(F.col("c.name")))).alias("path_arr"),
                        "root_id"))
+        nxt = cut_lineage(nxt)  # each level is planned from the stored previous one
         if nxt.isEmpty():
             break
         out = out.unionByName(nxt)

@@ -71,9 +71,10 @@ def expand_sitemaps(sitemaps: DataFrame, roots: DataFrame, max_depth: int = 8) -
         found = hit if found is None else found.unionByName(hit)
         nxt = (refs.join(frontier, "sitemap_url", "left_semi").select(F.col("child_url").alias("sitemap_url"))
                .distinct().join(visited, "sitemap_url", "left_anti"))
+        nxt = cut_lineage(nxt)
         if nxt.isEmpty():
             break
-        visited = visited.unionByName(nxt)
+        visited = cut_lineage(visited.unionByName(nxt))
         frontier = nxt
     return found.distinct()
 
