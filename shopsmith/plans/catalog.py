@@ -74,12 +74,12 @@ class Catalog:
     @cached_property
     def image_results(self) -> DataFrame:
         from ..operators.images import image_results
-        return image_results(self.image_plan, self.inputs.outcomes)
+        return cut_lineage(image_results(self.image_plan, self.inputs.outcomes))
 
     @cached_property
     def sku_image_status(self) -> DataFrame:
         from ..operators.images import sku_image_status
-        return sku_image_status(self.skus, self.image_results)
+        return cut_lineage(sku_image_status(self.skus, self.image_results))
 
     @cached_property
     def active_skus(self) -> DataFrame:
