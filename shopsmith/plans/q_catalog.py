@@ -109,6 +109,22 @@ def q_build_category_nodes(spark, sf):
     return T.build_category_nodes(_cat(spark, sf).records).select("path", "level", "name")
 
 
+@query("build_categories", f"""with {_PATHS}
+select path, parent_path, name, level from nodes where level >= 2
+union all select path, null, name, 1 from nodes n where level = 1
+  and exists (select 1 from paths p where len(p.path) = 1 and p.path[1] = n.name)""", ("v_categories",))
+def q_build_categories(spark, sf):
+    """Categories under their parent path; a one-entry list makes its department the category."""
+    nodes = T.build_category_nodes(_cat(spark, sf).records)
+    single = T.product_paths(_cat(spark, sf).records).filter(F.size("path") == 1).select(
+        F.col("path").alias("path_arr")).distinct()
+    deep = nodes.filter(F.col("level") >= 2).select(
+        "path", F.array_join("parent_path", T.PATH_SEP).alias("parent_path"), "name", "level")
+    dept_as_cat = nodes.join(single, "path_arr", "left_semi").select(
+        "path", F.lit(None).cast("string").alias("parent_path"), "name", "level")
+    return deep.unionByName(dept_as_cat)
+
+
 @query("build_brands", f"with {_BRANDS} select name from brands", ("v_products", "v_existing_brands"))
 def q_build_brands(spark, sf):
     return T.build_brands(_cat(spark, sf).records)

@@ -277,11 +277,16 @@ def q_classify_pages_by_signals(spark, sf):
     return p.select("url", classify_url("url").alias("class"), "is_product_page")
 
 
-@query("clean_model_json")
+@query("clean_model_json", """
+select url, product_key % 50 <> 0 as parses, product_key % 50 <> 0 and product_key % 4 = 1 as was_fenced,
+  product_key % 50 <> 0 and product_key % 4 = 3 as had_trailing_comma from v_products""", ("v_products",))
 def q_clean_model_json(spark, sf):
     """F18 on raw model answers: unfenced, cut to the object, trailing commas dropped;
-    the cleaned text must parse for every answer that was not cut off."""
+    the cleaned text parses for every answer that was not cut off."""
     r = _cat(spark, sf).inputs.responses
-    cleaned = r.select("url", M.cleaned_json("text").alias("json"))
-    return cleaned.select("url", F.length("json").alias("chars"),
-                          F.get_json_object("json", "$.product.Name").isNotNull().alias("parses"))
+    cleaned = r.select("url", "text", M.cleaned_json("text").alias("json"))
+    parses = F.get_json_object("json", "$.product.Name").isNotNull()
+    return cleaned.select(
+        "url", parses.alias("parses"),
+        (parses & F.col("text").startswith("```")).alias("was_fenced"),
+        (parses & F.col("text").rlike(r",\s*[}\]]")).alias("had_trailing_comma"))
