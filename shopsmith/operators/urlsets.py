@@ -23,7 +23,7 @@ def classify_url(url_col, pattern: str | None = None):
     number or a path three or more segments deep -> possibly_pdp; else not_pdp."""
     u = F.col(url_col) if isinstance(url_col, str) else url_col
     path = _path(u)
-    slashed = F.concat(path, F.lit("/"))
+    slashed = F.concat(F.regexp_replace(path, "/+$", ""), F.lit("/"))
     segs = F.size(F.filter(F.split(path, "/"), lambda s: s != ""))
     non = F.lit(False)
     for t in NON_PDP_TOKENS:

@@ -65,7 +65,7 @@ _DUCK_URLS = """
 urls as (select url from pages union select url from v_products),
 px as (select url, lower(regexp_extract(split_part(split_part(url, '#', 1), '?', 1),
           '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1)) as path from urls),
-cl as (select url, path, path || '/' as sl, len(list_filter(string_split(path, '/'), lambda s: s <> '')) as segs from px),
+cl as (select url, path, regexp_replace(path, '/+$', '') || '/' as sl, len(list_filter(string_split(path, '/'), lambda s: s <> '')) as segs from px),
 classified as (select url, path, case
   when segs = 0 or contains(sl, '/category/') or contains(sl, '/categoria/') or contains(sl, '/about/')
        or contains(sl, '/contact/') or contains(sl, '/home/') or contains(sl, '/index') then 'not_pdp'
