@@ -136,3 +136,26 @@ def test_model_json_cleaning(spark):
     from shopsmith.operators.model import cleaned_json
     got = [r["j"] for r in df.select(cleaned_json("s").alias("j")).collect()]
     assert got == ['{"a": [1, 2]}', '{"a": 1}', ""]
+
+
+def py_extract_id(v):
+    """The id rule written plainly: whole integer text (sign, digit groups with _), else
+    the first digit run; beyond BIGINT -> None."""
+    import re
+    if v is None:
+        return None
+    s = v.strip()
+    if re.fullmatch(r"[+-]?\d+(_\d+)*", s):
+        n = int(s)
+    else:
+        m = re.search(r"\d+", s)
+        if not m:
+            return None
+        n = int(m.group(0))
+    return n if -(2 ** 63) <= n < 2 ** 63 else None
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.text(alphabet="0123456789 _+-abcX", min_size=0, max_size=22), min_size=1, max_size=8))
+def test_extract_id_matches_plain_rule(spark, values):
+    assert apply(spark, X.extract_id, values) == [py_extract_id(v) for v in values]
