@@ -11,7 +11,7 @@ from ..sources import stages as ST
 from ..sources import tables as TB
 from ..streaming import pages as SP
 from .catalog import Catalog
-from .pipeline import run_pipeline
+from .workflow import run_workflow
 from .q_catalog import _CAT_VIEWS, _PATHS
 from .registry import query
 
@@ -130,7 +130,7 @@ def q_stream_upsert(spark, sf):
     return SP.latest_snapshot(spark, target)
 
 
-@query("run_pipeline", """
+@query("run_workflow", """
 with cats as (select distinct l1, l2 from v_products)
 select (select count(distinct l1) from v_products) as departments, (select count(*) from cats) as categories,
   (select count(distinct brand) from v_products where brand <> 'Default') as brands,
@@ -141,10 +141,10 @@ select (select count(distinct l1) from v_products) as departments, (select count
   (select count(*) from v_products where brand <> 'Default') as prices,
   (select count(*) from v_products, v_warehouses where brand <> 'Default') as inventory_rows""",
        ("v_products", "v_warehouses"))
-def q_run_pipeline(spark, sf):
+def q_run_workflow(spark, sf):
     """Shop pages to load requests; the one-row execution summary."""
     c = _cat(spark, sf).inputs
-    res = run_pipeline(c.product_pages, c.existing_categories, c.existing_brands, c.warehouses,
+    res = run_workflow(c.product_pages, c.existing_categories, c.existing_brands, c.warehouses,
                        existing_products=c.existing_products, key="page_id")
     return res.summary
 
@@ -155,6 +155,6 @@ select * from (values ('department', 0), ('category', 1002), ('brand', 2000), ('
 def q_load_order(spark, sf):
     """The first load position of every entity in the workflow's outbox."""
     c = _cat(spark, sf).inputs
-    res = run_pipeline(c.product_pages, c.existing_categories.filter(F.col("parent_id") > 0),
+    res = run_workflow(c.product_pages, c.existing_categories.filter(F.col("parent_id") > 0),
                        c.existing_brands, c.warehouses, key="page_id")
     return res.outbox.groupBy("entity").agg(F.min("load_order").alias("first_order"))

@@ -27,7 +27,7 @@ from ..sources.stages import export_payloads
 
 
 @dataclass
-class PipelineResult:
+class WorkflowResult:
     records: DataFrame
     record_rejects: DataFrame
     tree: DataFrame
@@ -44,9 +44,9 @@ class PipelineResult:
     outbox: DataFrame
 
 
-def run_pipeline(pages: DataFrame, existing_categories: DataFrame, existing_brands: DataFrame,
+def run_workflow(pages: DataFrame, existing_categories: DataFrame, existing_brands: DataFrame,
                  warehouses: DataFrame, outcomes: DataFrame | None = None, existing_products: DataFrame | None = None,
-                 rules: DataFrame | None = None, key: str = "url") -> PipelineResult:
+                 rules: DataFrame | None = None, key: str = "url") -> WorkflowResult:
     """E13.  ``outcomes`` (sku_id, seq, status, error) come from the image host;
     without them every planned image counts as associated."""
     recs = cut_lineage(H.extract_products(pages, key=key, rules=rules))
@@ -73,5 +73,5 @@ def run_pipeline(pages: DataFrame, existing_categories: DataFrame, existing_bran
     summary = R.execution_summary(tree, brands, products, skus, status, prices, inventory)
     outbox = export_payloads({"tree": tree, "brands": brands, "products": products, "skus": active,
                               "images": plan, "prices": prices, "inventory": inventory})
-    return PipelineResult(good, bad, tree, brands, products, prejects, active, plan, results, status, prices,
+    return WorkflowResult(good, bad, tree, brands, products, prejects, active, plan, results, status, prices,
                           inventory, summary, outbox)

@@ -1,11 +1,11 @@
 """Catalog inputs derived by Spark from the driver's star tables.
 
-The driver ships TPC-H-like tables; the catalog pipeline needs shop pages,
+The driver ships TPC-H-like tables; the catalog build needs shop pages,
 nested product records, an existing catalog, warehouses and so on.  These
 builders derive them with ordinary joins and aggregations so every query's
 work grows with the given tables.  The derivation rules are fixed values shared
 with the DuckDB oracle (see ``oracle_views.py``); the odd conditions create the
-edge cases the pipeline has to handle (Default brand, missing levels, products
+edge cases the build has to handle (Default brand, missing levels, products
 without SKUs, null and zero prices, 0-4 images, missing outcomes, ...).
 """
 

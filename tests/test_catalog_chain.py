@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as E
 from shopsmith.plans.catalog import Catalog
-from shopsmith.plans.pipeline import run_pipeline
+from shopsmith.plans.workflow import run_workflow
 from shopsmith.sources.fixtures import CatalogInputs
 from shopsmith.streaming import pages as SP
 from shopsmith.session import scratch_path
@@ -36,9 +36,9 @@ def test_catalog_invariants(spark):
     assert c.skus.groupBy("id").count().filter("count > 1").count() == 0
 
 
-def test_pipeline_from_pages(spark):
+def test_workflow_from_pages(spark):
     ci = CatalogInputs(spark, SF)
-    res = run_pipeline(ci.product_pages, ci.existing_categories, ci.existing_brands, ci.warehouses, key="page_id")
+    res = run_workflow(ci.product_pages, ci.existing_categories, ci.existing_brands, ci.warehouses, key="page_id")
     s = res.summary.first()
     n_default = ci.products.filter(F.col("brand") == "Default").count()
     assert s["products"] == ci.products.count() - n_default
