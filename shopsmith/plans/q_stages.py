@@ -117,16 +117,19 @@ select id, name, true as is_active, true as is_visible from v_existing_products
 union all select product_key, name, true, true from v_products where product_key % 3 <> 0""",
        ("v_products", "v_existing_products"))
 def q_stream_upsert(spark, sf):
-    """Existing products as the first snapshot, then products in two batches (the
-    second batch replayed): existing rows kept and switched on, new ones inserted."""
+    """Existing products as the starting snapshot, then new product rows arriving
+    as files in two drops and folded in by a file stream (one micro-batch per drop):
+    existing rows kept and switched on, new ones inserted."""
     c = _cat(spark, sf)
-    target = scratch_path(spark, "upsert")
+    base = scratch_path(spark, "upsert")
+    target = f"{base}/table"
     ex = c.inputs.existing_products.select("id", "name", "is_active", "is_visible")
     ex.write.parquet(f"{target}/v={0:010d}")
     new = c.inputs.products.select(F.col("product_key").alias("id"), "name")
-    SP.upsert_batch(spark, new.filter(F.col("id") % 2 == 0), target, 1)
-    SP.upsert_batch(spark, new.filter(F.col("id") % 2 == 1), target, 2)
-    SP.upsert_batch(spark, new.filter(F.col("id") % 2 == 1), target, 2)  # replay
+    for drop, parity in ((1, 0), (2, 1)):
+        new.filter(F.col("id") % 2 == parity).write.parquet(f"{base}/in/drop={drop}")
+        source = spark.readStream.schema("id long, name string").parquet(f"{base}/in")
+        SP.stream_upsert(spark, source.select("id", "name"), target, f"{base}/ckpt")
     return SP.latest_snapshot(spark, target)
 
 

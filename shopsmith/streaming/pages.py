@@ -84,9 +84,12 @@ def upsert_batch(spark: SparkSession, batch: DataFrame, target: str, epoch_id: i
 
 
 def stream_upsert(spark: SparkSession, source: DataFrame, target: str, checkpoint: str, key: str = "id"):
-    """A streaming DataFrame of product rows folded into ``target``."""
+    """A streaming DataFrame of product rows folded into ``target``.  Snapshot
+    ``v=0`` is the table as it was before the stream (if any); micro-batch ``n``
+    writes ``v=n+1`` from the snapshot before it, so a replayed batch rewrites the
+    same snapshot."""
     def batch(df: DataFrame, epoch_id: int):
-        upsert_batch(spark, df, target, epoch_id, key)
+        upsert_batch(spark, df, target, epoch_id + 1, key)
 
     q = (source.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
