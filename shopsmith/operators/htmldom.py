@@ -15,7 +15,7 @@ RAW_TEXT = {"script", "style"}
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "parent", "children", "_index")
+    __slots__ = ("tag", "attrs", "parent", "children", "_index", "facts")
 
     def __init__(self, tag, attrs, parent):
         self.tag = tag
@@ -23,6 +23,7 @@ class Node:
         self.parent = parent
         self.children = []
         self._index = None
+        self.facts = None  # on the root: (tags, attribute names, class tokens) of the page
 
     def elements(self):
         """All elements below this node in document order (computed once)."""
@@ -63,17 +64,26 @@ class _Builder(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = Node("#root", {}, None)
+        self.root.facts = (set(), set(), set())
         self.stack = [self.root]
         self.comments = 0
 
+    def _note(self, node):
+        tags, names, classes = self.root.facts
+        tags.add(node.tag)
+        names.update(node.attrs)
+        classes.update(node.classes())
+
     def handle_starttag(self, tag, attrs):
         node = Node(tag, {k: (v if v is not None else "") for k, v in attrs}, self.stack[-1])
+        self._note(node)
         self.stack[-1].children.append(node)
         if tag not in VOID:
             self.stack.append(node)
 
     def handle_startendtag(self, tag, attrs):
         node = Node(tag, {k: (v if v is not None else "") for k, v in attrs}, self.stack[-1])
+        self._note(node)
         self.stack[-1].children.append(node)
 
     def handle_endtag(self, tag):
@@ -186,9 +196,43 @@ def _match_chain(node, chain):
     return False
 
 
+_NEEDS: dict = {}
+
+
+def _needs(chain):
+    """Tags, attribute names and class tokens a chain cannot match without."""
+    key = id(chain)
+    if key not in _NEEDS:
+        tags, names, classes = set(), set(), set()
+        for _, (tag, tests) in chain:
+            if tag:
+                tags.add(tag.lower())
+            for t in tests:
+                if t[0] == "class":
+                    classes.add(t[1])
+                elif t[0] == "id":
+                    names.add("id")
+                else:
+                    names.add(t[1])
+        _NEEDS[key] = (chain, tags, names, classes)
+    return _NEEDS[key][1:]
+
+
+def _possible(root, chain):
+    if root.facts is None:
+        return True
+    tags, names, classes = _needs(chain)
+    have_tags, have_names, have_classes = root.facts
+    return tags <= have_tags and names <= have_names and classes <= have_classes
+
+
 def select(root: Node, sel) -> list[Node]:
-    """Matching elements in document order."""
+    """Matching elements in document order.  Chains that need a tag, attribute or
+    class the page does not have at all are skipped without walking the page."""
     chains = compile_selector(sel) if isinstance(sel, str) else sel
+    chains = [ch for ch in chains if _possible(root, ch)]
+    if not chains:
+        return []
     tags = {ch[-1][1][0] for ch in chains}
     nodes = root.elements()
     if None not in tags:  # every chain ends in a tag: only those elements can match
