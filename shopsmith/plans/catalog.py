@@ -25,6 +25,7 @@ class Catalog:
         self.spark = spark
         self.sf_dir = sf_dir
         self.inputs = CatalogInputs(spark, sf_dir)
+        self.memo: dict = {}  # other stage results built once per session and folder
 
     @classmethod
     def of(cls, spark: SparkSession, sf_dir: str) -> "Catalog":
