@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.text import (extract_id, normalize_brand_name, short_description, sku_list_price,
                               sku_price)
 from .ordering import assign_ids
-from .tree import category_path, product_paths, resolve_brand, resolve_category
+from .tree import category_path, resolve_brand, resolve_category
 
 
 def flatten_products(records: DataFrame, key: str = "url") -> dict[str, DataFrame]:

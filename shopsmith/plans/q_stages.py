@@ -5,7 +5,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators.html import extract_products
 from ..session import scratch_path
 from ..sources import stages as ST
 from ..sources import tables as TB

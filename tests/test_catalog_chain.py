@@ -84,3 +84,13 @@ def test_ids_do_not_depend_on_partition_count(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
     assert out[0] == out[1]
+
+
+def test_rerun_of_a_stage_gives_the_same_data(spark):
+    from shopsmith.sources import stages as ST
+    c = Catalog.of(spark, SF)
+    base = scratch_path(spark, "t-rerun")
+    ST.write_stage(c.skus, "products_skus", base)
+    first = sorted(ST.load_stage(spark, "products_skus", base).collect())
+    ST.write_stage(Catalog(spark, SF).skus, "products_skus", base)   # rebuilt from scratch
+    assert sorted(ST.load_stage(spark, "products_skus", base).collect()) == first
