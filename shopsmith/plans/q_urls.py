@@ -208,3 +208,13 @@ def q_merge_tree(spark, sf):
     old = c.existing_categories.select("id", "name")
     new = c.existing_l1.select((F.col("id") + 100).alias("id"), F.upper("name").alias("name"))
     return merge_tree(old, new, "id")
+
+
+@query("crawl_reach_capped")
+def q_crawl_reach_capped(spark, sf):
+    """E12 with the page cap: the first 100 pages in FIFO order from page 0 are visited,
+    and every page they link to is reported as discovered (checked against a
+    sequential walk in tests/test_ordering.py)."""
+    c = _cat(spark, sf)
+    seeds = spark.range(1).select(F.lit(0).cast("bigint").alias("node"), F.lit(0).alias("ord"))
+    return C.crawl_reach(c.inputs.links, seeds, max_pages=100)
