@@ -154,3 +154,17 @@ def test_listing_harvest_against_loop(spark, seed):
     df = spark.createDataFrame(rows, "category_no long, page int, product_key long, status int")
     got = {r["product_key"]: r["category_no"] for r in C.harvest_first_seen(C.listing_harvest(df, 20)).collect()}
     assert got == seq_harvest(pages_by_cat)
+
+
+def test_retry_numbering_across_chunks(spark):
+    rnd = random.Random(5)
+    rows = [(k, p) for k in range(6) for p in sorted(rnd.sample(range(200), rnd.randrange(1, 40)))]
+    rows += [(99, p) for p in range(0, 300, 2)]  # one hot key
+    df = spark.createDataFrame(rows, "key long, pos long")
+    small = {(r["key"], r["pos"]): (r["retry"], r["wait_sec"], r["gives_up"])
+             for r in Q.retry_schedule(df, "key", "pos", chunk_size=3).collect()}
+    exp = {}
+    for k in {r[0] for r in rows}:
+        for i, p in enumerate(sorted(p for kk, p in rows if kk == k)):
+            exp[(k, p)] = (i, min(2.0 * 2.0 ** i, 120.0) if i < 5 else None, i >= 5)
+    assert small == exp
