@@ -178,29 +178,37 @@ class CatalogInputs:
     # ------------------------------------------------------------ nested records
     @cached_property
     def records(self) -> DataFrame:
-        """One nested product record per product, as an extractor would emit it."""
-        p = self.products
-        cats = self.categories.groupBy("product_key").agg(
-            F.array_sort(F.collect_list(F.struct(F.col("level").alias("Level"), F.col("name").alias("Name"))))
-            .alias("c"))
-        skus = self.skus.groupBy("product_key").agg(
-            F.array_sort(F.collect_list(F.struct(
-                F.col("sku_id").alias("o"),
-                F.struct(F.concat(F.lit("Variant "), F.col("variant_no").cast("string")).alias("Name"),
-                         F.col("sku_id").cast("string").alias("SkuId"),
-                         F.lit(None).cast("string").alias("EAN"),
-                         F.lit(None).cast("boolean").alias("IsActive"),
-                         F.lit(None).cast("boolean").alias("activeIfPossible"),
-                         F.when(F.col("variant_no") % 2 == 0,
-                                F.concat(F.lit("REF-"), F.col("sku_id").cast("string"))).alias("RefId"),
-                         F.col("price").alias("Price"), F.col("list_price").alias("ListPrice")).alias("s"))))
-            .alias("s"))
-        imgs = self.images.groupBy("product_key").agg(
-            F.array_sort(F.collect_list(F.struct("seq", "image_url"))).alias("i"))
-        specs = self.specs.groupBy("product_key").agg(
-            F.array_sort(F.collect_list(F.struct("seq", "name", "value"))).alias("sp"))
-        j = (p.join(cats, "product_key", "left").join(skus, "product_key", "left")
-             .join(imgs, "product_key", "left").join(specs, "product_key", "left"))
+        """One nested product record per product, as an extractor would emit it.
+
+        The flat tables are unioned side by side (each fills its own column) and
+        grouped once by product: one shuffle, no joins."""
+        sku = F.struct(
+            F.col("sku_id").alias("o"),
+            F.struct(F.concat(F.lit("Variant "), F.col("variant_no").cast("string")).alias("Name"),
+                     F.col("sku_id").cast("string").alias("SkuId"),
+                     F.lit(None).cast("string").alias("EAN"),
+                     F.lit(None).cast("boolean").alias("IsActive"),
+                     F.lit(None).cast("boolean").alias("activeIfPossible"),
+                     F.when(F.col("variant_no") % 2 == 0,
+                            F.concat(F.lit("REF-"), F.col("sku_id").cast("string"))).alias("RefId"),
+                     F.col("price").alias("Price"), F.col("list_price").alias("ListPrice")).alias("s"))
+        parts = {
+            "p": self.products.select("product_key", F.struct("url", "name", "brand").alias("v")),
+            "c": self.categories.select("product_key", F.struct(F.col("level").alias("Level"),
+                                                               F.col("name").alias("Name")).alias("v")),
+            "s": self.skus.select("product_key", sku.alias("v")),
+            "i": self.images.select("product_key", F.struct("seq", "image_url").alias("v")),
+            "sp": self.specs.select("product_key", F.struct("seq", "name", "value").alias("v")),
+        }
+        types = {k: df.schema["v"].dataType for k, df in parts.items()}
+        aligned = [df.select("product_key", *[(F.col("v") if k == name else F.lit(None).cast(types[k])).alias(k)
+                                              for k in parts]) for name, df in parts.items()]
+        u = aligned[0]
+        for df in aligned[1:]:
+            u = u.unionByName(df)
+        g = u.groupBy("product_key").agg(
+            F.max("p").alias("p"), *[F.array_sort(F.collect_list(k)).alias(k) for k in ("c", "s", "i", "sp")])
+        j = g.filter(F.col("p").isNotNull()).select("product_key", "p.*", "c", "s", "i", "sp")
         return j.select(
             "product_key", "url",
             F.struct(F.col("name").alias("Name"), F.col("product_key").cast("string").alias("ProductId"),
