@@ -7,6 +7,7 @@ with the CSS selector subset the extraction rules use (tag, .class, #id,
 from __future__ import annotations
 
 import re
+from html import escape
 from html.parser import HTMLParser
 
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source",
@@ -250,13 +251,13 @@ def render(node: Node, drop=("script", "style", "noscript")) -> str:
 
     def out(n):
         if isinstance(n, str):
-            return n
+            return escape(n, quote=False)  # text was unescaped by the parser
         if n.tag in drop:
             return ""
         inner = "".join(out(c) for c in n.children)
         if n.tag == "#root":
             return inner
-        attrs = "".join(f' {k}="{v}"' if v != "" else f" {k}" for k, v in n.attrs.items())
+        attrs = "".join(f' {k}="{escape(v)}"' if v != "" else f" {k}" for k, v in n.attrs.items())
         if n.tag in VOID:
             return f"<{n.tag}{attrs}>"
         if not inner.strip() and n.tag not in keep_empty and not has_keep(n) and n.tag not in ("html", "head", "body"):
