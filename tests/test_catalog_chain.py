@@ -94,3 +94,20 @@ def test_rerun_of_a_stage_gives_the_same_data(spark):
     first = sorted(ST.load_stage(spark, "products_skus", base).collect())
     ST.write_stage(Catalog(spark, SF).skus, "products_skus", base)   # rebuilt from scratch
     assert sorted(ST.load_stage(spark, "products_skus", base).collect()) == first
+
+
+def test_outbox_payloads_have_required_fields(spark):
+    from shopsmith.operators.quality import check_required
+    from shopsmith.sources.stages import export_payloads
+    c = Catalog.of(spark, SF)
+    out = export_payloads({"tree": c.tree, "brands": c.brands, "products": c.products, "skus": c.skus,
+                           "images": c.image_plan, "prices": c.prices, "inventory": c.inventory})
+    names = {"department": "Department", "category": "Category", "brand": "Brand", "product": "Product",
+             "sku": "SKU"}
+    for entity, schema_name in names.items():
+        part = out.filter(F.col("entity") == entity)
+        bad = check_required(part, schema_name).filter(F.col("error").isNotNull())
+        assert bad.count() == 0, (entity, bad.first())
+    # load order: departments before categories (by level) before products before SKUs
+    order = dict(out.groupBy("entity").agg(F.min("load_order")).collect())
+    assert order["product"] < order["sku"] < order["image"] < order["price"] < order["inventory"]
