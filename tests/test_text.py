@@ -159,3 +159,14 @@ def py_extract_id(v):
 @given(st.lists(st.text(alphabet="0123456789 _+-abcX", min_size=0, max_size=22), min_size=1, max_size=8))
 def test_extract_id_matches_plain_rule(spark, values):
     assert apply(spark, X.extract_id, values) == [py_extract_id(v) for v in values]
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["a", "b", ".", "..", "", "c.d", "x%20y"]), min_size=1, max_size=6),
+                min_size=1, max_size=6))
+def test_rooted_hrefs_match_urljoin(spark, seg_lists):
+    page = "https://shop.example.com:8443/dir/page.html"
+    hrefs = ["/" + "/".join(s) for s in seg_lists]
+    df = spark.createDataFrame([(h, page) for h in hrefs], "h string, u string")
+    got = [r["t"] for r in df.select(U.resolve_href("h", "u").alias("t")).collect()]
+    assert got == [py_resolve(h, page) for h in hrefs]
