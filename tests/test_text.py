@@ -170,3 +170,29 @@ def test_rooted_hrefs_match_urljoin(spark, seg_lists):
     df = spark.createDataFrame([(h, page) for h in hrefs], "h string, u string")
     got = [r["t"] for r in df.select(U.resolve_href("h", "u").alias("t")).collect()]
     assert got == [py_resolve(h, page) for h in hrefs]
+
+
+def py_categories(url):
+    """F5 stated plainly: path segments minus p/product/produto/item; stop at a
+    segment longer than 20 characters or ending in -<5+ digits>; - and _ become
+    spaces; title case; level = position."""
+    import re
+    from urllib.parse import urlparse
+    segs = [s for s in urlparse(url).path.strip("/").split("/") if s and s not in ("p", "product", "produto", "item")]
+    out = []
+    for i, s in enumerate(segs, 1):
+        if len(s) > 20 or re.match(r".*-\d{5,}$", s):
+            break
+        out.append((s.replace("-", " ").replace("_", " ").title(), i))
+    return out
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["p", "item", "shoes", "air-max", "x_y", "12345", "ab-123456", "a" * 21,
+                                          "Élan", "3d-print", ""]), min_size=0, max_size=5), min_size=1, max_size=6))
+def test_categories_from_url_matches_rule(spark, seg_lists):
+    urls = ["https://shop.example.com/" + "/".join(s) for s in seg_lists]
+    df = spark.createDataFrame([(u,) for u in urls], "u string").withColumn("i", F.monotonically_increasing_id())
+    got = [[(c["Name"], c["Level"]) for c in r["c"]]
+           for r in df.select("i", U.categories_from_url("u").alias("c")).orderBy("i").collect()]
+    assert got == [py_categories(u) for u in urls]
