@@ -56,26 +56,29 @@ def crawl_reach(links: DataFrame, seeds: DataFrame, max_pages: int | None = None
     """
     if max_pages is None:
         return _reach_all(links, seeds, max_hops, ok_nodes)
-    level = with_index(seeds.select(F.col("node"), F.col("ord")).groupBy("node").agg(F.min("ord").alias("ord")),
-                       ["ord", "node"], "rank").select("node", F.lit(0).alias("hop"), "rank")
-    seen = cut_lineage(level)
+    # Each node carries its FIFO key: its seed order, then the link positions along
+    # the path that first reaches it.  Within one hop, keys compare exactly like
+    # (parent's rank, link position), so one numbering by (hop, key) at the end
+    # gives the visiting order; each hop is one join, an anti-join and a min.
+    first = seeds.groupBy("node").agg(F.min("ord").alias("ord"))
+    seen = cut_lineage(first.select("node", F.lit(0).alias("hop"), F.array(F.col("ord").cast("long")).alias("key")))
     frontier = seen
     total = frontier.count()
     hop = 0
-    while hop < max_hops and (max_pages is None or total < max_pages):
+    while hop < max_hops and total < max_pages:
         src = frontier if ok_nodes is None else frontier.join(ok_nodes.select("node"), "node", "left_semi")
-        cand = (links.join(src.select(F.col("node").alias("src"), F.col("rank").alias("prank")), "src")
-                .select(F.col("dst").alias("node"), "prank", "pos")
+        cand = (links.join(src.select(F.col("node").alias("src"), F.col("key").alias("pkey")), "src")
+                .select(F.col("dst").alias("node"),
+                        F.concat("pkey", F.array(F.col("pos").cast("long"))).alias("key"))
                 .join(seen.select("node"), "node", "left_anti")
-                .groupBy("node").agg(F.min(F.struct("prank", "pos")).alias("o")))
-        nxt = with_index(cand, [F.col("o.prank"), F.col("o.pos"), F.col("node")], "i").select(
-            "node", F.lit(hop + 1).alias("hop"), (F.col("i") + F.lit(total)).alias("rank"))
-        nxt = cut_lineage(nxt)
+                .groupBy("node").agg(F.min("key").alias("key")))
+        nxt = cut_lineage(cand.select("node", F.lit(hop + 1).alias("hop"), "key"))
         n = nxt.count()
         if n == 0:
             break
         seen = cut_lineage(seen.unionByName(nxt))
         frontier, total, hop = nxt, total + n, hop + 1
+    seen = with_index(seen, ["hop", "key", "node"], "rank").drop("key")
     visited = seen if max_pages is None else seen.filter(F.col("rank") < max_pages)
     vsrc = visited if ok_nodes is None else visited.join(ok_nodes.select("node"), "node", "left_semi")
     discovered = (links.join(vsrc.select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node"))
