@@ -20,7 +20,8 @@ def plan_text(df):
 
 @pytest.mark.parametrize("name", ["catalog_by_department", "resolve_category", "build_skus", "image_plan",
                                   "attempt_cutoff", "retry_schedule", "listing_harvest", "even_sample",
-                                  "batches", "extract_products", "run_workflow"])
+                                  "batches", "extract_products", "run_workflow", "crawl_reach_capped",
+                                  "expand_sitemaps", "with_url_reviewer"])
 def test_no_cartesian_or_global_window(spark, name):
     text = plan_text(E.queries()[name](spark, SF))
     assert "CartesianProduct" not in text
