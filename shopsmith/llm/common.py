@@ -23,13 +23,13 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
-def map_lists(df: DataFrame, fn, schema: str) -> DataFrame:
+def map_lists(df: DataFrame, fn, schema: str | StructType) -> DataFrame:
     """``mapInArrow`` over plain lists: ``fn({column: list}) -> {column: list}`` for each
     Arrow batch.  A ``fn`` with a ``finish`` method is called once more at the end of the
     partition for what it still holds."""
     from pyspark.sql.pandas.types import to_arrow_schema
     small_batches(df.sparkSession)
-    spark_schema = StructType.fromDDL(schema)
+    spark_schema = StructType.fromDDL(schema) if isinstance(schema, str) else schema
     arrow = to_arrow_schema(spark_schema)
 
     def run(batches):

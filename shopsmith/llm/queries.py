@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_prefix, packing, token_planes
+from . import bpe_prefix, packing, rlz, simhash, token_planes
 from .common import documents
 
 
@@ -14,6 +14,16 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = simhash.near_duplicates(documents(spark, sf_dir), shingle_words=3, radius=2)
+    return got.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op6_rlz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = rlz.remove_duplicates(documents(spark, sf_dir), window=50)
+    return got.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op5_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_planes.token_file_digests(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"),
                                            keeps_spaces=True, end_id=0)
@@ -31,7 +41,9 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_simhash": op2_simhash,
     "op5_token_planes": op5_token_planes,
+    "op6_rlz": op6_rlz,
     "op8_bpe_prefix": op8_bpe_prefix,
     "op9_packing": op9_packing,
 }
