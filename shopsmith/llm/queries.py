@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_prefix, packing, rlz, simhash, token_planes
+from . import bpe_prefix, divergence, packing, rlz, simhash, token_planes, weighted_sampling
 from .common import documents
 
 
@@ -19,6 +19,14 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op3_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.quality_rules(documents(spark, sf_dir))
+
+
+def op4_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weighted_sampling.neighbour_fingerprints(documents(spark, sf_dir))
+
+
 def op6_rlz(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = rlz.remove_duplicates(documents(spark, sf_dir), window=50)
     return got.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
@@ -42,6 +50,8 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_simhash": op2_simhash,
+    "op3_divergence": op3_divergence,
+    "op4_weighted_sampling": op4_weighted_sampling,
     "op5_token_planes": op5_token_planes,
     "op6_rlz": op6_rlz,
     "op8_bpe_prefix": op8_bpe_prefix,
