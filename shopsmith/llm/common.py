@@ -16,6 +16,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
 def small_batches(spark: SparkSession) -> None:
     """Keep Arrow batches small enough for long texts (sets the session's batch size)."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -57,4 +61,4 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-__all__ = ["documents", "small_batches", "map_lists", "stage", "scratch_path", "ensure_checkpoint_dir"]
+__all__ = ["documents", "labels", "small_batches", "map_lists", "stage", "scratch_path", "ensure_checkpoint_dir"]

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_prefix, divergence, packing, rlz, simhash, token_planes, weighted_sampling
-from .common import documents
+from . import bpe_prefix, divergence, packing, quality, rlz, simhash, token_planes, toxicity, weighted_sampling
+from .common import documents, labels
 
 
 def tokenizer_file(name: str) -> str:
@@ -37,6 +37,10 @@ def op5_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
                                            keeps_spaces=True, end_id=0)
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify_quality(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 def op8_bpe_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = bpe_prefix.encode_documents(documents(spark, sf_dir), tokenizer_file("word_bpe_49k.json"))
     return got.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
@@ -48,13 +52,20 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return toxicity.score_documents(docs, toxicity.learn(docs, labels(spark, sf_dir)))
+
+
 QUERIES = {
     "op2_simhash": op2_simhash,
     "op3_divergence": op3_divergence,
     "op4_weighted_sampling": op4_weighted_sampling,
     "op5_token_planes": op5_token_planes,
     "op6_rlz": op6_rlz,
+    "op7_quality": op7_quality,
     "op8_bpe_prefix": op8_bpe_prefix,
     "op9_packing": op9_packing,
+    "op10_toxicity": op10_toxicity,
 }
 ORACLE_SQL: dict[str, str] = {}
