@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_prefix, divergence, packing, quality, rlz, simhash, token_planes, toxicity, weighted_sampling
+from . import bpe_prefix, divergence, packing, quality, rlz, secrets, simhash, token_planes, toxicity, weighted_sampling
 from .common import documents, labels
 
 
@@ -14,6 +14,13 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = secrets.dictionary_of(spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    got = secrets.scan(documents(spark, sf_dir), words)
+    return got.select("doc_id", "at", "part", F.length("value").alias("length"),
+                      F.sha2(F.col("value").cast("binary"), 256).alias("value_sha256"), "score", "is_secret")
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = simhash.near_duplicates(documents(spark, sf_dir), shingle_words=3, radius=2)
     return got.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -58,6 +65,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_secrets": op1_secrets,
     "op2_simhash": op2_simhash,
     "op3_divergence": op3_divergence,
     "op4_weighted_sampling": op4_weighted_sampling,

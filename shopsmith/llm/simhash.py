@@ -176,11 +176,10 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, radius:
 
 def drop_near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
     """One row of every component stays: the row of its component_id.  Rows without a
-    doc_id stay; of rows repeating the kept doc_id, one stays (the first text)."""
+    doc_id stay; of rows repeating the kept doc_id, one stays."""
     found = near_duplicates(docs, shingle_words, radius)
-    keep = found.filter("doc_id = component_id").select(F.col("doc_id").alias("__keep")).distinct()
-    hash_all = F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in docs.columns])
-    named = docs.filter("doc_id is not null").join(keep, F.col("doc_id") == F.col("__keep"), "left_semi")
-    first = (named.withColumn("__order", F.struct(F.col("text"), hash_all))
-             .groupBy("doc_id").agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), "__order").alias("__row")).select("__row.*"))
-    return first.select(*[f"`{c}`" for c in docs.columns]).unionByName(docs.filter("doc_id is null"))
+    keep = stage(found.filter("doc_id = component_id").groupBy(F.col("doc_id").alias("__keep"))
+                 .agg(F.count(F.lit(1)).alias("__rows")), "simhash-kept")
+    kept = docs.join(keep, F.col("doc_id") == F.col("__keep"))
+    one = kept.filter("__rows = 1").unionByName(kept.filter("__rows > 1").dropDuplicates(["__keep"]))
+    return one.drop("__keep", "__rows").unionByName(docs.filter("doc_id is null"))
