@@ -19,32 +19,40 @@ from pyspark.sql import functions as F
 from .common import map_lists, small_batches
 
 SAMPLES = 128
-#: (word, weight) rows kept per worker (4 bytes + 2 bytes a sample each).
-CACHE_ROWS = 120_000
-#: Hex digits a sample.
-_DIGITS = 4
+#: (word, weight) rows kept per worker (8 bytes a sample each).
+CACHE_ROWS = 100_000
 
 
-def _uniforms(seeds: np.ndarray, samples: int) -> np.ndarray:
-    """Five uniforms in (0, 1) for each seed and sample: a 64-bit mix of seed and place."""
-    place = np.arange(1, 5 * samples + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    x = seeds[:, None] + place[None, :]
+def _gamma_table(bits: int = 20) -> np.ndarray:
+    """Gamma(2, 1) at the middle of 2 ** bits equal shares: its distribution function
+    1 - (1 + x) exp(-x), inverted on a fine grid."""
+    x = np.geomspace(1e-6, 60, 400_000)
+    share = (np.arange(1 << bits) + 0.5) / (1 << bits)
+    return np.interp(share, -np.expm1(-x) - x * np.exp(-x), x).astype(np.float32)
+
+
+_GAMMA = _gamma_table()
+_LN_GAMMA = np.log(_GAMMA)
+
+
+def draw(seeds: np.ndarray, weights: np.ndarray, samples: int) -> np.ndarray:
+    """ln a of each (word seed, weight) and sample, as a float whose lowest 16 bits are the
+    mark of word and t: the least of several floats brings its mark along.
+
+    One 64-bit mix of seed and sample gives r (20 bits), c (20 bits) and b (24 bits)."""
+    x = seeds[:, None] + np.arange(1, samples + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     x ^= x >> np.uint64(31)
-    return ((x >> np.uint64(40)).astype(np.float32) + np.float32(0.5)).reshape(len(seeds), 5, samples) * np.float32(2.0 ** -24)
-
-
-def draw(seeds: np.ndarray, weights: np.ndarray, samples: int) -> tuple[np.ndarray, np.ndarray]:
-    """(ln a, signature of word and t) of each (word seed, weight) and sample."""
-    u = _uniforms(seeds, samples)
-    r = -np.log(u[:, 0] * u[:, 1])
-    ln_c = np.log(-np.log(u[:, 2] * u[:, 3]))
-    t = np.floor(np.log(weights.astype(np.float32))[:, None] / r + u[:, 4])
-    ln_a = ln_c - r * (t - u[:, 4] + 1)
+    r = _GAMMA[x >> np.uint64(44)]
+    ln_c = _LN_GAMMA[x >> np.uint64(24) & np.uint64(0xFFFFF)]
+    b = ((x & np.uint64(0xFFFFFF)).astype(np.float32) + np.float32(0.5)) * np.float32(2.0 ** -24)
+    t = np.floor(np.log(weights.astype(np.float32))[:, None] / r + b)
+    ln_a = ln_c - r * (t - b + 1)
     mark = seeds[:, None] ^ (t.astype(np.int64).view(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
     mark = (mark ^ (mark >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return ln_a, (mark >> np.uint64(64 - 4 * _DIGITS)).astype(np.uint16)
+    bits = ln_a.astype(np.float64).view(np.uint64) & ~np.uint64(0xFFFF)
+    return (bits | mark >> np.uint64(48)).view(np.float64)
 
 
 class Sampler:
@@ -52,8 +60,7 @@ class Sampler:
 
     def __init__(self, samples: int = SAMPLES, rows: int = CACHE_ROWS):
         self.samples, self.rows, self.place = samples, rows, {}
-        self.ln_a = np.empty((rows, samples), np.float32)
-        self.mark = np.empty((rows, samples), np.uint16)
+        self.drawn = np.empty((rows, samples))
 
     def _fill(self, keys) -> None:
         import xxhash
@@ -62,14 +69,12 @@ class Sampler:
             part = keys[at:at + 512]
             first = len(self.place)
             seeds = np.array([xxhash.xxh64_intdigest(w, 11) for w, _ in part], np.uint64)
-            ln_a, mark = draw(seeds, np.array([n for _, n in part]), self.samples)
-            self.ln_a[first:first + len(part)], self.mark[first:first + len(part)] = ln_a, mark
+            self.drawn[first:first + len(part)] = draw(seeds, np.array([n for _, n in part]), self.samples)
             self.place.update(zip(part, range(first, first + len(part))))
 
     def signature(self, bag: Counter) -> np.ndarray:
         """One 16-bit mark a sample; all 0xFFFF for an empty bag."""
-        best = np.full(self.samples, np.inf, np.float32)
-        out = np.full(self.samples, 0xFFFF, np.uint16)
+        best = np.full(self.samples, np.inf)
         keys = list(bag.items())
         step = self.rows // 2
         for at in range(0, len(keys), step):
@@ -78,13 +83,10 @@ class Sampler:
                 self.place.clear()
             self._fill(part)
             rows = np.fromiter(map(self.place.__getitem__, part), np.int64, len(part))
-            low = self.ln_a[rows]
-            pick = low.argmin(axis=0)
-            cols = np.arange(self.samples)
-            less = low[pick, cols] < best
-            best = np.where(less, low[pick, cols], best)
-            out = np.where(less, self.mark[rows[pick], cols], out)
-        return out
+            best = np.minimum(best, self.drawn[rows].min(axis=0))
+        if not keys:
+            return np.full(self.samples, 0xFFFF, np.uint16)
+        return (best.view(np.uint64) & np.uint64(0xFFFF)).astype(np.uint16)
 
 
 def text_bag(text: str) -> Counter:
