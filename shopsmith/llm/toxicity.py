@@ -45,9 +45,10 @@ def fold(text: str | None) -> str:
         before = a > 0 and text[a - 1].isalpha()
         after = b < len(text) and text[b].isalpha()
         run = m[0]
-        if before and after or (run.isdigit() or run in "@$") and len(run) <= 2 and (
-                after and text[b:b + 2].isalpha() and not before and (a == 0 or not text[a - 1].isalnum())
-                or before and text[max(0, a - 2):a].isalpha() and not after and (b == len(text) or not text[b].isalnum())):
+        edge = (run.isdigit() or run in "@$") and len(run) <= 2
+        first = edge and after and not (a and text[a - 1].isalnum()) and sum(map(str.isalpha, text[b:b + 4])) >= 2
+        last = edge and before and not text[b:b + 1].isalnum() and sum(map(str.isalpha, text[max(0, a - 4):a])) >= 2
+        if before and after or first or last:
             return "".join(DIGITS[c] for c in run)
         return run
 
