@@ -12,29 +12,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import scratch_path
 from .ordering import dedupe_first_seen, with_index
 
 
-def listing_harvest(listing: DataFrame, max_pages: int = 20, category: str = "category_no",
+def listing_harvest(listing: DataFrame, max_pages: int | None = None, category: str = "category_no",
                     page: str = "page", item: str = "product_key", status: str = "status") -> DataFrame:
     """(category, page, item) rows of listing pages -> items kept per category:
     pages before the stop page, where stop = first page that is missing, not 200,
-    empty, or adds no item unseen in earlier pages of the category."""
-    l = listing.filter(F.col(page).between(1, max_pages))
+    empty, or adds no item unseen in earlier pages of the category.  ``max_pages``
+    (none by default) also ends a walk."""
+    l = listing.filter(F.col(page) >= 1)
+    if max_pages is not None:
+        l = l.filter(F.col(page) <= max_pages)
     pages = l.groupBy(category, page).agg(
         F.max(F.coalesce(F.col(status), F.lit(200))).alias("status"),
         F.count(F.col(item)).alias("n_items"))
     firsts = l.filter(F.col(item).isNotNull()).groupBy(category, item).agg(F.min(page).alias("first_page"))
     new = firsts.groupBy(category, F.col("first_page").alias(page)).agg(F.count(F.lit(1)).alias("n_new"))
-    grid = l.select(category).distinct().select(category, F.explode(F.sequence(F.lit(1), F.lit(max_pages))).alias(page))
-    g = grid.join(pages, [category, page], "left").join(new, [category, page], "left")
-    bad = F.col("status").isNull() | (F.col("status") != 200) | (F.coalesce("n_items", F.lit(0)) == 0) \
-        | (F.coalesce("n_new", F.lit(0)) == 0)
-    stop = g.filter(bad).groupBy(category).agg(F.min(page).alias("stop_page"))
-    kept = (l.join(stop, category, "left")
-            .filter(F.col(page) < F.coalesce(F.col("stop_page"), F.lit(max_pages + 1)))
-            .filter(F.col(item).isNotNull()))
+    # pages that add something; the walk stops at the first page after one of them (or
+    # after page 0) that is not one of them itself
+    good = (pages.filter((F.col("status") == 200) & (F.col("n_items") > 0)).join(new, [category, page])
+            .select(category, page))
+    after = (l.select(category).distinct().withColumn(page, F.lit(0)).unionByName(good)
+             .select(category, (F.col(page) + 1).alias(page)))
+    stop = after.join(good, [category, page], "left_anti").groupBy(category).agg(F.min(page).alias("stop_page"))
+    kept = l.join(stop, category).filter(F.col(page) < F.col("stop_page")).filter(F.col(item).isNotNull())
     return kept.drop("stop_page")
 
 
@@ -45,41 +48,49 @@ def harvest_first_seen(kept: DataFrame, category: str = "category_no", page: str
     return dedupe_first_seen(kept.select(item, *order), item, order, keep=order)
 
 
-def crawl_reach(links: DataFrame, seeds: DataFrame, max_pages: int | None = None, max_hops: int = 64,
+def crawl_reach(links: DataFrame, seeds: DataFrame, max_pages: int | None = None,
                 ok_nodes: DataFrame | None = None) -> DataFrame:
-    """Breadth-first from ``seeds`` (node, ord) over ``links`` (src, dst, pos).
+    """Breadth-first from ``seeds`` (node, ord) over ``links`` (src, dst, pos) until
+    no new node is found, or ``max_pages`` (the visiting order's cap; none by default).
 
     Returns (node, hop, visit_rank, visited): every visited node (FIFO rank below
-    ``max_pages``) and every node discovered from a visited, answering node.
-    The FIFO order is (hop, parent's rank, link position); each hop is one join,
-    the seen set is an anti-join and each frontier is checkpointed.
+    ``max_pages``) and every node discovered from a visited, answering node; without
+    ``max_pages`` every node is visited and unranked.  Each hop is one join and an
+    anti-join with what was seen; its new nodes are written once, as one folder of a
+    Parquet table, so nothing seen before is rewritten.
     """
-    if max_pages is None:
-        return _reach_all(links, seeds, max_hops, ok_nodes)
     # Each node carries its FIFO key: its seed order, then the link positions along
     # the path that first reaches it.  Within one hop, keys compare exactly like
     # (parent's rank, link position), so one numbering by (hop, key) at the end
-    # gives the visiting order; each hop is one join, an anti-join and a min.
-    first = seeds.groupBy("node").agg(F.min("ord").alias("ord"))
-    seen = cut_lineage(first.select("node", F.lit(0).alias("hop"), F.array(F.col("ord").cast("long")).alias("key")))
-    frontier = seen
-    total = frontier.count()
-    hop = 0
-    while hop < max_hops and total < max_pages:
-        src = frontier if ok_nodes is None else frontier.join(ok_nodes.select("node"), "node", "left_semi")
-        cand = (links.join(src.select(F.col("node").alias("src"), F.col("key").alias("pkey")), "src")
-                .select(F.col("dst").alias("node"),
-                        F.concat("pkey", F.array(F.col("pos").cast("long"))).alias("key"))
-                .join(seen.select("node"), "node", "left_anti")
-                .groupBy("node").agg(F.min("key").alias("key")))
-        nxt = cut_lineage(cand.select("node", F.lit(hop + 1).alias("hop"), "key"))
-        n = nxt.count()
-        if n == 0:
+    # gives the visiting order.
+    spark, fifo = links.sparkSession, max_pages is not None
+    if fifo:
+        found = seeds.groupBy("node").agg(F.array(F.min("ord").cast("long")).alias("key"))
+    else:
+        found = seeds.select("node").distinct()
+    path, schema, total, hop = scratch_path(spark, "crawl"), found.schema, 0, 0
+    with_hop = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields) + ", hop int"
+    while True:
+        found.write.parquet(f"{path}/hop={hop}")
+        frontier = spark.read.schema(schema).parquet(f"{path}/hop={hop}")
+        seen = spark.read.schema(with_hop).parquet(path)
+        n = frontier.count()
+        total += n
+        if n == 0 or (fifo and total >= max_pages):
             break
-        seen = cut_lineage(seen.unionByName(nxt))
-        frontier, total, hop = nxt, total + n, hop + 1
+        src = frontier if ok_nodes is None else frontier.join(ok_nodes.select("node"), "node", "left_semi")
+        reached = links.join(src.withColumnRenamed("node", "src"), "src")
+        if fifo:
+            reached = reached.select(F.col("dst").alias("node"),
+                                     F.concat("key", F.array(F.col("pos").cast("long"))).alias("key"))
+            found = reached.join(seen.select("node"), "node", "left_anti").groupBy("node").agg(F.min("key").alias("key"))
+        else:
+            found = reached.select(F.col("dst").alias("node")).distinct().join(seen.select("node"), "node", "left_anti")
+        hop += 1
+    if not fifo:
+        return seen.select("node", "hop", F.lit(None).cast("long").alias("visit_rank"), F.lit(True).alias("visited"))
     seen = with_index(seen, ["hop", "key", "node"], "rank").drop("key")
-    visited = seen if max_pages is None else seen.filter(F.col("rank") < max_pages)
+    visited = seen.filter(F.col("rank") < max_pages)
     vsrc = visited if ok_nodes is None else visited.join(ok_nodes.select("node"), "node", "left_semi")
     discovered = (links.join(vsrc.select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node"))
                   .distinct().join(visited.select("node"), "node", "left_anti")
@@ -87,20 +98,3 @@ def crawl_reach(links: DataFrame, seeds: DataFrame, max_pages: int | None = None
     return (visited.select("node", "hop", F.col("rank").alias("visit_rank"), F.lit(True).alias("visited"))
             .unionByName(discovered.select("node", "hop", F.lit(None).cast("long").alias("visit_rank"),
                                            F.lit(False).alias("visited"))))
-
-
-
-def _reach_all(links: DataFrame, seeds: DataFrame, max_hops: int, ok_nodes: DataFrame | None) -> DataFrame:
-    """E12 without a page cap: every reachable node with its hop (order is irrelevant)."""
-    seen = cut_lineage(seeds.select("node").distinct().withColumn("hop", F.lit(0)))
-    frontier = seen
-    for hop in range(1, max_hops + 1):
-        src = frontier if ok_nodes is None else frontier.join(ok_nodes.select("node"), "node", "left_semi")
-        nxt = (links.join(src.select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node"))
-               .distinct().join(seen.select("node"), "node", "left_anti").withColumn("hop", F.lit(hop)))
-        nxt = cut_lineage(nxt)
-        if nxt.isEmpty():
-            break
-        seen = cut_lineage(seen.unionByName(nxt))
-        frontier = nxt
-    return seen.select("node", "hop", F.lit(None).cast("long").alias("visit_rank"), F.lit(True).alias("visited"))

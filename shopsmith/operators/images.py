@@ -1,8 +1,7 @@
 """Image planning and outcomes.
 
-Images are bounded per page (first 10 kept, L3), so a SKU's plan is a
-many-to-one join of SKUs to their product's short image list followed by a
-bounded ``posexplode`` - never an all-pairs join.
+A SKU's plan is a many-to-one join of SKUs to their product's image list
+followed by a ``posexplode``; the first-10 rule (L3) belongs to page extraction.
 """
 
 from __future__ import annotations
@@ -34,9 +33,9 @@ def repo_slug(repo: str) -> str:
 def image_plan(skus: DataFrame, records: DataFrame, host_base: str = "https://files.example.com",
                repo: str = "shop/catalog-images", branch: str = "main", folder: str = "images",
                key: str = "url") -> DataFrame:
-    """Per SKU, every kept image of its product: sequence from 1, file name
+    """Per SKU, every image of its product: sequence from 1, file name
     ``{sku}_{seq}{ext}``, first is main, hosted URL under base/owner/repo/branch/folder."""
-    imgs = records.select(key, top_images("images").alias("imgs"))
+    imgs = records.select(key, F.col("images").alias("imgs"))
     j = skus.select(F.col("id").alias("sku_id"), "product_id", key).join(imgs, key)
     e = j.select("sku_id", "product_id", F.posexplode("imgs").alias("pos", "source_url"))
     seq = (F.col("pos") + 1).cast("int")
@@ -62,10 +61,14 @@ def enrich_images(records: DataFrame, products: DataFrame, skus: DataFrame,
             j.filter(F.col("reason").isNotNull()).select(key, "product_id", "reason"))
 
 
-def image_results(plan: DataFrame, outcomes: DataFrame) -> DataFrame:
+def image_results(plan: DataFrame, outcomes: DataFrame, order: str | None = None) -> DataFrame:
     """Outcome per planned image; a missing or empty outcome is a failure;
-    errors cut to 200 characters."""
-    o = outcomes.select("sku_id", "seq", F.col("status").alias("o_status"), F.col("error").alias("o_error"))
+    errors cut to 200 characters.  Of several outcomes for one image the latest counts
+    (highest ``order`` column; without one, an association before a failure)."""
+    rank = F.col(order) if order else F.col("status").isin("associated", "already_exists")
+    last = F.max_by(F.struct("status", "error"), F.struct(rank.alias("r"), "status", "error"))
+    o = outcomes.groupBy("sku_id", "seq").agg(last.alias("o")).select(
+        "sku_id", "seq", F.col("o.status").alias("o_status"), F.col("o.error").alias("o_error"))
     j = plan.join(o, ["sku_id", "seq"], "left")
     status = F.coalesce(F.when(F.col("o_status").isin("associated", "already_exists", "failed"), F.col("o_status")),
                         F.lit("failed"))

@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 # The platform's default warehouse and stock quantity.
 DEFAULT_WAREHOUSE = "1_1"
 DEFAULT_QUANTITY = 100
-# Warehouses are a dimension; above this many rows the job refuses to broadcast them.
-MAX_WAREHOUSES = 100_000
 
 
 def sku_inventory(skus: DataFrame, warehouses: DataFrame, quantity: int = DEFAULT_QUANTITY,
@@ -18,19 +16,15 @@ def sku_inventory(skus: DataFrame, warehouses: DataFrame, quantity: int = DEFAUL
     with none at all the default warehouse is used.  The quantity is fixed, or
     taken from ``quantity_col`` of the SKU (missing -> 0).
 
-    The output is |SKUs| x |warehouses| by definition; the warehouse side is
-    counted first and broadcast only under ``MAX_WAREHOUSES``, so every task
-    streams its own SKU partition once.
+    The output is |SKUs| x |warehouses| by definition.  No side is hinted: Spark broadcasts the
+    warehouses when their measured size allows.
     """
     wh = warehouses.select(F.col("id").cast("string").alias("warehouse_id")).filter(
         F.col("warehouse_id").isNotNull() & (F.col("warehouse_id") != "")).distinct()
-    n = wh.count()
-    if n > MAX_WAREHOUSES:
-        raise ValueError(f"{n} warehouses exceed the broadcast bound {MAX_WAREHOUSES}")
-    if n == 0:
+    if wh.isEmpty():
         wh = skus.sparkSession.createDataFrame([(DEFAULT_WAREHOUSE,)], "warehouse_id string")
     qty = (F.coalesce(F.col(quantity_col).cast("int"), F.lit(0)) if quantity_col
            else F.lit(quantity))
     s = skus.select(F.col("id").alias("sku_id"), qty.alias("quantity"))
-    return (s.crossJoin(F.broadcast(wh))
+    return (s.crossJoin(wh)
             .select("sku_id", "warehouse_id", "quantity", F.lit(False).alias("unlimited")))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_brand_name, normalize_category_name, strip
-from ..session import cut_lineage
+from ..session import staged
 from .ordering import assign_ids
 
 # Category names that are not real levels ("Início" is kept on purpose).
@@ -65,32 +65,41 @@ def build_brands(records: DataFrame) -> DataFrame:
                                                     & (F.col("name") != "Default")).distinct())
 
 
-def tree_paths(categories: DataFrame, max_depth: int = 32) -> DataFrame:
-    """Parent links -> full normalised path, level and department id.
+def tree_paths(categories: DataFrame) -> DataFrame:
+    """Parent links -> full normalised path, level, root id and reason.
 
-    Breadth-first over levels: each step is one join of the next level against
-    the current frontier; the loop ends when a level is empty or at
-    ``max_depth`` (cycle guard).  Trees are shallow, so this is a handful of joins.
+    Breadth-first over levels, one join of the next level against the current one,
+    until a level is empty.  Every category comes back: one whose parent is not in
+    the table starts a tree of its own (reason ``missing_parent``, also for what is
+    below it), one that no tree reaches lies on or below a loop (``cycle``, root id
+    null).  Both have ``#<parent id>`` as the first path entry, so no product path
+    matches them.  Of rows with one id, the one with the least (parent, name) counts.
     """
-    base = categories.select("id", "parent_id", "name")
-    level = (base.filter(F.coalesce(F.col("parent_id"), F.lit(0)) == 0)
-             .select("id", F.lit(0).cast("bigint").alias("parent_id"), "name",
-                     F.array(normalize_category_name("name")).alias("path_arr"),
-                     F.col("id").alias("root_id")))
+    base = (categories.groupBy("id").agg(F.min(F.struct(F.coalesce("parent_id", F.lit(0)).cast("bigint").alias("parent_id"),
+                                                        "name")).alias("r")).select("id", "r.*"))
+    base = staged(base, "categories")
+    own = normalize_category_name("name")
+    apart = F.array(F.concat(F.lit("#"), F.col("parent_id").cast("string")), own)
+    known = base.select(F.col("id").alias("parent_id"))
+    orphan = base.filter("parent_id <> 0").join(known, "parent_id", "left_anti")
+    level = (base.filter("parent_id = 0").select("id", "parent_id", "name", F.array(own).alias("path_arr"),
+                                                 F.col("id").alias("root_id"), F.lit(None).cast("string").alias("reason"))
+             .unionByName(orphan.select("id", "parent_id", "name", apart.alias("path_arr"), F.col("id").alias("root_id"),
+                                        F.lit("missing_parent").alias("reason"))))
     out = level
-    for _ in range(max_depth - 1):
-        nxt = (base.alias("c").join(level.select(F.col("id").alias("pid"), F.col("path_arr").alias("ppath"),
-                                                 "root_id"), F.col("c.parent_id") == F.col("pid"))
-               .select(F.col("c.id").alias("id"), F.col("c.parent_id").alias("parent_id"), F.col("c.name").alias("name"),
-                       F.concat("ppath", F.array(normalize_category_name(F.col("c.name")))).alias("path_arr"),
-                       "root_id"))
-        nxt = cut_lineage(nxt)  # each level is planned from the stored previous one
-        if nxt.isEmpty():
+    while True:
+        above = level.select(F.col("id").alias("parent_id"), F.col("path_arr").alias("above"), "root_id", "reason")
+        level = staged(base.join(above, "parent_id").select(
+            "id", "parent_id", "name", F.concat("above", F.array(own)).alias("path_arr"), "root_id", "reason"), "tree-level")
+        if level.isEmpty():
             break
-        out = out.unionByName(nxt)
-        level = nxt
-    return out.select("id", "parent_id", "name", F.size("path_arr").alias("level"), "path_arr",
-                      F.array_join("path_arr", PATH_SEP).alias("path"), "root_id")
+        out = out.unionByName(level)
+    loops = base.join(out.select("id"), "id", "left_anti").select(
+        "id", "parent_id", "name", apart.alias("path_arr"), F.lit(None).cast(base.schema["id"].dataType).alias("root_id"),
+        F.lit("cycle").alias("reason"))
+    return out.unionByName(loops).select(
+        "id", "parent_id", "name", F.size("path_arr").alias("level"), "path_arr",
+        F.array_join("path_arr", PATH_SEP).alias("path"), "root_id", "reason")
 
 
 def match_existing_categories(nodes: DataFrame, existing_paths: DataFrame) -> DataFrame:
@@ -152,7 +161,8 @@ def resolve_category(paths: DataFrame, tree: DataFrame, key: str = "url") -> Dat
     # one node per lower-cased path (lowest id) on the small side, so the product
     # side needs only fixed-width aggregates: smallest start, then longest match
     tl = t.groupBy("lpath").agg(F.min("id").alias("id"))
-    rank = F.col("m").cast("long") - F.col("i").cast("long") * 4096
+    # both fit 32 bits, so one long ranks every (start, length)
+    rank = F.col("m").cast("long") - F.col("i").cast("long") * F.lit(1 << 32)
     direct = cand.join(tl, "lpath").groupBy(key).agg(F.max_by("id", rank).alias("direct_id"))
     roots = t.filter(F.col("level") == 1).groupBy(F.element_at("lpath", 1).alias("root")).agg(
         F.min("id").alias("root_id"))

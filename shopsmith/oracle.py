@@ -12,7 +12,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "v_products": ((), """
 select p_partkey as product_key,
   'https://shop.example.com/' || lower(p_type) || '/' || replace(p_name,' ','-') || '-'
-    || lpad(cast(p_partkey as varchar),6,'0') || '.html' as url,
+    || lpad(cast(p_partkey as varchar),12,'0') || '.html' as url,
   p_name as name, case when p_partkey % 50 = 7 then 'Default' else p_brand end as brand,
   cast(p_retailprice as double) as price, p_size as size_no,
   p_type as l1, split_part(p_name,' ',2) as l2, split_part(p_name,' ',1) as l3
@@ -22,7 +22,7 @@ select product_key, 1 as level, l1 as name from v_products where product_key % 2
 union all select product_key, 2, l2 from v_products where product_key % 20 <> 9
 union all select product_key, 3, l3 from v_products where product_key % 20 <> 9 and product_key % 4 <> 1"""),
     "v_skus": ((), """
-select l_partkey as product_key, l_partkey * 10000 + l_suppkey as sku_id, l_suppkey as variant_no,
+select l_partkey as product_key, l_partkey * 100000000 + l_suppkey as sku_id, l_suppkey as variant_no,
   case (l_partkey + l_suppkey) % 9 when 0 then null when 1 then cast(0 as double) else min(p_retailprice) end as price,
   max(l_extendedprice) as list_price
 from lineitem join part on p_partkey = l_partkey where l_partkey % 10 <> 3 group by l_partkey, l_suppkey"""),
@@ -36,7 +36,7 @@ select product_key, 1 as seq, 'SIZE' as name, cast(size_no as varchar) as value
 union all select product_key, 2, ' line ', l1 from v_products
 union all select product_key, 3, 'finish', '' from v_products where product_key % 2 = 0"""),
     "v_warehouses": ((), """
-select '1_' || cast(s_suppkey as varchar) as id, s_name as name from supplier where s_suppkey < 7"""),
+select '1_' || cast(s_nationkey as varchar) as id, min(s_name) as name from supplier group by s_nationkey"""),
     "v_existing_l1": (("v_products",), """
 select cast(row_number() over (order by l1) as bigint) as id, cast(0 as bigint) as parent_id, l1 as name
 from (select distinct l1 from v_products where l1 <> 'PROMO') t"""),

@@ -17,7 +17,7 @@ _PLAN = f"""
 plan0 as (select s.id as sku_id, s.product_id, i.seq, i.image_url as source_url,
             lower(regexp_replace(regexp_extract(split_part(split_part(i.image_url, '?', 1), '#', 1),
               '[^./](\\.[^./]*)$', 1), '-\\d+[wWhH]?[xX]\\d+[wWhH]?', '', 'g')) as e
-          from skids s join v_images i on i.product_key = s.product_id where i.seq <= 10),
+          from skids s join v_images i on i.product_key = s.product_id),
 plan as (select sku_id, product_id, seq, source_url, cast(sku_id as varchar) || '_' || cast(seq as varchar) || {_EXT}
            as file_name, seq = 1 as is_main from plan0),
 res as (select p.sku_id, p.seq, case when o.status in ('associated', 'already_exists', 'failed') then o.status

@@ -169,26 +169,29 @@ def q_dedupe_first_seen(spark, sf):
 
 
 @query("listing_harvest", """
-with l as (select * from v_listing where page between 1 and 20),
-pg as (select category_no, page, max(status) as status, count(*) as n from l group by 1, 2),
-f as (select category_no, product_key, min(page) as fp from l group by 1, 2),
-nw as (select category_no, fp as page, count(*) as n_new from f group by 1, 2),
-grid as (select c.category_no, g.page from (select distinct category_no from l) c, range(1, 21) g(page)),
-stop as (select g.category_no, min(g.page) as stop_page from grid g left join pg p using (category_no, page)
-         left join nw n using (category_no, page)
-         where p.page is null or p.status <> 200 or coalesce(n.n_new, 0) = 0 group by 1),
-kept as (select l.* from l left join stop s using (category_no) where l.page < coalesce(s.stop_page, 21))
+with recursive seen as (select category_no, product_key, min(page) as fp from v_listing group by 1, 2),
+gain as (select distinct category_no, fp as page from seen),
+walk(category_no, page) as (
+  select distinct category_no, 0 from v_listing
+  union all
+  select w.category_no, w.page + 1 from walk w join gain g on g.category_no = w.category_no and g.page = w.page + 1
+  where not exists (select 1 from v_listing x where x.category_no = g.category_no and x.page = g.page and x.status <> 200))
 select product_key, min_by(category_no, category_no * 1000 + page) as category_no,
-       min_by(page, category_no * 1000 + page) as page from kept group by product_key""", ("v_listing",))
+       min_by(page, category_no * 1000 + page) as page
+from v_listing join walk using (category_no, page) group by product_key""", ("v_listing",))
 def q_listing_harvest(spark, sf):
-    kept = C.listing_harvest(_cat(spark, sf).inputs.listing, 20)
+    kept = C.listing_harvest(_cat(spark, sf).inputs.listing)
     return C.harvest_first_seen(kept)
 
 
-@query("crawl_reach", """
-with recursive r(node, hop) as (
-  select 0::bigint, 0 union select l.dst, r.hop + 1 from r join v_links l on l.src = r.node where r.hop < 64)
-select node, min(hop) as hop from r group by node""", ("v_links",))
+# hops of all reachable pages; a page keeps its first hop, so the recursion ends by itself
+_DUCK_HOPS = """h(node, hop) using key (node) as (
+  select 0::bigint, 0 union
+  select l.dst, min(h.hop) + 1 from h join v_links l on l.src = h.node
+  where l.dst not in (select node from recurring.h) group by l.dst)"""
+
+
+@query("crawl_reach", f"with recursive {_DUCK_HOPS} select node, hop from h", ("v_links",))
 def q_crawl_reach(spark, sf):
     """E12 from page 0 without a page cap: every reachable page with its hop."""
     c = _cat(spark, sf)
@@ -210,10 +213,9 @@ def q_merge_tree(spark, sf):
     return merge_tree(old, new, "id")
 
 
-@query("crawl_reach_capped", """
-with recursive h(node, hop) as (
-  select 0::bigint, 0 union select l.dst, h.hop + 1 from h join v_links l on l.src = h.node where h.hop < 64),
-hops as (select node, min(hop) as hop from h group by node),
+@query("crawl_reach_capped", f"""
+with recursive {_DUCK_HOPS},
+hops as (select node, hop from h),
 k(node, hop, key) as (
   select 0::bigint, 0, []::bigint[]
   union all

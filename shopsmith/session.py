@@ -72,6 +72,14 @@ def cut_lineage(df):
     return df.checkpoint(eager=True)
 
 
+def staged(df, name: str):
+    """Write ``df`` as Parquet in the shared scratch folder and read it back: like
+    ``cut_lineage``, but columnar, so readers prune columns and see statistics."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint folder (never a machine-local path
     on a cluster) for stage files, stream checkpoints and outboxes."""

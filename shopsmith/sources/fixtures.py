@@ -4,7 +4,7 @@ The driver ships TPC-H-like tables; the catalog build needs shop pages,
 nested product records, an existing catalog, warehouses and so on.  These
 builders derive them with ordinary joins and aggregations so every query's
 work grows with the given tables.  The derivation rules are fixed values shared
-with the DuckDB oracle (see ``oracle_views.py``); the odd conditions create the
+with the DuckDB oracle (see ``oracle.py``); the odd conditions create the
 edge cases the build has to handle (Default brand, missing levels, products
 without SKUs, null and zero prices, 0-4 images, missing outcomes, ...).
 """
@@ -38,7 +38,7 @@ class CatalogInputs:
         url = F.concat(
             F.lit("https://shop.example.com/"), F.lower("p_type"), F.lit("/"),
             F.regexp_replace("p_name", " ", "-"), F.lit("-"),
-            F.lpad(key.cast("string"), 6, "0"), F.lit(".html"))
+            F.lpad(key.cast("string"), 12, "0"), F.lit(".html"))
         return p.select(
             key.alias("product_key"), url.alias("url"), F.col("p_name").alias("name"),
             F.when(key % 50 == 7, F.lit("Default")).otherwise(F.col("p_brand")).alias("brand"),
@@ -69,7 +69,7 @@ class CatalogInputs:
         sel = (F.col("l_partkey") + F.col("l_suppkey")) % 9
         return g.select(
             F.col("l_partkey").alias("product_key"),
-            (F.col("l_partkey") * 10000 + F.col("l_suppkey")).alias("sku_id"),
+            (F.col("l_partkey") * 100_000_000 + F.col("l_suppkey")).alias("sku_id"),
             F.col("l_suppkey").alias("variant_no"),
             F.when(sel == 0, F.lit(None).cast("double")).when(sel == 1, F.lit(0.0))
             .otherwise(F.col("min_price")).alias("price"),
@@ -99,9 +99,9 @@ class CatalogInputs:
 
     @cached_property
     def warehouses(self) -> DataFrame:
-        s = self.t("supplier")
-        return s.filter(F.col("s_suppkey") < 7).select(
-            F.concat(F.lit("1_"), F.col("s_suppkey").cast("string")).alias("id"), F.col("s_name").alias("name"))
+        # one per nation with suppliers: reads all of them and stays a dimension at any scale
+        return self.t("supplier").groupBy("s_nationkey").agg(F.min("s_name").alias("name")).select(
+            F.concat(F.lit("1_"), F.col("s_nationkey").cast("string")).alias("id"), "name")
 
     @cached_property
     def existing_l1(self) -> DataFrame:

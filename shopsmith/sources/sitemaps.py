@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.urls import url_root
-from ..session import cut_lineage
+from ..session import staged
 
 _XML_SCHEMA = "url array<struct<loc:string>>, sitemap array<struct<loc:string>>, _corrupt_record string"
 _XML_OPTS = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
@@ -31,7 +31,10 @@ def _malformed(x):
 def sitemap_urls(sitemaps: DataFrame) -> DataFrame:
     """A2: (sitemap_url, url) for every ``<url><loc>``; malformed XML falls back to
     the ``<loc>...</loc>`` pattern."""
-    p = _parsed(sitemaps)
+    return _urls(_parsed(sitemaps))
+
+
+def _urls(p: DataFrame) -> DataFrame:
     good = p.filter(~_malformed(F.col("x"))).select(
         "sitemap_url", F.explode(F.transform("x.url", lambda u: u["loc"])).alias("url"))
     bad = p.filter(_malformed(F.col("x")) & F.col("body").isNotNull()).select(
@@ -41,7 +44,11 @@ def sitemap_urls(sitemaps: DataFrame) -> DataFrame:
 
 def sitemap_index_refs(sitemaps: DataFrame) -> DataFrame:
     """A3: (sitemap_url, child_url) for every ``<sitemap><loc>`` of an index."""
-    p = _parsed(sitemaps).filter(~_malformed(F.col("x")))
+    return _refs(_parsed(sitemaps))
+
+
+def _refs(p: DataFrame) -> DataFrame:
+    p = p.filter(~_malformed(F.col("x")))
     return p.select("sitemap_url", F.explode(F.transform("x.sitemap", lambda s: s["loc"])).alias("child_url")) \
         .filter(F.col("child_url").isNotNull() & (F.col("child_url") != ""))
 
@@ -53,30 +60,27 @@ def robots_sitemaps(robots: DataFrame, url_col: str = "sitemap_url", body_col: s
         "site", F.trim("sitemap_url").alias("sitemap_url"))
 
 
-def expand_sitemaps(sitemaps: DataFrame, roots: DataFrame, max_depth: int = 8) -> DataFrame:
+def expand_sitemaps(sitemaps: DataFrame, roots: DataFrame) -> DataFrame:
     """A5: from root sitemap URLs follow index references to child bodies and
-    collect page URLs; one join per level, visited set kept as an anti-join;
-    result deduplicated."""
+    collect page URLs; one join per level until a level brings no new sitemap (the
+    visited anti-join ends cycles); result deduplicated."""
     bodies = sitemaps.filter(F.coalesce(F.col("status"), F.lit(200)) == 200) if "status" in sitemaps.columns \
         else sitemaps
     bodies = bodies.select("sitemap_url", "body")
-    # parse every body once; the level loop only joins the small results
-    refs = cut_lineage(sitemap_index_refs(bodies))
-    urls = cut_lineage(sitemap_urls(bodies))
+    # every body is parsed once and stored; the level loop only joins the references
+    parsed = staged(_parsed(bodies), "sitemaps")
+    refs = staged(_refs(parsed), "sitemap-refs")
     frontier = roots.select(F.trim("sitemap_url").alias("sitemap_url")).distinct()
     visited = frontier
-    found = None
-    for _ in range(max_depth):
-        hit = urls.join(frontier, "sitemap_url", "left_semi").select("url")
-        found = hit if found is None else found.unionByName(hit)
+    while True:
         nxt = (refs.join(frontier, "sitemap_url", "left_semi").select(F.col("child_url").alias("sitemap_url"))
                .distinct().join(visited, "sitemap_url", "left_anti"))
-        nxt = cut_lineage(nxt)
+        nxt = staged(nxt, "sitemap-level")
         if nxt.isEmpty():
             break
-        visited = cut_lineage(visited.unionByName(nxt))
+        visited = visited.unionByName(nxt)
         frontier = nxt
-    return found.distinct()
+    return _urls(parsed).join(visited, "sitemap_url", "left_semi").select("url").distinct()
 
 
 def pick_site_entry(sitemaps: DataFrame) -> DataFrame:
@@ -89,7 +93,7 @@ def pick_site_entry(sitemaps: DataFrame) -> DataFrame:
         F.min_by("sitemap_url", rank).alias("entry_url"), F.min(rank).alias("entry_rank"))
 
 
-def site_urls(sitemaps: DataFrame, max_depth: int = 8) -> DataFrame:
+def site_urls(sitemaps: DataFrame) -> DataFrame:
     """A4-A6 together: per site pick the entry; robots entries point to their sitemaps;
     expand everything reachable; distinct URLs."""
     entry = pick_site_entry(sitemaps)
@@ -97,4 +101,4 @@ def site_urls(sitemaps: DataFrame, max_depth: int = 8) -> DataFrame:
         .filter(F.col("sitemap_url").endswith("/robots.txt"))
     roots = (entry.filter(~F.col("entry_url").endswith("/robots.txt")).select(F.col("entry_url").alias("sitemap_url"))
              .unionByName(robots_sitemaps(robots).select("sitemap_url")))
-    return expand_sitemaps(sitemaps, roots, max_depth)
+    return expand_sitemaps(sitemaps, roots)
