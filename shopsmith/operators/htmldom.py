@@ -241,27 +241,34 @@ def select(root: Node, sel) -> list[Node]:
     return [n for n in nodes if any(_match_chain(n, ch) for ch in chains)]
 
 
+# Elements that stay although they hold no text.
+KEPT_EMPTY = ("img", "input", "meta", "link")
+
+
 def render(node: Node, drop=("script", "style", "noscript")) -> str:
-    """Serialise a subtree, dropping the given elements, comments (already gone)
-    and elements that end up empty unless they hold media or form elements."""
-    keep_empty = {"img", "input", "meta", "link", "br", "hr", "source", "picture", "video", "iframe"}
-
-    def has_keep(n):
-        return any(isinstance(c, Node) and c.tag in keep_empty for c in n.iter())
-
-    def out(n):
-        if isinstance(n, str):
-            return escape(n, quote=False)  # text was unescaped by the parser
-        if n.tag in drop:
-            return ""
-        inner = "".join(out(c) for c in n.children)
-        if n.tag == "#root":
-            return inner
-        attrs = "".join(f' {k}="{escape(v)}"' if v != "" else f" {k}" for k, v in n.attrs.items())
-        if n.tag in VOID:
-            return f"<{n.tag}{attrs}>"
-        if not inner.strip() and n.tag not in keep_empty and not has_keep(n) and n.tag not in ("html", "head", "body"):
-            return ""
-        return f"<{n.tag}{attrs}>{inner}</{n.tag}>"
-
-    return out(node)
+    """Serialise a subtree, dropping the given elements, comments (already gone) and
+    elements that hold neither text nor one of ``KEPT_EMPTY``.  One pass with its own
+    stack, so depth is no limit."""
+    stack = [(node, iter(node.children), [], [False])]  # node, children left, output, holds something
+    while True:
+        n, left, parts, holds = stack[-1]
+        child = next(left, None)
+        if isinstance(child, str):
+            parts.append(escape(child, quote=False))  # text was unescaped by the parser
+            holds[0] |= bool(child.strip())
+        elif child is not None:
+            if child.tag not in drop:
+                stack.append((child, iter(child.children), [], [child.tag in KEPT_EMPTY]))
+        else:
+            stack.pop()
+            inner = "".join(parts)
+            if not stack:
+                return inner if n.tag == "#root" else _element(n, inner)
+            if holds[0] or n.tag in ("html", "head", "body"):
+                stack[-1][2].append(_element(n, inner))
+                stack[-1][3][0] |= holds[0]
+
+
+def _element(n: Node, inner: str) -> str:
+    attrs = "".join(f' {k}="{escape(v)}"' if v != "" else f" {k}" for k, v in n.attrs.items())
+    return f"<{n.tag}{attrs}>" if n.tag in VOID else f"<{n.tag}{attrs}>{inner}</{n.tag}>"

@@ -28,17 +28,30 @@ def flatten_products(records: DataFrame, key: str = "url") -> dict[str, DataFram
     return {"products": products, "product_categories": cats, "skus": skus, "specs": specs, "images": images}
 
 
-def products_last_wins(records: DataFrame, order: str, key: str = "url") -> DataFrame:
-    """Records stored by URL, the last one (highest ``order``) wins."""
-    rest = [c for c in records.columns if c != key]
-    return (records.groupBy(key).agg(F.max_by(F.struct(*rest), F.col(order)).alias("__r"))
-            .select(key, "__r.*"))
+def products_last_wins(records: DataFrame, order: str | None = None, key: str = "url") -> DataFrame:
+    """Records stored by URL, the last one (highest ``order``) wins; among equals, or
+    without an order, the largest record, so a rerun keeps the same one."""
+    rest = F.struct(*[c for c in records.columns if c != key])
+    last = F.max_by(rest, F.struct(F.col(order), rest)) if order else F.max(rest)
+    return records.groupBy(key).agg(last.alias("__r")).select(key, "__r.*")
+
+
+def first_of_id(df: DataFrame, preserved: str, order: list[str]) -> DataFrame:
+    """Add ``repeats_id``: the row's preserved id is also that of a row before it in
+    ``order`` (rows without one never do)."""
+    first = df.filter(F.col(preserved).isNotNull()).groupBy(F.col(preserved).alias("__id")).agg(
+        F.min(F.struct(*order)).alias("__first"))
+    return (df.join(first, F.col(preserved) == F.col("__id"), "left")
+            .withColumn("repeats_id", F.coalesce(F.struct(*order) != F.col("__first"), F.lit(False)))
+            .drop("__id", "__first"))
 
 
 def build_products(records: DataFrame, tree: DataFrame, brands: DataFrame, existing_max_id: int = 0,
                    key: str = "url") -> tuple[DataFrame, DataFrame]:
     """Resolve category (J3/J4) and brand (J6); products without either are
-    rejected with a reason; ids preserved from the record or assigned."""
+    rejected with a reason; ids preserved from the record or assigned.  One record per
+    ``key`` (W6 sees to that); of records with one preserved id the first by ``key``
+    keeps it, the others are rejected (``duplicate_id``)."""
     base = records.select(
         key, F.col("product.Name").alias("name"), F.col("product.ProductId").alias("product_id_text"),
         extract_id(F.col("product.ProductId")).alias("product_id_preserved"),
@@ -53,7 +66,10 @@ def build_products(records: DataFrame, tree: DataFrame, brands: DataFrame, exist
     j = base.join(cat, key, "left").join(br, key, "left")
     reason = (F.when(F.col("category_id").isNull(), F.lit("no_category"))
               .when(F.col("brand_id").isNull(), F.lit("no_brand")))
-    j = j.withColumn("reason", reason)
+    j = j.withColumn("reason", reason).withColumn(
+        "__kept_id", F.when(F.col("reason").isNull(), F.col("product_id_preserved")))
+    j = first_of_id(j, "__kept_id", [key]).withColumn(
+        "reason", F.coalesce("reason", F.when(F.col("repeats_id"), "duplicate_id"))).drop("repeats_id", "__kept_id")
     rejects = j.filter(F.col("reason").isNotNull()).select(key, "name", "reason")
     ok = j.filter(F.col("reason").isNull()).drop("reason")
     ok = assign_ids(ok, "product_id_preserved", existing_max_id, [key], "id")
@@ -69,7 +85,8 @@ def build_skus(records: DataFrame, products: DataFrame, existing_max_id: int = 0
                key: str = "url") -> DataFrame:
     """One row per SKU of a loaded product; a product without SKUs gets a
     ``Default`` SKU; EAN defaults to ``EAN{product id}``; ref id = RefId or SkuId;
-    all eight dimensions 1; inactive until an image is associated (E5)."""
+    all eight dimensions 1; inactive until an image is associated (E5).  Of SKUs with
+    one preserved id the first by (product, position) keeps it, the others get new ids."""
     p = products.select(key, F.col("id").alias("product_id"))
     recs = records.select(key, "skus").join(p, key)
     s = recs.select(key, "product_id", F.posexplode_outer("skus").alias("pos", "s"))
@@ -81,6 +98,8 @@ def build_skus(records: DataFrame, products: DataFrame, existing_max_id: int = 0
         F.coalesce(F.when(F.col("s.RefId") != "", F.col("s.RefId")), F.col("s.SkuId")).alias("ref_id"),
         sku_price(F.col("s.Price")).alias("price"),
         sku_list_price(F.col("s.ListPrice"), F.col("s.Price")).alias("list_price"))
+    sku = first_of_id(sku, "sku_id_preserved", ["product_id", "pos"]).withColumn(
+        "sku_id_preserved", F.when(~F.col("repeats_id"), F.col("sku_id_preserved"))).drop("repeats_id")
     sku = assign_ids(sku, "sku_id_preserved", existing_max_id, ["product_id", "pos"], "id")
     dims = [F.lit(1).alias(c) for c in ("package_height", "package_width", "package_length", "package_weight",
                                          "height", "width", "length", "weight")]
@@ -88,31 +107,37 @@ def build_skus(records: DataFrame, products: DataFrame, existing_max_id: int = 0
                       F.lit(False).alias("is_active"), *dims, "sku_id_preserved")
 
 
+def _upsert(new: DataFrame, existing: DataFrame, key: str = "id") -> DataFrame:
+    """``key``, ``new`` and ``old`` (whole rows as one struct type, null where absent)."""
+    types = {f.name: f.dataType for df in (existing, new) for f in df.schema.fields if f.name != key}
+
+    def whole(df, name):
+        return df.select(key, F.struct(*[(F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(c)
+                                         for c, t in types.items()]).alias(name))
+    return whole(new, "new").join(whole(existing, "old"), key, "full_outer")
+
+
 def upsert_products(new: DataFrame, existing: DataFrame) -> DataFrame:
-    """Insert new ids; on an id conflict keep the existing row but force it
-    active and visible."""
-    n = new.select("id", F.col("name").alias("n_name"))
-    e = existing.select("id", F.col("name").alias("e_name"), F.col("is_active").alias("e_active"),
-                        F.col("is_visible").alias("e_visible"))
-    j = n.join(e, "id", "full_outer")
-    touched = F.col("n_name").isNotNull()
-    return j.select(
-        "id", F.coalesce("e_name", "n_name").alias("name"),
-        F.when(touched, F.lit(True)).otherwise(F.col("e_active")).alias("is_active"),
-        F.when(touched, F.lit(True)).otherwise(F.col("e_visible")).alias("is_visible"),
-        F.when(F.col("e_name").isNull(), "inserted").when(touched, "kept_existing").otherwise("untouched")
-        .alias("action"))
+    """Insert new ids; on an id conflict keep the existing row (all its columns,
+    nulls included) but force it active and visible."""
+    j = _upsert(new, existing)
+    row, touched = F.coalesce("old", "new"), F.col("new").isNotNull()
+    rest = [c for c in j.schema["old"].dataType.names if c not in ("is_active", "is_visible")]
+    return j.select("id", *[row[c].alias(c) for c in rest],
+                    *[F.when(touched, True).otherwise(F.col("old")[c]).alias(c) for c in ("is_active", "is_visible")],
+                    _action().alias("action"))
 
 
 def upsert_skus(new: DataFrame, existing: DataFrame) -> DataFrame:
-    """Insert new ids; on conflict keep the existing SKU."""
-    n = new.select("id", F.col("name").alias("n_name"), F.col("product_id").alias("n_product"))
-    e = existing.select("id", F.col("name").alias("e_name"), F.col("product_id").alias("e_product"))
-    j = n.join(e, "id", "full_outer")
-    return j.select("id", F.coalesce("e_name", "n_name").alias("name"),
-                    F.coalesce("e_product", "n_product").alias("product_id"),
-                    F.when(F.col("e_name").isNull(), "inserted").when(F.col("n_name").isNotNull(), "kept_existing")
-                    .otherwise("untouched").alias("action"))
+    """Insert new ids; on conflict keep the existing SKU, all its columns."""
+    j = _upsert(new, existing)
+    return j.select("id", *[F.coalesce("old", "new")[c].alias(c) for c in j.schema["old"].dataType.names],
+                    _action().alias("action"))
+
+
+def _action():
+    return (F.when(F.col("old").isNull(), "inserted").when(F.col("new").isNotNull(), "kept_existing")
+            .otherwise("untouched"))
 
 
 def activate_skus(skus: DataFrame, sku_image_status: DataFrame) -> DataFrame:

@@ -298,7 +298,7 @@ from prod n full outer join v_existing_products e on e.id = n.id""",
        _CAT_VIEWS + ("v_products", "v_existing_brands", "v_existing_products"))
 def q_upsert_products(spark, sf):
     c = _cat(spark, sf)
-    return P.upsert_products(c.products, c.inputs.existing_products)
+    return P.upsert_products(c.products, c.inputs.existing_products).select("id", "name", "is_active", "is_visible", "action")
 
 
 @query("products_last_wins", """
@@ -337,4 +337,4 @@ def q_upsert_skus(spark, sf):
     ex = c.inputs.skus.filter(F.col("product_key") % 3 == 0).select(
         F.col("sku_id").alias("id"), F.concat(F.lit("old Variant "), F.col("variant_no").cast("string")).alias("name"),
         F.col("product_key").alias("product_id"))
-    return P.upsert_skus(c.skus, ex)
+    return P.upsert_skus(c.skus, ex).select("id", "name", "product_id", "action")

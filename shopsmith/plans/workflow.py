@@ -4,8 +4,8 @@ pages -> HTML pass (C3) -> valid records (B14) -> tree and brands (E9) ->
 products (E3) -> SKUs (E4) -> image plan (W3) -> outcomes (E8) -> per-SKU
 status (G3) -> active SKUs (E5) -> prices (E6) -> inventory (J7) -> summary (G5)
 and the outbox of load requests in load order (A10, W7).  Stage outputs are
-checkpointed into the shared checkpoint folder, so a lost executor recomputes
-only the current stage.
+Parquet tables in a shared folder, so a lost executor recomputes only the
+current stage.
 """
 
 from __future__ import annotations
@@ -22,8 +22,8 @@ from ..operators import quality as Q
 from ..operators import report as R
 from ..operators import tree as T
 from ..operators.stock import sku_inventory
-from ..session import cut_lineage
-from ..sources.stages import export_payloads
+from ..session import staged
+from ..sources.stages import export_payloads, load_stage, write_stage
 
 
 @dataclass
@@ -42,36 +42,72 @@ class WorkflowResult:
     inventory: DataFrame
     summary: DataFrame
     outbox: DataFrame
+    image_rejects: DataFrame     # J8: records whose images cannot be planned, with a reason
+    catalog_products: DataFrame  # J11: the catalog after the load
+    catalog_skus: DataFrame      # J12
 
 
 def run_workflow(pages: DataFrame, existing_categories: DataFrame, existing_brands: DataFrame,
                  warehouses: DataFrame, outcomes: DataFrame | None = None, existing_products: DataFrame | None = None,
-                 rules: DataFrame | None = None, key: str = "url") -> WorkflowResult:
+                 rules: DataFrame | None = None, key: str = "url", existing_skus: DataFrame | None = None,
+                 stage_dir: str | None = None, order: str | None = None) -> WorkflowResult:
     """E13.  ``outcomes`` (sku_id, seq, status, error) come from the image host;
-    without them every planned image counts as associated."""
-    recs = cut_lineage(H.extract_products(pages, key=key, rules=rules))
-    if key != "url":
-        recs = recs.drop(key)
+    without them every planned image counts as associated.  A URL captured several
+    times counts once: the capture with the highest ``order`` column (W6).
+
+    Stages are Parquet tables; with ``stage_dir`` (a shared folder for this run) they are
+    kept there under their numbers and a second run goes on after the last finished one.
+    """
+    spark = pages.sparkSession
+
+    def step(name: str, build) -> DataFrame:
+        if stage_dir is None:
+            return staged(build(), name)
+        done = load_stage(spark, name, stage_dir)
+        if done is None:
+            write_stage(build(), name, stage_dir)
+            done = load_stage(spark, name, stage_dir)
+        return done
+
+    def extract() -> DataFrame:
+        last = pages
+        if order:
+            last = pages.join(pages.groupBy("url").agg(F.max(order).alias(order)), ["url", order], "left_semi")
+        recs = H.extract_products(last, key=key, rules=rules)
+        recs = P.products_last_wins(recs.drop(key) if key != "url" else recs)
+        return recs.withColumn("skus", P.fill_sku_ids("skus", "product.ProductId"))
+
+    def top(df: DataFrame | None) -> int:
+        return 0 if df is None else df.agg(F.coalesce(F.max("id"), F.lit(0)).alias("m")).first()["m"]
+
+    recs = step("extraction", extract)
     good, bad = Q.valid_records(recs)
-    tree = cut_lineage(T.build_category_tree(good, existing_categories))
-    brands = cut_lineage(T.build_brand_dim(good, existing_brands))
-    max_id = 0
-    if existing_products is not None:
-        max_id = existing_products.agg(F.coalesce(F.max("id"), F.lit(0)).alias("m")).first()["m"]
-    products, prejects = P.build_products(good, tree, brands, max_id)
-    products = cut_lineage(products)
-    skus = cut_lineage(P.build_skus(good, products))
-    plan = cut_lineage(I.image_plan(skus, good))
+    tree = step("category_tree", lambda: T.build_category_tree(good, existing_categories))
+    brands = step("brands", lambda: T.build_brand_dim(good, existing_brands))
+    resolved = {}
+
+    def build(part: int) -> DataFrame:
+        if not resolved:
+            resolved["both"] = P.build_products(good, tree, brands, top(existing_products))
+        return resolved["both"][part]
+
+    products = step("products", lambda: build(0))
+    prejects = step("product_rejects", lambda: build(1))
+    skus = step("products_skus", lambda: P.build_skus(good, products, top(existing_skus)))
+    plan = step("images", lambda: I.image_plan(skus, good))
     if outcomes is None:
         outcomes = plan.select("sku_id", "seq", F.lit("associated").alias("status"),
                                F.lit(None).cast("string").alias("error"))
     results = I.image_results(plan, outcomes)
-    status = cut_lineage(I.sku_image_status(skus, results))
+    status = step("execution", lambda: I.sku_image_status(skus, results))
     active = P.activate_skus(skus, status)
     prices = P.sku_prices(skus)
     inventory = sku_inventory(skus, warehouses)
     summary = R.execution_summary(tree, brands, products, skus, status, prices, inventory)
     outbox = export_payloads({"tree": tree, "brands": brands, "products": products, "skus": active,
                               "images": plan, "prices": prices, "inventory": inventory})
-    return WorkflowResult(good, bad, tree, brands, products, prejects, active, plan, results, status, prices,
-                          inventory, summary, outbox)
+    return WorkflowResult(
+        good, bad, tree, brands, products, prejects, active, plan, results, status, prices, inventory, summary, outbox,
+        image_rejects=I.enrich_images(good, products, skus)[1],
+        catalog_products=products if existing_products is None else P.upsert_products(products, existing_products),
+        catalog_skus=active if existing_skus is None else P.upsert_skus(active, existing_skus))
