@@ -142,12 +142,21 @@ def q_needs_cleaning(spark, sf):
     return p.select("page_id", H.needs_cleaning(p, 10000).alias("needs_cleaning"))
 
 
-@query("clean_html")
+_DUCK_KEPT = """
+'<html><head><title>' || name || ' | Shop</title><meta property="og:type" content="product"><meta name="description" content="About '
+ || name || '."></head><body><nav class="breadcrumb"><a href="/">Home</a><a href="/' || lower(l1) || '">' || l1 || '</a><a href="/'
+ || lower(l1) || '/' || l2 || '">' || l2 || '</a></nav><h1 itemprop="name">' || name || '</h1><div data-product-id="'
+ || cast(product_key as varchar) || '" data-brand="' || brand || '"><span itemprop="price">$ '
+ || cast(cast(price as decimal(12,2)) as varchar) || '</span></div><div class="product-gallery"><img src="//img.example.com/product/'
+ || cast(product_key as varchar) || '/thumb_200x200/1.jpg"><img src="/static/logo.png"></div><table class="specifications"><tr><th>Size</th><td>'
+ || cast(size_no as varchar) || '</td></tr><tr><th>Line</th><td>' || l1 || '</td></tr></table></body></html>'"""
+
+
+@query("clean_html", f"select product_key as page_id, true as cleaned, {_DUCK_KEPT} as html from v_products", ("v_products",))
 def q_clean_html(spark, sf):
-    """C1 with a 10,000-character threshold (the captured pages stay below the default)."""
-    from ..sources.tables import table
-    p = table(spark, sf, "pages").select("page_id", "url", "html")
-    return H.cleaning_sizes(p, 10000, "page_id")
+    """C1 on every shop page: style, script, comment and the empty form go, the rest stays."""
+    pages = _cat(spark, sf).inputs.product_pages.select("page_id", "url", "html")
+    return H.clean_html(pages, 0, "page_id").select("page_id", "cleaned", "html")
 
 
 @query("apply_field_rules", """
