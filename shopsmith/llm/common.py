@@ -8,8 +8,8 @@ from pyspark.sql.types import StructType
 
 from ..session import ensure_checkpoint_dir, scratch_path
 
-#: Rows per Arrow batch: documents reach 100s of KB, so batches stay small.
-BATCH_ROWS = 512
+#: Rows and bytes per Arrow batch: documents reach 100s of KB, so batches stay small.
+BATCH_ROWS, BATCH_BYTES = 512, 32 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +25,7 @@ def small_batches(spark: SparkSession) -> None:
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key, "10000")) <= BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def map_lists(df: DataFrame, fn, schema: str | StructType) -> DataFrame:

@@ -1,14 +1,16 @@
 """Quality rules by distribution divergence: a document's character-class and common-word
 histograms against those of its language, by Jensen-Shannon distance.
 
-The references are counted over all documents: classes exactly, words with bounded memory
-per task (a word's count is short by at most the task's words / ``TASK_WORDS``).  A document
-is compared with its own language and, where that does not fit, with the others; it is kept
-if one language fits both ways.  Texts below the length guards are not judged by histogram.
+The references are exact counts over all documents; a task hands its counts on before they
+outgrow its memory.  A document is compared with its own language and, where that does not
+fit, with the others; it is kept if one language fits both ways.  Texts below the length
+guards are not judged by histogram.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,9 +24,9 @@ LEAST_WORDS, MOST_REPEAT_PERCENT = 50, 50
 CLASS_DISTANCE, WORD_DISTANCE = 0.25, 0.50
 #: Length guards: characters for classes, words for the common words.
 LEAST_CHARS, LEAST_HISTOGRAM_WORDS = 200, 50
-#: Common words of a reference; words counted at a time in a task.
-COMMON_WORDS, TASK_WORDS = 64, 5_000
-#: References: the languages with most documents; others are compared with all documents'.
+#: Common words of a reference; distinct words and bytes of text counted at a time in a task.
+COMMON_WORDS, TASK_WORDS, TASK_BYTES = 64, 100_000, 1 << 26
+#: References: the languages with most words; others are compared with all documents'.
 MOST_LANGUAGES = 1_000
 
 
@@ -34,55 +36,57 @@ def bare(word: bytes) -> bytes:
 
 
 class _Counter:
-    """Per task: class bytes and word counts by language, pruned to TASK_WORDS words."""
+    """Per task: class bytes and word counts by language, handed on whenever they reach
+    ``task_words`` words or stand for TASK_BYTES of text; Spark adds them up."""
+
+    task_words = TASK_WORDS
 
     def __init__(self):
-        self.words: dict[str, dict[bytes, int]] = {}
+        self.clear()
+
+    def clear(self):
+        self.words: dict[str, Counter[bytes]] = {}
         self.classes: dict[str, np.ndarray] = {}
+        self.held = self.seen = 0
 
     def __call__(self, rows):
-        from collections import Counter
+        out = {"lang": [], "kind": [], "name": [], "n": []}
         for lang, text in zip(rows["lang"], rows["text"]):
             lang = lang or ""
             raw = (text or "").encode("utf-8")
             c = class_bytes(np.bincount(np.frombuffer(raw, np.uint8), minlength=256))
             self.classes[lang] = self.classes.get(lang, 0) + c
             words = self.words.setdefault(lang, Counter())
+            before = len(words)
             words.update(map(bare, raw.split()))
-            if len(words) > 20 * TASK_WORDS:
-                self.prune(lang)
-        return None
-
-    def prune(self, lang):
-        words = self.words[lang]
-        if len(words) > TASK_WORDS:
-            floor = sorted(words.values(), reverse=True)[TASK_WORDS]
-            for w in [w for w, n in words.items() if n <= floor]:
-                del words[w]
-            for w in words:
-                words[w] -= floor
+            self.held += len(words) - before
+            self.seen += len(raw)
+            if self.held > self.task_words or self.seen > TASK_BYTES:
+                self.hand_on(out)
+        return out
+
+    def hand_on(self, out):
+        for lang, words in self.words.items():
+            rows = [("word", w.decode("utf-8"), n) for w, n in words.items()]
+            rows += [("class", name, int(n)) for name, n in zip(CLASSES, self.classes[lang])]
+            rows.append(("words", "", words.total()))
+            for c, values in zip(("kind", "name", "n"), zip(*rows)):
+                out[c] += values
+            out["lang"] += [lang] * len(rows)
+        self.clear()
 
     def finish(self):
         out = {"lang": [], "kind": [], "name": [], "n": []}
-        for lang, words in self.words.items():
-            total = sum(words.values())
-            self.prune(lang)
-            for w, n in words.items():
-                for c, v in zip(out, (lang, "word", w.decode("utf-8", "replace"), n)):
-                    out[c].append(v)
-            for name, n in zip(CLASSES, self.classes[lang]):
-                for c, v in zip(out, (lang, "class", name, int(n))):
-                    out[c].append(v)
-            for c, v in zip(out, (lang, "words", "", total)):
-                out[c].append(v)
+        self.hand_on(out)
         return out
 
 
-def references(docs: DataFrame, common: int = COMMON_WORDS) -> dict[str, tuple[np.ndarray, dict[bytes, int], np.ndarray]]:
+def references(docs: DataFrame, common: int = COMMON_WORDS, task_words: int = TASK_WORDS) -> dict[str, tuple[np.ndarray, dict[bytes, int], np.ndarray]]:
     """language -> (class shares, common word -> place, word shares with all others last);
     under "" the reference of all documents.  At most MOST_LANGUAGES x ``common`` numbers
     reach the driver."""
-    counted = map_lists(docs.select("lang", "text"), _Counter, "lang string, kind string, name string, n long")
+    counter = type("Counter", (_Counter,), {"task_words": task_words})
+    counted = map_lists(docs.select("lang", "text"), counter, "lang string, kind string, name string, n long")
     per_lang = counted.groupBy("lang", "kind", "name").agg(F.sum("n").alias("n"))
     per_lang = stage(per_lang, "language-counts")
     large = (per_lang.filter("kind = 'words'").select("lang", F.col("n").alias("total"))

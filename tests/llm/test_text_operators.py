@@ -140,6 +140,21 @@ def test_rules_drop_labelled_junk_and_keep_the_rest(spark):
     assert np.mean(good) > 0.97 and (not bad or np.mean(bad) < 0.3)
 
 
+def test_references_are_exact_counts(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, words(rng, 60, 90), ("en", "de", None)[i % 3]) for i in range(90)]
+    got = divergence.references(spark.createDataFrame(rows, "doc_id long, text string, lang string"), common=10, task_words=100)
+    assert sorted(got) == ["", "de", "en"]
+    for lang, (classes, place, shares) in got.items():
+        texts = [t for _, t, x in rows if lang in ("", x)]
+        count = collections.Counter(w for t in texts for w in t.split())
+        top = sorted(sorted(count.items(), key=lambda x: (-x[1], x[0]))[:10])
+        assert sorted(place, key=place.get) == [w.encode() for w, _ in top]
+        assert shares[:-1] == pytest.approx([n / count.total() for _, n in top]) and shares.sum() == pytest.approx(1)
+        assert classes[doc_stats.CLASSES.index("digit")] == pytest.approx(
+            sum(c.isdigit() for t in texts for c in t) / sum(map(len, texts)))
+
+
 def test_rules_edge_rows(spark):
     df = spark.createDataFrame([(1, None, None), (None, "a b", "xx"), (2, "", "en"), (2, "", "en")], "doc_id long, text string, lang string")
     got = divergence.quality_rules(df).collect()
