@@ -28,15 +28,40 @@ def valid_records(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     return r.filter(F.col("reason").isNull()).drop("reason"), r.filter(F.col("reason").isNotNull())
 
 
-def check_required(payloads: DataFrame, entity: str, payload_col: str = "payload") -> DataFrame:
+#: JSON types of request fields, as Spark names the type of a parsed value.
+TYPES = {"string": "STRING", "boolean": "BOOLEAN", "integer": "BIGINT", "number": "(BIGINT|DOUBLE|DECIMAL.*)",
+         "array": "ARRAY.*", "object": "OBJECT.*"}
+
+
+def check_required(payloads: DataFrame, entity: str, payload_col: str = "payload",
+                   types: dict[str, str] | None = None) -> DataFrame:
     """Names of missing required fields of a JSON payload and the first
-    message (``Missing required field: X``)."""
+    message (``Missing required field: X``).  With ``types`` (field -> a key of ``TYPES``)
+    a field that is present in another type is reported next (a JSON null counts as one)."""
     fields = REQUIRED[entity]
     p = F.col(payload_col)
     missing = F.filter(F.array(*[F.when(F.get_json_object(p, f"$.{f}").isNull(), F.lit(f)) for f in fields]),
                        lambda x: x.isNotNull())
-    return payloads.withColumn("missing", missing).withColumn(
-        "error", F.when(F.size("missing") > 0, F.concat(F.lit("Missing required field: "), F.col("missing")[0])))
+    out = payloads.withColumn("missing", missing)
+    value = F.try_parse_json(p)
+    wrong = [F.when(~F.schema_of_variant(F.try_variant_get(value, f"$.{f}", "variant")).rlike(f"^{TYPES[t]}$"),
+                    F.lit(f"Field '{f}' must be of type {t}")) for f, t in (types or {}).items()]
+    return out.withColumn("error", F.coalesce(
+        F.when(F.size("missing") > 0, F.concat(F.lit("Missing required field: "), F.col("missing")[0])), *wrong))
+
+
+#: Outbox entities that have required fields, under their platform names.
+_ENTITIES = {"department": "Department", "category": "Category", "brand": "Brand", "product": "Product", "sku": "SKU"}
+
+
+def outbox_problems(outbox: DataFrame) -> DataFrame:
+    """B15 on every request body of an outbox: (entity, key, error) of those not fit to send."""
+    error = F.lit(None).cast("string")
+    for entity, name in _ENTITIES.items():
+        first = F.coalesce(*[F.when(F.get_json_object("payload", f"$.{f}").isNull(), F.lit(f"Missing required field: {f}"))
+                             for f in REQUIRED[name]])
+        error = F.when(F.col("entity") == entity, first).otherwise(error)
+    return outbox.select("entity", "key", error.alias("error")).filter("error is not null")
 
 
 def attempt_cutoff(attempts: DataFrame, max_consecutive: int = 3, run: str = "run_id", pos: str = "pos",

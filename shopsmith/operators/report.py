@@ -22,9 +22,6 @@ def one_row(*parts: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, aligned).agg(*[F.max(n).alias(n) for n, _ in fields])
 
 
-_one_row = one_row
-
-
 def catalog_summary(products: DataFrame, skus: DataFrame, existing_products: DataFrame | None = None,
                     new_spec_fields: DataFrame | None = None) -> DataFrame:
     """Products, SKUs, how many were created, spec fields created."""
@@ -39,13 +36,13 @@ def catalog_summary(products: DataFrame, skus: DataFrame, existing_products: Dat
                       F.count_if(F.col("sku_id_preserved").isNull()).alias("skus_assigned_ids"))]
     if new_spec_fields is not None:
         parts.append(new_spec_fields.agg(F.count(F.lit(1)).alias("spec_fields_created")))
-    return _one_row(*parts)
+    return one_row(*parts)
 
 
 def execution_summary(tree: DataFrame, brands: DataFrame, products: DataFrame, skus: DataFrame,
                       sku_status: DataFrame, prices: DataFrame, inventory: DataFrame) -> DataFrame:
     """One row across all entities."""
-    return _one_row(
+    return one_row(
         tree.agg(F.count_if(F.col("level") == 1).alias("departments"),
                  F.count_if(F.col("level") > 1).alias("categories")),
         brands.agg(F.count(F.lit(1)).alias("brands")),
@@ -84,7 +81,24 @@ def catalog_structure(records: DataFrame) -> DataFrame:
         F.concat_ws(",", F.filter(F.array(*[F.when(F.bool_and(f"has_{i}"), F.lit(f))
                                             for i, f in enumerate(STRUCTURE_FIELDS)]),
                                   lambda x: x.isNotNull())).alias("common_fields"))
-    return _one_row(base, pairs, specs)
+    return one_row(base, pairs, specs)
+
+
+def structure_lists(records: DataFrame) -> DataFrame:
+    """G6 content: (kind, parent, name) of every distinct department, category under its
+    department, brand and spec name; a table, so nothing is gathered in one row."""
+    path = category_path("categories")
+    named = F.concat(
+        F.transform(path, lambda c, i: F.struct(
+            F.when(i == 0, F.lit("department")).otherwise(F.lit("category")).alias("kind"),
+            F.when(i > 0, F.element_at(path, 1)).alias("parent"), c.alias("name"))),
+        F.array(F.struct(F.lit("brand").alias("kind"), F.lit(None).cast("string").alias("parent"),
+                         normalize_brand_name(F.col("brand.Name")).alias("name"))),
+        F.transform("specifications", lambda s: F.struct(
+            F.lit("spec").alias("kind"), F.lit(None).cast("string").alias("parent"),
+            normalize_spec_name(s["Name"]).alias("name"))))
+    rows = records.select(F.explode(F.filter(named, lambda n: n["name"] != "")).alias("n")).select("n.*")
+    return rows.distinct()
 
 
 def extraction_metrics(records: DataFrame, urls: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
@@ -94,5 +108,7 @@ def extraction_metrics(records: DataFrame, urls: DataFrame, sizes: DataFrame | N
     if sizes is not None:
         parts.append(sizes.agg(F.count_if("cleaned").alias("pages_cleaned"),
                                F.sum("chars_before").alias("chars_before"),
-                               F.sum("chars_after").alias("chars_after")))
-    return _one_row(*parts)
+                               F.sum("chars_after").alias("chars_after"),
+                               F.round(100 * (1 - F.try_divide(F.sum("chars_after"), F.sum("chars_before"))), 1)
+                               .alias("reduction_percent")))
+    return one_row(*parts)

@@ -5,7 +5,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import urls as U
 from ..operators import html as H
+from ..operators.crawl import crawl_reach
 from .catalog import Catalog
 from .registry import query
 
@@ -37,6 +39,21 @@ def q_extract_products(spark, sf):
         F.size("skus").alias("n_skus"))
 
 
+@query("extract_variants", """
+select product_key as page_id, v.pos, cast(product_key as varchar) || v.suffix as sku_id, v.name as sku_name,
+  cast(cast(price + v.add as decimal(12,2)) as double) as price, cast(cast(price + 3 as decimal(12,2)) as double) as list_price,
+  case when product_key % 2 = 0 then l1 || '|' || l2 else l3 end as categories
+from v_products, (values (0, '01', 'Small', 1), (1, '02', 'Large', 0)) as v(pos, suffix, name, add)""", ("v_products",))
+def q_extract_variants(spark, sf):
+    """Pages with variants, a list price, and categories in menus or detail links."""
+    parsed = H.parse_pages(_cat(spark, sf).inputs.variant_pages, "page_id")
+    r = parsed.select("page_id", H.extracted_record().alias("r"))
+    r = r.select("page_id", F.posexplode("r.skus").alias("pos", "s"),
+                 F.array_join(F.transform("r.categories", lambda c: c["Name"]), "|").alias("categories"))
+    return r.select("page_id", "pos", F.col("s.SkuId").alias("sku_id"), F.col("s.Name").alias("sku_name"),
+                    F.col("s.Price").alias("price"), F.col("s.ListPrice").alias("list_price"), "categories")
+
+
 @query("extract_images", """
 select product_key as page_id, 1 as pos, 'https://img.example.com/product/' || cast(product_key as varchar) || '/full/1.jpg' as image_url
 from v_products
@@ -102,18 +119,33 @@ def q_product_page_signals(spark, sf):
     return summary(c.parsed_product_pages, "product").unionByName(summary(c.parsed_pages, "captured"))
 
 
-@query("page_links", """
+_DUCK_PAGE_LINKS = """
 with a as (select page_id, url, unnest(generate_series(0, len(h) - 1)) as pos, unnest(h) as href
            from (select page_id, url, regexp_extract_all(html, '<a href="([^"]*)"', 1) as h from pages) x),
 r as (select page_id, pos, url, case when starts_with(href, '//') then regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1) || ':' || href
        when starts_with(href, '/') then regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1) || href
        when starts_with(href, 'http') then href end as t from a)
 select page_id, cast(pos as integer) as pos, split_part(split_part(t, '#', 1), '?', 1) as dst from r
-where t is not null and regexp_extract(t, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1) = regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)""")
+where t is not null and regexp_extract(t, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1) = regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)"""
+
+
+@query("page_links", _DUCK_PAGE_LINKS)
 def q_page_links(spark, sf):
     return H.page_links(_cat(spark, sf).parsed_pages, "page_id")
 
 
+@query("crawl_page_links", f"""
+with seeds as (select distinct split_part(split_part(url, '#', 1), '?', 1) as node from pages),
+found as (select distinct dst as node from ({_DUCK_PAGE_LINKS}) l)
+select node, 0 as hop from seeds union all select node, 1 from found where node not in (select node from seeds)""")
+def q_crawl_page_links(spark, sf):
+    """B3 into E12: the captured pages and everything their own links reach."""
+    parsed = _cat(spark, sf).parsed_pages.select("page_id", "url", "doc")
+    pages = parsed.select("page_id", U.clean_url("url").alias("node"))
+    links = H.page_links(parsed, "page_id").join(pages.withColumnRenamed("node", "src"), "page_id").select("src", "dst", "pos")
+    return crawl_reach(links, pages.select("node", F.col("page_id").alias("ord"))).select("node", "hop")
+
+
 _LINK_PATTERN = r"https?://[^/]+/[a-z]{2,3}"
 
 

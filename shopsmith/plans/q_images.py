@@ -130,3 +130,24 @@ def q_export_payloads(spark, sf):
     valid = out.filter(F.get_json_object("payload", "$").isNotNull())
     return valid.groupBy("entity", "load_order").agg(F.count(F.lit(1)).alias("n")) \
         .filter((F.col("entity") != "department") | (F.col("n") > 0))
+
+
+_CATEGORY_BODY = """'{{"Name":"' || name || '","FatherCategoryId":' || {father} || ',"Title":"' || name || '","Description":null,"Keywords":null,'
+ || '"Active":true,"IsActive":true,"ShowInStoreFront":true,"ActiveStoreFrontLink":true,"GlobalCategoryId":1}}'"""
+
+
+@query("outbox_bodies", f"""with {_BASE}
+select 'department' as entity, id as key, {_CATEGORY_BODY.format(father="'null'")} as payload from tree2 where level = 1 and created
+union all select 'category', id, {_CATEGORY_BODY.format(father="cast(parent_id as varchar)")} from tree2 where level > 1 and created
+union all select 'brand', id, '{{"Name":"' || name || '","Active":true,"Text":null,"Keywords":null,"SiteTitle":"' || name || '"}}' from bdim where created
+union all select 'product', id, '{{"Name":"' || name || '","CategoryId":' || cast(category_id as varchar) || ',"BrandId":' || cast(brand_id as varchar)
+  || ',"Description":"About ' || name || '.","ShortDescription":"About ' || name || '.","ReleaseDate":null,"KeyWords":null,"Title":"' || name
+  || '","IsActive":true,"IsVisible":true,"ShowWithoutStock":true,"Score":null,"Id":' || cast(id as varchar) || '}}' from prod
+union all select 'sku', id, '{{"Id":' || cast(id as varchar) || ',"ProductId":' || cast(product_id as varchar) || ',"Name":"' || name
+  || '","EAN":"EAN' || cast(product_id as varchar) || '","IsActive":false,' || case when ref_id is null then '' else '"RefId":"' || ref_id || '",' end
+  || '"PackagedHeight":1,"PackagedWidth":1,"PackagedLength":1,"PackagedWeightKg":1,"Height":1,"Width":1,"Length":1,"WeightKg":1}}' from skids""", _V)
+def q_outbox_bodies(spark, sf):
+    """A10: the text of every tree, brand, product and SKU request."""
+    c = _cat(spark, sf)
+    out = S.export_payloads({"tree": c.tree, "brands": c.brands, "products": c.products, "skus": c.skus})
+    return out.select("entity", "key", "payload")

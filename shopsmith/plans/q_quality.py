@@ -17,6 +17,8 @@ from ..operators.products import flatten_products
 from ..operators.urlsets import classify_url
 from .catalog import Catalog
 from .q_catalog import _BRANDS, _CAT_VIEWS, _PATHS, _PRODUCTS, _SKUS
+from ..sources.stages import export_payloads
+from .q_html import _DUCK_KEPT
 from .q_images import _PLAN
 from .q_urls import _DUCK_URLS as _DUCK_URLS_CLASSIFIED
 from .registry import query
@@ -245,6 +247,17 @@ def q_catalog_structure(spark, sf):
     return R.catalog_structure(_cat(spark, sf).records)
 
 
+@query("structure_lists", f"""with {_PATHS}, {_BRANDS}
+select distinct 'department' as kind, cast(null as varchar) as parent, path[1] as name from paths
+union all select distinct 'category', path[1], unnest(list_slice(path, 2, len(path))) from paths
+union all select distinct 'brand', null, trim(brand) from v_products where trim(brand) <> ''
+union all select distinct 'spec', null, upper(left(trim(name), 1)) || lower(substr(trim(name), 2)) from v_specs where trim(name) <> ''""",
+       _CAT_VIEWS + ("v_products", "v_existing_brands", "v_specs"))
+def q_structure_lists(spark, sf):
+    """G6 content: the distinct departments, categories, brands and spec names."""
+    return R.structure_lists(_cat(spark, sf).records)
+
+
 @query("extraction_metrics", """
 select (select count(*) from v_products) as total_products, (select count(distinct url) from pages) as total_urls_found""",
        ("v_products",))
@@ -263,6 +276,29 @@ def q_extraction_metrics_cleaning(spark, sf):
     return R.extraction_metrics(_cat(spark, sf).records, pages.select("url"), sizes)
 
 
+@query("extraction_metrics_reduction", f"""
+with k as (select length({_DUCK_KEPT}) as n from v_products),
+s as (select count(*) as pages, sum(n) as kept, sum(n + length('<!DOCTYPE html><style>p{{}}</style><script>var t="</p>";</script><!-- x --><form action="/cart/add"></form>')) as raw from k)
+select pages as total_products, pages as total_urls_found, pages as pages_cleaned, cast(raw as bigint) as chars_before,
+  cast(kept as bigint) as chars_after, round(100 * (1 - cast(kept as double) / raw), 1) as reduction_percent from s""", ("v_products",))
+def q_extraction_metrics_reduction(spark, sf):
+    """G8 with the size reduction in percent, every shop page cleaned."""
+    c = _cat(spark, sf)
+    pages = c.inputs.product_pages.select("page_id", "url", "html")
+    return R.extraction_metrics(c.records, pages.select("url"), H.cleaning_sizes(pages, 0, "page_id"))
+
+
+@query("outbox_problems", f"""with {_BASE}
+select 'product' as entity, id as key, 'Missing required field: Name' as error from prod where id % 10 = 0
+union all select 'sku', id, 'Missing required field: EAN' from skids where id % 7 = 0""", _V)
+def q_outbox_problems(spark, sf):
+    """B15 over the outbox: every 10th product lost its name, every 7th SKU its EAN."""
+    c = _cat(spark, sf)
+    products = c.products.withColumn("name", F.when(F.col("id") % 10 != 0, F.col("name")))
+    skus = c.skus.withColumn("ean", F.when(F.col("id") % 7 != 0, F.col("ean")))
+    return Q.outbox_problems(export_payloads({"tree": c.tree, "brands": c.brands, "products": products, "skus": skus}))
+
+
 @query("classify_pages_by_signals", rf"""
 with {_DUCK_URLS_CLASSIFIED},
 sig as (select url, true as is_product_page from v_products

@@ -45,6 +45,7 @@ class WorkflowResult:
     image_rejects: DataFrame     # J8: records whose images cannot be planned, with a reason
     catalog_products: DataFrame  # J11: the catalog after the load
     catalog_skus: DataFrame      # J12
+    outbox_problems: DataFrame   # B15: request bodies that lack a required field
 
 
 def run_workflow(pages: DataFrame, existing_categories: DataFrame, existing_brands: DataFrame,
@@ -108,6 +109,7 @@ def run_workflow(pages: DataFrame, existing_categories: DataFrame, existing_bran
                               "images": plan, "prices": prices, "inventory": inventory})
     return WorkflowResult(
         good, bad, tree, brands, products, prejects, active, plan, results, status, prices, inventory, summary, outbox,
+        outbox_problems=Q.outbox_problems(outbox),
         image_rejects=I.enrich_images(good, products, skus)[1],
         catalog_products=products if existing_products is None else P.upsert_products(products, existing_products),
         catalog_skus=active if existing_skus is None else P.upsert_skus(active, existing_skus))

@@ -255,6 +255,28 @@ class CatalogInputs:
         return p.select(F.col("product_key").alias("page_id"), "url", F.lit(200).alias("status"),
                         html.alias("html"))
 
+    @cached_property
+    def variant_pages(self) -> DataFrame:
+        """Pages of another shop layout, from ``part``: two variants, a list price, no
+        breadcrumb; every other page marks its categories in the menu, the rest link one
+        in the detail section."""
+        p = self.products
+        k = F.col("product_key").cast("string")
+        money = lambda add: (F.col("price") + add).cast("decimal(12,2)").cast("string")
+        menu = F.concat(F.lit('<nav class="main-menu"><ul><li class="active"><a href="/a">'), F.col("l1"),
+                        F.lit('</a></li><li><a href="/b">Other</a></li><li class="active"><a href="/c">'), F.col("l2"),
+                        F.lit("</a></li></ul></nav>"))
+        detail = F.concat(F.lit('<section class="product-details"><a rel="category" href="/c">'), F.col("l3"), F.lit("</a></section>"))
+        html = F.concat(
+            F.lit("<html><head><title>"), F.col("name"), F.lit("</title></head><body>"),
+            F.when(F.col("product_key") % 2 == 0, menu).otherwise(F.lit("")),
+            F.lit("<h1>"), F.col("name"), F.lit('</h1><div data-product-id="'), k, F.lit('"><span class="price">$ '), money(0),
+            F.lit('</span><span class="list-price">$ '), money(3), F.lit('</span></div><select><option data-sku-id="'), k,
+            F.lit('01" data-price="'), money(1), F.lit('">Small</option><option data-sku-id="'), k,
+            F.lit('02">Large</option></select>'), F.when(F.col("product_key") % 2 == 1, detail).otherwise(F.lit("")),
+            F.lit("</body></html>"))
+        return p.select(F.col("product_key").alias("page_id"), "url", html.alias("html"))
+
     @cached_property
     def sitemaps(self) -> DataFrame:
         """Captured sitemap answers per site: chunked urlsets of its pages (1,000 URLs

@@ -4,6 +4,7 @@ import json
 from pyspark.sql import functions as F
 
 from shopsmith.operators import model as M
+from shopsmith.operators import quality as Q
 from shopsmith.operators import specs as SP
 from shopsmith.operators import urlsets as S
 from shopsmith.session import scratch_path
@@ -103,3 +104,12 @@ def test_spec_fields_nearest_ancestor(spark):
     assert got == {"Material": (10, 2), "Size": (20, 1), "Color": (None, None)}
     vals, new = SP.spec_values(res, {"color": "Color"}, 20)
     assert [(r["name"], r["field_id"], r["field_type"]) for r in new.collect()] == [("Color", 21, "Color")]
+
+
+def test_required_fields_and_types(spark):
+    rows = [(1, '{"Name": "a", "CategoryId": 1, "BrandId": 2}'), (2, '{"Name": "a", "CategoryId": "1", "BrandId": 2}'),
+            (3, '{"Name": "a", "CategoryId": 1}'), (4, '{"Name": 5, "CategoryId": 1, "BrandId": 2.5}'), (5, "not json"), (6, None)]
+    df = spark.createDataFrame(rows, "id int, payload string")
+    got = {r["id"]: r["error"] for r in Q.check_required(df, "Product", types={"Name": "string", "CategoryId": "integer", "BrandId": "number"}).collect()}
+    assert got == {1: None, 2: "Field 'CategoryId' must be of type integer", 3: "Missing required field: BrandId",
+                   4: "Field 'Name' must be of type string", 5: "Missing required field: Name", 6: "Missing required field: Name"}
