@@ -92,10 +92,11 @@ def references(docs: DataFrame, common: int = COMMON_WORDS, task_words: int = TA
     large = (per_lang.filter("kind = 'words'").select("lang", F.col("n").alias("total"))
              .orderBy(F.desc("total"), "lang").limit(MOST_LANGUAGES))
     every = per_lang.groupBy("kind", "name").agg(F.sum("n").alias("n")).select(F.lit("").alias("lang"), "kind", "name", "n")
-    both = per_lang.filter("lang <> ''").join(large.select("lang"), "lang", "left_semi").unionByName(every)
+    both = per_lang.filter("lang <> ''").join(F.broadcast(large.select("lang")), "lang", "left_semi").unionByName(every)
+    # at most MOST_LANGUAGES + 1 rows
     totals = both.filter("kind = 'words'").select("lang", F.col("n").alias("total"))
     # a word of at least 1/2000 of a language's words: at most 2000 a language to order
-    frequent = both.filter("kind = 'word' and name <> ''").join(totals, "lang").filter("n * 2000 >= total")
+    frequent = both.filter("kind = 'word' and name <> ''").join(F.broadcast(totals), "lang").filter("n * 2000 >= total")
     best = frequent.withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "name"))).filter(F.col("at") <= common)
     rows = best.select("lang", "kind", "name", "n").unionByName(both.filter("kind <> 'word'")).collect()
     out = {}
