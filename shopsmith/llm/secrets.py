@@ -1,9 +1,12 @@
 """Secret scans with a random forest that removes false positives, in DataFrame operations
 only (the forest is Spark ML's, fitted and applied in the JVM).
 
-Candidates are runs of key-like characters with a digit.  The forest sees a candidate's
-length, its character classes and the transitions between them, how much of it dictionary
-words cover, its path and its neighbouring words; it is fitted on labelled findings.
+Candidates are runs of key-like characters, what is assigned to a secret's name or follows
+``Bearer``, and the bodies of private keys.  The forest sees a candidate's length, its
+character classes and the transitions between them, how much of it dictionary words cover,
+its path and its neighbouring words; it is fitted on labelled findings.  Where nobody
+labelled any, evidence does (key formats, private-key blocks, headers, assignments), the
+forest judges what evidence leaves open, and what evidence proves is reported as it is.
 """
 
 from __future__ import annotations
@@ -23,36 +26,71 @@ TREES, DEPTH, SEED, THRESHOLD = 20, 6, 42, 0.5
 LEAST_LENGTH = 16
 _CHARS = "A-Za-z0-9+/_\\-"
 _TOKEN = rf"(?<![{_CHARS}])[{_CHARS}]{{{LEAST_LENGTH},}}={{0,2}}"
-_WHITE = r"[\x20\x09-\x0D]+"
-#: What secrets are assigned to, and words that go with made-up ones.
-_NAMES = "(?i)(token|secret|passw|pwd|api.?key|access.?key|private.?key|credential|auth|bearer)"
-_MADE_UP = "(?i)(example|sample|dummy|test|fake|placeholder|changeme|xxxx|mock|fixture)"
+_W = r"\x20\x09-\x0D"
+#: What secrets are assigned to, and words that go with made-up ones; both
+#: at the edges of words, where a change of case (``authToken``) is an edge.
+_EDGE = "(?![a-z]|(?<=[A-Z])[A-Z])"
+_NAMES = (rf"(?:(?i:passw(?:or)?d|passphrase|pwd)s?{_EDGE}"
+          r"|(?<![A-Za-z])(?i:(?:access|auth|api|refresh|session|bearer)?token|(?:client)?secret|credential|auth|authorization|bearer"
+          rf"|(?:api|access|private|secret)[_.\-]?key)s?{_EDGE}"
+          r"|(?<=[a-z0-9])(?:Token|Secret|Credential|Auth|ApiKey|AccessKey|PrivateKey|SecretKey)s?(?![a-z]))")
+_MADE_UP = (r"(?i)(?<![a-z@.])(?:example|sample|dummy|test|fake|placeholder|mock|fixture)s?(?![a-z]|\.[a-z])"
+            r"|changeme|x{4}|(?<=[a-z0-9])example$")
+#: A name and the sign after it, up to the value.
+_ASSIGN = rf"""{_NAMES}[\w.\-]{{0,60}}+\\?["'`]?\]?[\x20\t]*(?:=>|:=|={{1,3}}|:(?![:/]))(?:[\x20\t]*(?i:bearer|basic|token)(?=[\x20\t]))?"""
+_QUOTED = r"""[\x20\t]*(?:\r?\n[\x20\t]*)?\\?(["'`])([^\r\n]*?)\\?"""
+_PLAIN = r"""[\x20\t]*["'`]?([^\s"'`,;]+)"""
+_BEARER = r"(?<![A-Za-z])(?i:bearer)[\x20\t]+([A-Za-z0-9._~+/\-]{16,}={0,2})"
+_PEM = r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----"
+_PEM_BODY = rf"(?:(?s:.*?)(?=-----END )|(?:(?:\s|\\n)+[A-Za-z0-9+/=]{{16,}}){{1,500}})"
+_JWT = r"eyJ[\w\-]{8,}\.[\w\-]{8,}(?:\.[\w\-]*)?"
+#: A word; an assignment or a private key is one word with its value, white space and all.
+#: The looks ahead only spare words that no sign, or no long run, follows the longer search.
+_UNIT = (rf"({_PEM}{_PEM_BODY}[^{_W}]*"
+         rf"|(?=[^{_W}=:]*+[\x20\t]*+[=:])[^{_W}]*?{_ASSIGN}(?:{_QUOTED}\2|{_PLAIN})[^{_W}]*"
+         rf"|(?=[^{_W}]++[\x20\t]++[A-Za-z0-9._~+/\-]{{16}})[^{_W}]*?{_BEARER}[^{_W}]*|[^{_W}]+)")
+#: Values in a word: groups 1 private key, 3 quoted, 4 plain, 5 after Bearer, 6 any other run.
+_VALUES = rf"{_PEM}({_PEM_BODY})|{_ASSIGN}(?:{_QUOTED}\2|{_PLAIN})|{_BEARER}|({_JWT}|{_TOKEN})"
+_ANY = f"{_PEM}|{_ASSIGN}|{_BEARER}|{_TOKEN}"
+#: Key formats that prove a secret wherever they stand.
+_FORMATS = (r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|github_pat_\w{22,}|glpat-[\w\-]{20,}"
+            r"|xox[abeprs]-[\w\-]{10,}|(?:sk|rk)_(?:live|test)_\w{16,}|sk-[A-Za-z0-9_\-]{20,}|AIza[\w\-]{35}|npm_[A-Za-z0-9]{36}"
+            rf"|hf_[A-Za-z0-9]{{30,}}|{_JWT})(?![A-Za-z0-9])")
+#: Unquoted values that are code, references or nothing: calls, variables, attributes, blanks.
+_CODE = r"(?i)^(?:null|none|nil|true|false|undefined|[$<{(\[%*#].*|\w+\(.*|[a-z_]\w*(?:\.[a-z_]\w*)+|\W*)$"
 FEATURES = ["length", "digits", "uppers", "lowers", "signs", "distinct", "up_down", "to_digit", "from_digit", "hex",
             "only_digits", "covered", "path_depth", "path_made_up", "named", "assigned", "quoted", "made_up", "before_length", "after_length"]
 
 
 def candidates(docs: DataFrame) -> DataFrame:
     """doc_id, text_key (hash of the text), path, at (word number), part (number in the word),
-    value, word, before, before2, after: the candidates of every text, in place.
+    value, kind (pem, quoted, plain, bearer or run), word, before, before2, after: the candidates of every text, in place.
 
     ``path`` is the column ``path`` or else ``source``, or empty.  Null and empty texts have none.
     """
     path = next((F.col(c) for c in ("path", "source") if c in docs.columns), F.lit(""))
     base = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.coalesce(path.cast("string"), F.lit("")).alias("path"), "text")
-    base = base.filter(F.col("text").rlike(_TOKEN))
+    base = base.filter(F.col("text").rlike(rf"[=:]|(?<![{_CHARS}])[{_CHARS}]{{{LEAST_LENGTH}}}"))
 
     def look(words: Column) -> Column:
         numbered = F.transform(words, lambda w, i: F.struct(i.alias("at"), w.alias("word")))
-        long = F.filter(numbered, lambda s: (F.length(s["word"]) >= LEAST_LENGTH) & s["word"].rlike(_TOKEN))
+        with_any = F.filter(numbered, lambda s: ((F.length(s["word"]) >= LEAST_LENGTH) | s["word"].rlike("[=:]")) & s["word"].rlike(_ANY))
         near = lambda s, k: F.coalesce(F.get(words, s["at"] + k), F.lit(""))
-        return F.transform(long, lambda s: F.struct(s["at"], s["word"], near(s, -1).alias("before"), near(s, -2).alias("before2"), near(s, 1).alias("after")))
+        return F.transform(with_any, lambda s: F.struct(s["at"], s["word"], near(s, -1).alias("before"), near(s, -2).alias("before2"), near(s, 1).alias("after")))
 
     # the words are bound to a lambda variable, so a text is split once
-    found = F.transform(F.array(F.split("text", _WHITE)), look)
+    found = F.transform(F.array(F.regexp_extract_all("text", F.lit(_UNIT))), look)
     rows = base.select("doc_id", "text_key", "path", F.explode(F.flatten(found)).alias("c")).select("doc_id", "text_key", "path", "c.*")
-    values = rows.select("*", F.posexplode(F.regexp_extract_all("word", F.lit(f"({_TOKEN})"))).alias("part", "value"))
-    return values.filter(F.col("value").rlike("[0-9]")).select(
-        "doc_id", "text_key", "path", "at", "part", "value", "word", "before", "before2", "after")
+    group = lambda k: F.regexp_extract_all("word", F.lit(_VALUES), F.lit(k))
+    kinds = F.arrays_zip(*[group(k).alias(n) for n, k in (("pem", 1), ("quoted_value", 3), ("plain", 4), ("bearer", 5), ("run", 6))])
+    values = rows.select("*", F.posexplode(kinds).alias("part", "v")).select("*", "v.*").drop("v")
+    # an unquoted value ends where the next one of a query string begins
+    plain = F.regexp_replace("plain", r"(?s)&[\w.\-]+=.*$|[.!?:)}\]|#$%&*]+$", "")
+    kind = F.when(F.col("pem") != "", "pem").when(F.col("quoted_value") != "", "quoted").when(F.col("plain") != "", "plain").when(F.col("bearer") != "", "bearer").otherwise("run")
+    value = F.concat(F.trim("pem"), "quoted_value", plain, "bearer", "run")
+    values = values.withColumns({"kind": kind, "value": value}).filter("value <> ''")
+    values = values.filter(F.col("value").rlike("[0-9]") & (F.length("value") >= LEAST_LENGTH))
+    return values.select("doc_id", "text_key", "path", "at", "part", "value", "kind", "word", "before", "before2", "after")
 
 
 def coverage(found: DataFrame, dictionary: DataFrame) -> DataFrame:
@@ -69,7 +107,8 @@ def with_features(found: DataFrame, dictionary: DataFrame) -> DataFrame:
     n = F.length("value")
     count = lambda pattern: (F.regexp_count("value", F.lit(pattern)) / n)
     flag = lambda c: c.cast("double")
-    near = F.concat_ws(" ", "before2", "before", "word", "after")
+    around = F.concat_ws(" ", "before2", "before", "word")
+    near = F.concat_ws(" ", "before", "word", "after")
     cols = {
         "length": n.cast("double"), "digits": count("[0-9]"), "uppers": count("[A-Z]"), "lowers": count("[a-z]"),
         "signs": count("[+/_\\-=]"), "distinct": F.size(F.array_distinct(F.split("value", ""))) / n,
@@ -77,18 +116,33 @@ def with_features(found: DataFrame, dictionary: DataFrame) -> DataFrame:
         "from_digit": count("(?<=[0-9])(?=[A-Za-z])"), "hex": flag(F.col("value").rlike("^([0-9a-f]+|[0-9A-F]+)$")),
         "only_digits": flag(F.col("value").rlike("^[0-9]+$")), "covered": F.coalesce("covered", F.lit(0.0)),
         "path_depth": F.regexp_count("path", F.lit("/")).cast("double"), "path_made_up": flag(F.col("path").rlike(_MADE_UP)),
-        "named": flag(F.concat_ws(" ", "before2", "before", "word").rlike(_NAMES)),
-        "assigned": flag(F.concat("before", F.lit(" "), "word").rlike("[=:]")), "quoted": flag(F.col("word").rlike("[\"'`]")),
+        "named": flag(around.rlike(_NAMES)), "assigned": flag(around.rlike("[=:]")), "quoted": flag(F.col("word").rlike("[\"'`]")),
         "made_up": flag(near.rlike(_MADE_UP)), "before_length": F.length("before").cast("double"), "after_length": F.length("after").cast("double"),
     }
     return found.join(coverage(found, dictionary), "value", "left").withColumns(cols)
 
 
+def evidence() -> Column:
+    """1 for a proven secret, 0 for what is none, null where the text does not tell: of a
+    candidate with its features."""
+    value = F.col("value")
+    letters = value.rlike("^[A-Za-z]+$") & ~value.rlike("[a-z][A-Z]")
+    prose = F.col("word").rlike(r":[\x20\t]*[\"'`]") & ~F.col("word").rlike(r"[\"'`]\]?[\x20\t]*:") & value.rlike(r"\s")
+    quoted = (F.col("kind") == "quoted") & ~prose & ~value.rlike(r"^[$<{%*].*|^\W*$")
+    plain = (F.col("kind") == "plain") & ~value.rlike(_CODE) & (F.col("only_digits") == 0) & ~(letters & ~F.col("word").rlike("="))
+    bearer = (F.col("kind") == "bearer") & ~letters & (F.col("only_digits") == 0)
+    made_up = (F.col("made_up") > 0) | value.rlike(_MADE_UP)
+    proven = (F.col("kind") == "pem") | value.rlike(_FORMATS) & ~value.rlike(r"(?i)example|x{4}") | (quoted | plain | bearer) & ~made_up
+    # numbers, hashes, lower-case words, slugs and paths, dictionary words
+    nothing = (made_up | F.col("kind").isin("quoted", "plain", "bearer") | (F.col("hex") > 0) | letters | (F.col("covered") >= 0.5)
+               | value.rlike(r"^[0-9+/_\-=]+$|^[a-z0-9_\-/+]*[a-z]{4}[a-z0-9_\-/+]*$|^[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$"))
+    return F.when(proven, 1.0).when(nothing, 0.0)
+
+
 def rule_labels(features: DataFrame) -> DataFrame:
-    """Labelled findings where nobody labelled any: 1 for a value that is assigned to a
-    secret's name and neither a plain number nor called made-up, else 0; fold 0 is left out."""
-    secret = (F.col("named") > 0) & (F.col("assigned") > 0) & (F.col("only_digits") == 0) & (F.col("made_up") == 0)
-    return features.filter(fold() != 0).withColumn("label", secret.cast("double"))
+    """Labelled findings where nobody labelled any: by ``evidence``, most of which the forest
+    does not see; fold 0 is left out."""
+    return features.filter(fold() != 0).withColumn("label", evidence())
 
 
 def train(labelled: DataFrame, most: int = MAX_TRAIN):
@@ -106,16 +160,20 @@ def scan(docs: DataFrame, dictionary: DataFrame, findings=rule_labels, threshold
     """doc_id, text_key, path, at, part, value, score, is_secret of every candidate.
 
     ``findings``: a function from the candidates with their features to labelled ones.
+    Without labelled findings of one's own, what ``evidence`` proves has score 1.
     Null or empty text: no candidates.  Repeated rows are reported each; a null doc_id is
     reported but not trained on; other columns are ignored; an empty table gives none.
     """
-    features = stage(with_features(candidates(docs), dictionary), "secret-candidates")
+    found = stage(candidates(docs), "secret-runs")  # the texts are searched once
+    features = stage(with_features(found, dictionary), "secret-candidates")
     model = train(findings(features), most)
     if isinstance(model, float):
         scored = features.withColumn("score", F.lit(model))
     else:
         scored = (model.transform(VectorAssembler(inputCols=FEATURES, outputCol="x").transform(features))
                   .withColumn("score", vector_to_array("probability")[1]))
+    if findings is rule_labels:
+        scored = scored.withColumn("score", F.when(evidence() == 1, 1.0).otherwise(F.col("score")))
     return scored.select("doc_id", "text_key", "path", "at", "part", "value", "score", (F.col("score") >= threshold).alias("is_secret"))
 
 
