@@ -11,6 +11,8 @@ forest judges what evidence leaves open, and what evidence proves is reported as
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import stage
 from .labelled import fold
 
-#: Findings the forest is fitted on at most (a hash chooses among more).
+#: Findings the forest is fitted on at most, half of each class (a hash chooses among more).
 MAX_TRAIN = 20_000
 TREES, DEPTH, SEED, THRESHOLD = 20, 6, 42, 0.5
 LEAST_LENGTH = 16
@@ -42,7 +44,7 @@ _QUOTED = r"""[\x20\t]*(?:\r?\n[\x20\t]*)?\\?(["'`])([^\r\n]*?)\\?"""
 _PLAIN = r"""[\x20\t]*["'`]?([^\s"'`,;]+)"""
 _BEARER = r"(?<![A-Za-z])(?i:bearer)[\x20\t]+([A-Za-z0-9._~+/\-]{16,}={0,2})"
 _PEM = r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----"
-_PEM_BODY = rf"(?:(?s:.*?)(?=-----END )|(?:(?:\s|\\n)+[A-Za-z0-9+/=]{{16,}}){{1,500}})"
+_PEM_BODY = rf"(?:(?s:.*?)(?=-----END )|(?:[\s\\rn]+[A-Za-z0-9+/=]{{16,}}){{1,500}})"
 _JWT = r"eyJ[\w\-]{8,}\.[\w\-]{8,}(?:\.[\w\-]*)?"
 #: A word; an assignment or a private key is one word with its value, white space and all.
 #: The looks ahead only spare words that no sign, or no long run, follows the longer search.
@@ -146,14 +148,21 @@ def rule_labels(features: DataFrame) -> DataFrame:
 
 
 def train(labelled: DataFrame, most: int = MAX_TRAIN):
-    """A fitted forest, or the share of secrets where there is one class only (or no row)."""
-    some = (labelled.filter("label is not null").select(*FEATURES, "label", F.xxhash64("doc_id", "at", "part", "value").alias("pick"))
-            .orderBy("pick", *FEATURES).limit(most))  # a bounded sample: one ordered partition, so fits repeat
-    some = stage(VectorAssembler(inputCols=FEATURES, outputCol="x").transform(some).select("x", "label"), "secret-train")
-    classes = some.groupBy("label").count().collect()  # two rows
-    if len(classes) < 2:
-        return classes[0]["label"] if classes else 0.0
-    return RandomForestClassifier(featuresCol="x", labelCol="label", numTrees=TREES, maxDepth=DEPTH, seed=SEED).fit(some)
+    """A fitted forest, or the share of secrets where the whole table has one class only (or
+    no row).  Each class gives up to half of ``most`` findings, chosen by hash, and the same
+    weight in all."""
+    rows = labelled.filter("label is not null").select(*FEATURES, "label", F.xxhash64("doc_id", "at", "part", "value").alias("pick"))
+    counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}  # two rows
+    if len(counts) < 2:
+        return float(next(iter(counts))) if counts else 0.0
+    each = max(1, most // 2)
+    # a bounded sample of each class: one ordered partition, so fits repeat
+    some = reduce(DataFrame.unionByName, [rows.filter(F.col("label") == k).orderBy("pick", *FEATURES).limit(each)
+                                          .withColumn("weight", F.lit(1.0 / min(n, each))) for k, n in sorted(counts.items())])
+    # weights with a mean of one
+    some = some.withColumn("weight", F.col("weight") * sum(min(n, each) for n in counts.values()) / len(counts)).orderBy("pick", *FEATURES)
+    some = stage(VectorAssembler(inputCols=FEATURES, outputCol="x").transform(some.coalesce(1)).select("x", "label", "weight"), "secret-train")
+    return RandomForestClassifier(featuresCol="x", labelCol="label", weightCol="weight", numTrees=TREES, maxDepth=DEPTH, seed=SEED).fit(some)
 
 
 def scan(docs: DataFrame, dictionary: DataFrame, findings=rule_labels, threshold: float = THRESHOLD, most: int = MAX_TRAIN) -> DataFrame:

@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from shopsmith.llm import boosted_trees, divergence, doc_stats, labelled, quality, rlz, secrets, simhash, toxicity, weighted_sampling
 from shopsmith.llm.components import components
@@ -284,3 +285,18 @@ def test_secrets_outside_assignments(spark):
     assert not any(line in got[4] for line in pem.split("\n")) and got[4].endswith("-----END RSA PRIVATE KEY-----\nend")
     assert got[5:7] == ['the latest contest sampled token = "[secret]"', 'mail@example.com token = "[secret]" or']
     assert got[7] == f"commit {sha} and path/to/some/file-2024/index" and got[8] == f'dummy token = "{sha}"'
+
+
+def test_rare_secrets_are_trained_on(spark):
+    """three secrets among 1,200 numbers, a sample of 40: found by the forest alone"""
+    key = lambda i: hashlib.sha1(str(i).encode()).hexdigest()
+    rows = [(i, f"some text and more {4785380592391139 + i} end") for i in range(1200)]
+    rows += [(5000 + i, f'some text token = "{key(i)}" and more') for i in range(12)]
+    df = docs_of(spark, rows)
+    words_ = secrets.dictionary_of(spark.createDataFrame([("some text and more",)], "text string"))
+    own = lambda features: features.withColumn("label", (F.col("doc_id") >= 5000).cast("double")).filter("doc_id < 5003")
+    found = secrets.scan(df, words_, findings=own, most=40).collect()
+    assert len(found) == 1212 and all(r["is_secret"] == (r["doc_id"] >= 5000) for r in found)
+    # a single class in the whole table: the constant
+    only = secrets.scan(df, words_, findings=lambda features: own(features).filter("label = 0"), most=40)
+    assert only.filter("is_secret").count() == 0
