@@ -91,7 +91,8 @@ def candidates(docs: DataFrame) -> DataFrame:
     kind = F.when(F.col("pem") != "", "pem").when(F.col("quoted_value") != "", "quoted").when(F.col("plain") != "", "plain").when(F.col("bearer") != "", "bearer").otherwise("run")
     value = F.concat(F.trim("pem"), "quoted_value", plain, "bearer", "run")
     values = values.withColumns({"kind": kind, "value": value}).filter("value <> ''")
-    values = values.filter(F.col("value").rlike("[0-9]") & (F.length("value") >= LEAST_LENGTH))
+    # one character over and over is a line, no key
+    values = values.filter((F.col("kind") != "run") | ~F.col("value").rlike(r"^(.)\1*$"))
     return values.select("doc_id", "text_key", "path", "at", "part", "value", "kind", "word", "before", "before2", "after")
 
 
@@ -188,10 +189,18 @@ def scan(docs: DataFrame, dictionary: DataFrame, findings=rule_labels, threshold
 
 def redact(docs: DataFrame, found: DataFrame, mark: str = "[secret]") -> DataFrame:
     """``docs`` with every value of ``found`` that is a secret replaced in the texts it was
-    found in; all rows and columns stay."""
+    found in; all rows and columns stay.  A short value goes only from the word it was found in."""
+    long = F.length("value") >= LEAST_LENGTH
+    edged = F.concat(F.lit(r"(?<![A-Za-z0-9])\Q"), F.replace("value", F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E(?![A-Za-z0-9])"))
     per_text = (found.filter("is_secret").groupBy(F.col("text_key").alias("__key"))
-                .agg(F.sort_array(F.collect_set(F.struct(F.length("value").alias("n"), "value")), asc=False).alias("__values")))
-    clean = F.aggregate("__values", F.col("text"), lambda text, v: F.replace(text, v["value"], F.lit(mark)))
+                .agg(F.sort_array(F.collect_set(F.when(long, F.struct(F.length("value").alias("n"), "value"))), asc=False).alias("__values"),
+                     F.sort_array(F.collect_set(F.when(~long, F.struct("at", F.length("value").alias("n"), edged.alias("edged")))), asc=False).alias("__short")))
+    # the words as in candidates, each with the white space before it
+    words = F.regexp_extract_all("text", F.lit(f"[{_W}]*{_UNIT}"), F.lit(0))
+    one = lambda w, i: F.aggregate(F.filter("__short", lambda v: v["at"] == i), w, lambda t, v: F.regexp_replace(t, v["edged"], F.lit(mark)))
+    in_place = F.when(F.size("__short") == 0, F.col("text")).otherwise(
+        F.concat(F.array_join(F.transform(words, one), ""), F.regexp_extract("text", rf"[{_W}]*\z", 0)))
+    clean = F.aggregate("__values", in_place, lambda text, v: F.replace(text, v["value"], F.lit(mark)))
     return (docs.join(per_text, F.xxhash64("text") == F.col("__key"), "left")
             .withColumn("text", F.when(F.col("__values").isNull(), F.col("text")).otherwise(clean))
             .select(*[F.col(f"`{c}`") for c in docs.columns]))

@@ -300,3 +300,13 @@ def test_rare_secrets_are_trained_on(spark):
     # a single class in the whole table: the constant
     only = secrets.scan(df, words_, findings=lambda features: own(features).filter("label = 0"), most=40)
     assert only.filter("is_secret").count() == 0
+
+
+def test_secrets_without_digits_or_length(spark):
+    bare = "ghp_" + _random(36, 11, "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
+    got = _scanned(spark, ['a  password = "correct-horse-battery"\n b ', "DB_PASSWORD=h!u&n.t end", 'pwd: "a b c" or \'pass\'', f"push {bare} now",
+                           'a {"user":"cat","password":"cat!dog"}', '\n a password = "a"', "the password: never say it", "password = get_password(x)",
+                           "some " + "textand" * 4 + " more", "url?token=abcdef&user=tom", 'token = "' + _random(24, 12, "ABCDEFabcdefghij") + '"'])
+    assert got[:2] == ['a  password = "[secret]"\n b ', "DB_PASSWORD=[secret] end"]
+    assert got[3:] == ["push [secret] now", 'a {"user":"cat","password":"[secret]"}', '\n a password = "[secret]"', "the password: never say it",
+                       "password = get_password(x)", "some " + "textand" * 4 + " more", "url?token=[secret]&user=tom", 'token = "[secret]"']
