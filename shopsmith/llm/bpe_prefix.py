@@ -10,6 +10,7 @@ Following the stored last tokens backwards from the whole word gives its ids.
 from __future__ import annotations
 
 import json
+import re
 from array import array
 
 from .tokens import PartCache, bare_parts, load_tokenizer, plain_pieces, to_symbols
@@ -157,6 +158,8 @@ class PrefixCodec:
         self.bpe, self.tok = PrefixBpe(path), load_tokenizer(path)
         self.names = {i: s for s, i in self.tok.get_vocab(with_added_tokens=True).items()}
         self.special = {t.content: i for i, t in self.tok.get_added_tokens_decoder().items()}
+        # the first in the text; of those at one place, the first in the file
+        self.split = re.compile(f"({'|'.join(map(re.escape, self.special))})").split if self.special else lambda part: [part]
         self.cache = PartCache(self._part)
 
     def _pieces(self, text: str) -> list[str]:
@@ -164,17 +167,15 @@ class PrefixCodec:
         return [s for s, _ in self.tok.pre_tokenizer.pre_tokenize_str(norm)]
 
     def _ids(self, part: str) -> list[int]:
-        pieces = plain_pieces(part)
-        if pieces is not None:
-            return [i for p in pieces for i in self.bpe.encode_word(to_symbols(p.lower()))]
-        at, found = len(part), None
-        for name in self.special:
-            k = part.find(name)
-            if 0 <= k < at:
-                at, found = k, name
-        if found:
-            return [*self._ids(part[:at]), self.special[found], *self._ids(part[at + len(found):])]
-        return [i for s in self._pieces(part) for i in self.bpe.encode_word(s)]
+        ids = []
+        for k, piece in enumerate(self.split(part)):
+            if k % 2:
+                ids.append(self.special[piece])
+            elif (pieces := plain_pieces(piece)) is not None:
+                ids += [i for p in pieces for i in self.bpe.encode_word(to_symbols(p.lower()))]
+            elif piece:
+                ids += [i for s in self._pieces(piece) for i in self.bpe.encode_word(s)]
+        return ids
 
     def _part(self, part: str) -> tuple[bytes, str]:
         ids = self._ids(part) if part else []

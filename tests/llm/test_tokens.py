@@ -140,3 +140,11 @@ def test_packing_covers_every_id(spark):
     total = sum(len(tok.encode(r[1] or "", add_special_tokens=False).ids) + 1 for r in ROWS)
     assert sum(lengths.values()) == total
     assert packing.pack_documents(spark.createDataFrame([], SCHEMA), path, False).count() == 0
+
+
+def test_many_adjacent_special_tokens():
+    path = tokenizer_file("word_bpe_49k.json")
+    tok, codec = load_tokenizer(path), PrefixCodec(path)
+    for text in ("<|endoftext|>" * 5000, "a" + "<|endoftext|>b<|startoftext|>" * 2500 + "é x"):
+        ids = np.frombuffer(codec.encode(text)[0], "<u4").tolist()
+        assert ids == tok.encode(text, add_special_tokens=False).ids and len(ids) >= 5000
