@@ -28,6 +28,9 @@ LEAST_CHARS, LEAST_HISTOGRAM_WORDS = 200, 50
 COMMON_WORDS, TASK_WORDS, TASK_BYTES = 64, 100_000, 1 << 26
 #: References: the languages with most words; others are compared with all documents'.
 MOST_LANGUAGES = 1_000
+#: Distinct texts and words of a language that gets a reference of its own (smaller ones are
+#: compared with all documents'), and of one whose reference other languages may fit.
+LEAST_OWN, LEAST_FOR_OTHERS = (20, 1_000), (100, 10_000)
 
 
 def bare(word: bytes) -> bytes:
@@ -81,15 +84,28 @@ class _Counter:
         return out
 
 
-def references(docs: DataFrame, common: int = COMMON_WORDS, task_words: int = TASK_WORDS) -> dict[str, tuple[np.ndarray, dict[bytes, int], np.ndarray]]:
-    """language -> (class shares, common word -> place, word shares with all others last);
-    under "" the reference of all documents.  At most MOST_LANGUAGES x ``common`` numbers
+def language_sizes(docs: DataFrame) -> DataFrame:
+    """lang, texts, words: distinct texts of every language and the words in them, copies
+    counted once."""
+    one = (docs.filter("lang <> '' and text is not null")
+           .select("lang", F.xxhash64("text").alias("key"), F.size(F.split(F.trim("text"), r"\s+")).alias("n")).distinct())
+    return stage(one.groupBy("lang").agg(F.count("*").alias("texts"), F.sum("n").alias("words")), "language-sizes")
+
+
+def _at_least(sizes: DataFrame, least: tuple[int, int]) -> DataFrame:
+    return sizes.filter((F.col("texts") >= least[0]) & (F.col("words") >= least[1])).select("lang")
+
+
+def references(docs: DataFrame, common: int = COMMON_WORDS, task_words: int = TASK_WORDS, sizes: DataFrame | None = None) -> dict[str, tuple[np.ndarray, dict[bytes, int], np.ndarray]]:
+    """language -> (class shares, common word -> place, word shares with all others last) of
+    the languages of LEAST_OWN; under "" the reference of all documents.  At most MOST_LANGUAGES x ``common`` numbers
     reach the driver."""
     counter = type("Counter", (_Counter,), {"task_words": task_words})
     counted = map_lists(docs.select("lang", "text"), counter, "lang string, kind string, name string, n long")
     per_lang = counted.groupBy("lang", "kind", "name").agg(F.sum("n").alias("n"))
     per_lang = stage(per_lang, "language-counts")
-    large = (per_lang.filter("kind = 'words'").select("lang", F.col("n").alias("total"))
+    enough = _at_least(language_sizes(docs) if sizes is None else sizes, LEAST_OWN)
+    large = (per_lang.filter("kind = 'words'").join(enough, "lang", "left_semi").select("lang", F.col("n").alias("total"))
              .orderBy(F.desc("total"), "lang").limit(MOST_LANGUAGES))
     every = per_lang.groupBy("kind", "name").agg(F.sum("n").alias("n")).select(F.lit("").alias("lang"), "kind", "name", "n")
     both = per_lang.filter("lang <> ''").join(F.broadcast(large.select("lang")), "lang", "left_semi").unionByName(every)
@@ -142,10 +158,13 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     class_distance, word_distance (to the language that fits best), kept.
 
     Null or empty text: no words, so the base rule fails.  A null or unknown language is
-    compared with the reference of all documents first.  Repeated rows are judged each;
+    compared with the reference of all documents first, as is one too small for its own.  Repeated rows are judged each;
     other columns are ignored; an empty table gives none.
     """
-    known = references(docs)
+    sizes = language_sizes(docs)
+    known = references(docs, sizes=sizes)
+    # of these, at most MOST_LANGUAGES
+    others = sorted(r["lang"] for r in _at_least(sizes, LEAST_FOR_OTHERS).filter(F.col("lang").isin(list(known))).collect())
 
     def run(rows):
         names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -157,7 +176,7 @@ def quality_rules(docs: DataFrame) -> DataFrame:
             failed = c.n_words < LEAST_WORDS or 100 * c.n_repeat_words > MOST_REPEAT_PERCENT * c.n_words
             best, fits = None, False
             first = lang if lang in known else ""
-            for name in [first, *(k for k in known if k not in (first, ""))] if known else []:
+            for name in [first, *(k for k in others if k != first)] if known else []:
                 d = distances(c, known[name])
                 ratio = max(d[0] / CLASS_DISTANCE, d[1] / WORD_DISTANCE)
                 if best is None or ratio < best[0]:

@@ -164,6 +164,15 @@ def test_rules_edge_rows(spark):
     assert divergence.quality_rules(df.filter("false")).count() == 0
 
 
+def test_small_languages_are_no_references(spark):
+    rng = np.random.default_rng(6)
+    junk = lambda k: " ".join(f"{k}{i}=#{i * i}#{i % 7}|" for i in range(80))
+    rows = [(i, words(rng, 120, 200), "en") for i in range(120)]
+    rows += [(1000, junk(1), "qq"), *[(1001 + i, junk(2), "zz") for i in range(30)], (1100, junk(1), "en"), (1101, junk(2), None)]
+    got = divergence.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert not any(r["base_failed"] for r in got) and all(r["kept"] == (r["doc_id"] < 1000) for r in got)
+
+
 # ---- weighted sampling
 def jaccard(a, b):
     a, b = weighted_sampling.text_bag(a), weighted_sampling.text_bag(b)
