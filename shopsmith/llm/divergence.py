@@ -3,7 +3,8 @@ histograms against those of its language, by Jensen-Shannon distance.
 
 The references are exact counts over all documents; a task hands its counts on before they
 outgrow its memory.  A document is compared with its own language and, where that does not
-fit, with the others; it is kept if one language fits both ways.  Texts below the length
+fit, with the others; it is kept if one language fits both ways
+and the document has enough of its common words.  Texts below the length
 guards are not judged by histogram.
 """
 
@@ -22,6 +23,9 @@ from .doc_stats import CLASSES, Counts, class_bytes
 LEAST_WORDS, MOST_REPEAT_PERCENT = 50, 50
 #: Distances (0 to 1) above which a histogram does not fit.
 CLASS_DISTANCE, WORD_DISTANCE = 0.25, 0.50
+#: A document's least share of common words, as a part of the reference's share of them: no
+#: distance tells a text without any where they are a small part of the language.
+LEAST_COMMON = 0.25
 #: Length guards: characters for classes, words for the common words.
 LEAST_CHARS, LEAST_HISTOGRAM_WORDS = 200, 50
 #: Common words of a reference; distinct words and bytes of text counted at a time in a task.
@@ -153,6 +157,14 @@ def distances(counts: Counts, reference) -> tuple[float, float]:
     return d_class, jensen_shannon(_shares(own), shares)
 
 
+def lacks_common_words(counts: Counts, reference) -> bool:
+    """Fewer common words than LEAST_COMMON of the reference's share?  False where a guard holds."""
+    _, place, shares = reference
+    if counts.n_words < LEAST_HISTOGRAM_WORDS or not place:
+        return False
+    return sum(bare(w) in place for w in counts.words) < LEAST_COMMON * shares[:-1].sum() * counts.n_words
+
+
 def quality_rules(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
     class_distance, word_distance (to the language that fits best), kept.
@@ -181,7 +193,7 @@ def quality_rules(docs: DataFrame) -> DataFrame:
                 ratio = max(d[0] / CLASS_DISTANCE, d[1] / WORD_DISTANCE)
                 if best is None or ratio < best[0]:
                     best = (ratio, d)
-                if ratio <= 1:
+                if ratio <= 1 and not lacks_common_words(c, known[name]):
                     fits = True
                     break
             out["base_failed"].append(failed)

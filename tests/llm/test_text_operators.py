@@ -173,6 +173,16 @@ def test_small_languages_are_no_references(spark):
     assert not any(r["base_failed"] for r in got) and all(r["kept"] == (r["doc_id"] < 1000) for r in got)
 
 
+def test_text_without_common_words_is_rejected(spark):
+    rng = np.random.default_rng(7)
+    vocab = sorted({"".join(rng.choice(list("etaoinshrd"), 6)) for _ in range(3000)})
+    share = np.r_[np.full(64, 0.36 / 64), np.full(len(vocab) - 64, 0.64 / (len(vocab) - 64))]
+    rows = [(i, " ".join(rng.choice(vocab, 120, p=share)), "en") for i in range(150)]
+    rows += [(1000 + i, " ".join("".join(rng.choice(list("etaoinshrd"), 7)) for _ in range(120)), lang) for i, lang in enumerate(("en", None))]
+    got = divergence.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert not any(r["base_failed"] for r in got) and all(r["kept"] == (r["doc_id"] < 1000) for r in got)
+
+
 # ---- weighted sampling
 def jaccard(a, b):
     a, b = weighted_sampling.text_bag(a), weighted_sampling.text_bag(b)
