@@ -12,6 +12,10 @@ from ..session import ensure_checkpoint_dir, scratch_path
 BATCH_ROWS, BATCH_BYTES = 512, 32 << 20
 
 
+#: Byte to byte: A-Z in lower case, 0-9, a-z and all beyond ASCII as they are, else a space.
+WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if b > 127 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -53,6 +57,15 @@ def map_lists(df: DataFrame, fn, schema: str | StructType) -> DataFrame:
     return df.mapInArrow(run, spark_schema)
 
 
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Column names like ``wanted`` that no column of ``df`` has, upper or lower case."""
+    taken = [c.lower() for c in df.columns]
+    prefix = "_"
+    while any(c.startswith(prefix) for c in taken):
+        prefix += "_"
+    return [prefix + w for w in wanted]
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared scratch folder and read it back: later jobs
     start from files that survive lost executors, with column pruning and statistics."""
@@ -62,4 +75,4 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-__all__ = ["documents", "labels", "small_batches", "map_lists", "stage", "scratch_path", "ensure_checkpoint_dir"]
+__all__ = ["WORD_BYTES", "documents", "labels", "small_batches", "map_lists", "free_names", "stage", "scratch_path", "ensure_checkpoint_dir"]
