@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..session import scratch_path
 from ..sources import stages as ST
 from ..sources import tables as TB
+from ..streaming import keyed as KT
 from ..streaming import pages as SP
 from .catalog import Catalog
 from .workflow import run_workflow
@@ -116,20 +117,37 @@ select id, name, true as is_active, true as is_visible from v_existing_products
 union all select product_key, name, true, true from v_products where product_key % 3 <> 0""",
        ("v_products", "v_existing_products"))
 def q_stream_upsert(spark, sf):
-    """Existing products as the starting snapshot, then new product rows arriving
+    """Existing products as the start of the keyed table, then new product rows arriving
     as files in two drops and folded in by a file stream (one micro-batch per drop):
-    existing rows kept and switched on, new ones inserted."""
+    existing rows kept and switched on, new ones inserted; the second batch compacts."""
     c = _cat(spark, sf)
     base = scratch_path(spark, "upsert")
     target = f"{base}/table"
-    ex = c.inputs.existing_products.select("id", "name", "is_active", "is_visible")
-    ex.write.parquet(f"{target}/v={0:010d}")
+    KT.create_keyed(c.inputs.existing_products.select("id", "name", "is_active", "is_visible"), target, buckets=8)
     new = c.inputs.products.select(F.col("product_key").alias("id"), "name")
     for drop, parity in ((1, 0), (2, 1)):
         new.filter(F.col("id") % 2 == parity).write.parquet(f"{base}/in/drop={drop}")
         source = spark.readStream.schema("id long, name string").parquet(f"{base}/in")
-        SP.stream_upsert(spark, source.select("id", "name"), target, f"{base}/ckpt")
-    return SP.latest_snapshot(spark, target)
+        KT.stream_upsert(spark, source.select("id", "name"), target, f"{base}/ckpt", most_deltas=1)
+    return KT.read_keyed(spark, target)
+
+
+@query("stream_ids", """
+with first as (select url, product_key % 3 as part from v_products)
+select url, cast(100 + row_number() over (order by case when part = 0 then 0 else 1 end, url) as bigint) as id,
+  cast(case when part = 0 then 1 else 2 end as bigint) as drop_no from first""", ("v_products",))
+def q_stream_ids(spark, sf):
+    """E2 for pages that arrive later (S1): a third of the shop pages in the first drop, all
+    of them (so those again) in the second; every page keeps the id it got first."""
+    c = _cat(spark, sf)
+    base = scratch_path(spark, "stream-ids")
+    pages = c.inputs.product_pages.select("url", "status", F.lit("text/html").alias("content_type"), "html",
+                                          F.col("page_id").cast("long").alias("page_id"))
+    for drop, rows in ((1, pages.filter(F.col("page_id") % 3 == 0)), (2, pages)):
+        rows.write.parquet(f"{base}/in/drop={drop}")
+        SP.stream_pages(spark, f"{base}/in", f"{base}/out", f"{base}/ckpt", registry=f"{base}/ids", first_id=101)
+    # the same id in every drop, else a page shows twice
+    return spark.read.parquet(f"{base}/out").groupBy("url", "id").agg((F.min("batch_id") + 1).cast("long").alias("drop_no"))
 
 
 @query("run_workflow", """

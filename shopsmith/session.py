@@ -88,6 +88,23 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/shopsmith-scratch/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def _file_system(spark: SparkSession, path: str):
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, on any file system that Spark reads."""
+    fs, hadoop = _file_system(spark, path)
+    return fs.exists(hadoop)
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Remove a folder of ours that nothing reads any more (absent: nothing)."""
+    fs, hadoop = _file_system(spark, path)
+    fs.delete(hadoop, True)
+
+
 def spread(df):
     """Use every core for a Python pass: when the input has fewer partitions than
     the cluster's parallelism (a small file is one split), deal its rows out

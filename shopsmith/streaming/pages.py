@@ -3,9 +3,8 @@
 S1 reads a folder of captured pages as a file stream: the stream checkpoint
 remembers which files were processed, which is the "skip finished work" of a
 resumed run.  Each micro-batch runs the same batch transforms (HTML pass ->
-records) and writes them as one folder of a table.  S2 folds each micro-batch into a keyed product
-table with the upsert rule (existing row kept, flags forced on); snapshots are
-written per batch id, so replaying a batch rewrites the same snapshot.
+records) and writes them as one folder of a table; with an id registry every page
+keeps the id it got when it first arrived.  S2, the keyed product table, is in ``keyed``.
 """
 
 from __future__ import annotations
@@ -15,13 +14,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.html import extract_products
+from ..operators.id_registry import register_ids
 from ..sources.tables import PAGES
+from .keyed import read_keyed as latest_snapshot, stream_upsert, upsert_batch  # noqa: F401
 
 
 def stream_pages(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str,
-                 max_files_per_trigger: int | None = None):
+                 max_files_per_trigger: int | None = None, registry: str | None = None, first_id: int = 1):
     """New page files -> extracted records appended under ``out_dir``.
-    Runs until all files present now are processed (``availableNow``)."""
+    Runs until all files present now are processed (``availableNow``).  With ``registry``
+    (a folder, E2) records have a column ``id``: one number per URL, for good, from
+    ``first_id`` on."""
     schema = T.StructType(PAGES.fields + [T.StructField("page_id", T.LongType())])
     reader = spark.readStream.schema(schema).format("parquet")
     if max_files_per_trigger:
@@ -31,6 +34,8 @@ def stream_pages(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str
     def batch(df: DataFrame, epoch_id: int):
         ok = df.filter(F.coalesce(F.col("status"), F.lit(200)) == 200)
         recs = extract_products(ok, key="url")
+        if registry:
+            recs = recs.join(register_ids(recs.select("url"), registry, epoch_id, "url", first_id), "url")
         # a folder per batch: a replayed batch rewrites its own rows
         recs.write.mode("overwrite").parquet(f"{out_dir.rstrip('/')}/batch_id={epoch_id}")
 
@@ -38,65 +43,3 @@ def stream_pages(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str
          .trigger(availableNow=True).start())
     q.awaitTermination()
     return q
-
-
-def latest_snapshot(spark: SparkSession, target: str, before: int | None = None) -> DataFrame | None:
-    """Newest ``v=<batch>`` snapshot of a keyed table (listed by Spark, so any
-    shared file system works), optionally older than batch ``before``; None
-    before the first batch."""
-    try:
-        all_versions = spark.read.parquet(target)
-    except Exception as e:  # noqa: BLE001 - no snapshot yet
-        if "PATH_NOT_FOUND" in str(e) or "does not exist" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
-            return None
-        raise
-    if before is not None:
-        all_versions = all_versions.filter(F.col("v") < before)
-    top = all_versions.agg(F.max("v").alias("m")).first()["m"]
-    if top is None:
-        return None
-    return all_versions.filter(F.col("v") == top).drop("v")
-
-
-def upsert_batch(spark: SparkSession, batch: DataFrame, target: str, epoch_id: int, key: str = "id",
-                 order: str | None = None) -> str:
-    """S2 step: merge one batch into the keyed table.  Rows already present keep
-    their values but are forced active and visible; new keys are inserted; the
-    last row per key in the batch (highest ``order`` column; without one or on a tie
-    the largest row) wins.  Written as snapshot ``v=<epoch>``."""
-    cols = [c for c in batch.columns if c not in (key, order)]
-    whole = F.struct(*cols)
-    b = (batch.groupBy(key).agg((F.max_by(whole, F.struct(F.col(order), whole)) if order else F.max(whole)).alias("r"))
-         .select(key, "r.*").withColumn("__in_batch", F.lit(True)))
-    # the snapshot before this batch: replaying a batch rebuilds the same result
-    cur = latest_snapshot(spark, target, before=epoch_id)
-    if cur is None:
-        merged = b.drop("__in_batch").withColumn("is_active", F.lit(True)).withColumn("is_visible", F.lit(True))
-    else:
-        data_cols = [c for c in cur.columns if c not in (key, "is_active", "is_visible")]
-        old = cur.withColumn("__stored", F.lit(True)).select(key, "__stored", *[F.col(c).alias(f"o_{c}") for c in cur.columns if c != key])
-        j = old.join(b, key, "full_outer")
-        touched = F.coalesce(F.col("__in_batch"), F.lit(False))
-        merged = j.select(
-            key, *[F.when(F.col("__stored"), F.col(f"o_{c}"))
-                   .otherwise(F.col(c) if c in cols else F.lit(None)).alias(c) for c in data_cols],
-            F.when(touched, F.lit(True)).otherwise(F.col("o_is_active")).alias("is_active"),
-            F.when(touched, F.lit(True)).otherwise(F.col("o_is_visible")).alias("is_visible"))
-    path = f"{target.rstrip('/')}/v={epoch_id:010d}"
-    merged.write.mode("overwrite").parquet(path)
-    return path
-
-
-def stream_upsert(spark: SparkSession, source: DataFrame, target: str, checkpoint: str, key: str = "id",
-                  order: str | None = None):
-    """A streaming DataFrame of product rows folded into ``target``.  Snapshot
-    ``v=0`` is the table as it was before the stream (if any); micro-batch ``n``
-    writes ``v=n+1`` from the snapshot before it, so a replayed batch rewrites the
-    same snapshot."""
-    def batch(df: DataFrame, epoch_id: int):
-        upsert_batch(spark, df, target, epoch_id + 1, key, order)
-
-    q = (source.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
-    return q

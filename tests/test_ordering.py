@@ -168,3 +168,19 @@ def test_retry_numbering_across_chunks(spark):
         for i, p in enumerate(sorted(p for kk, p in rows if kk == k)):
             exp[(k, p)] = (i, min(2.0 * 2.0 ** i, 120.0) if i < 5 else None, i >= 5)
     assert small == exp
+
+
+def test_places_write_keys_only(spark):
+    df = spark.range(100).select((F.col("id") * 37 % 100).alias("k"), F.repeat(F.lit("x"), 500).alias("wide"))
+    ranks = O.places(df, ["k"], "i")
+    assert ranks.columns == ["k", "__copy", "i"]
+    assert {(r["k"], r["batch_id"], r["batch_pos"]) for r in O.batches(df, "k", 30).collect()} == {(k, k // 30, k % 30) for k in range(100)}
+
+
+def test_repeated_and_null_keys_have_places_of_their_own(spark):
+    df = spark.createDataFrame([(None, "a"), (1, "b"), (1, "c"), (1, "b"), (2, "d"), (None, "e")], "k long, v string")
+    got = O.batches(df, "k", 2).collect()
+    assert sorted((r["batch_id"], r["batch_pos"]) for r in got) == [(b, p) for b in range(3) for p in range(2)]
+    assert sorted(r["v"] for r in got) == sorted("abcbde") and [r["k"] for r in got if r["batch_id"] == 0] == [None, None]
+    assert O.even_sample(df, 3, "k").count() == 3
+    assert O.batches(df.filter("false"), "k", 2).count() == 0
