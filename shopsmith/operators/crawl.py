@@ -3,16 +3,18 @@
 W1 walks listing pages 1..n per category and stops at the first page that
 failed, is missing, is empty or brings nothing new: that stop page is a
 grouped ``min`` instead of a loop.  E12 is a breadth-first reach over a link
-table: one join per hop, a seen-set anti-join, and a global rank that
-reproduces the FIFO visiting order for the page cap.
+table: one join per hop, a seen-set anti-join, and a rank carried from hop
+to hop that reproduces the FIFO visiting order for the page cap.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import scratch_path
+from ..session import remove_path, scratch_path, staged
 from .ordering import dedupe_first_seen, with_index
 
 
@@ -48,6 +50,69 @@ def harvest_first_seen(kept: DataFrame, category: str = "category_no", page: str
     return dedupe_first_seen(kept.select(item, *order), item, order, keep=order)
 
 
+class _Seen:
+    """Rows found so far as a few written tables: a new one joins the one before it while
+    that is not twice as large, so there are about log2(rows) of them, each row is rewritten
+    that often, and a long crawl does not open a file per hop for every hop."""
+
+    def __init__(self):
+        self.tables: list[tuple[DataFrame, str, int]] = []
+
+    def add(self, rows: DataFrame) -> tuple[DataFrame, int]:
+        """Write ``rows``: (they, read back; their number)."""
+        table, path, n = self._write(rows)
+        self.tables.append((table, path, n))
+        return table, n
+
+    def settle(self) -> None:
+        """Join what is small; tables handed out before are gone afterwards."""
+        while len(self.tables) > 1 and self.tables[-2][2] <= 2 * self.tables[-1][2]:
+            (a, pa, _), (b, pb, _) = self.tables.pop(-2), self.tables.pop()
+            self.tables.append(self._write(a.unionByName(b)))
+            remove_path(a.sparkSession, pa)
+            remove_path(a.sparkSession, pb)
+
+    def all(self) -> DataFrame:
+        return reduce(DataFrame.unionByName, [t for t, _, _ in self.tables])
+
+    @staticmethod
+    def _write(rows: DataFrame) -> tuple[DataFrame, str, int]:
+        path = scratch_path(rows.sparkSession, "crawl")
+        rows.write.parquet(path)
+        table = rows.sparkSession.read.schema(rows.schema).parquet(path)
+        return table, path, table.count()
+
+
+#: New nodes of a hop that one task numbers.
+_PLACE_ROWS = 100_000
+
+
+def _visiting_order(links: DataFrame, seeds: DataFrame, max_pages: int, ok_nodes: DataFrame | None) -> DataFrame:
+    """(node, rank, hop) of the nodes reached until ``max_pages`` of them are ranked (the last
+    hop may go beyond).  A node's key is its first parent's rank and the link's position
+    there, one long and one number at any depth: ranks within a hop follow the keys, and a
+    hop's ranks follow those of the hop before, which is the order of a FIFO queue."""
+    spark = links.sparkSession
+    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    found = seeds.groupBy("node").agg(F.min(F.struct(F.lit(-1).cast("long").alias("parent"), F.col("ord").cast("long").alias("pos"))).alias("key"))
+    seen, total, hop, before = _Seen(), 0, 0, 1
+    while True:
+        # numbered by a range sort, in as many partitions as the frontier before suggests
+        parts = min(most, 1 + before // _PLACE_ROWS)
+        placed = with_index(found.select("node", "key.*"), ["parent", "pos", "node"], "place", parts)
+        frontier, n = seen.add(placed.select("node", (F.col("place") + total).alias("rank"), F.lit(hop).alias("hop")))
+        total, before = total + n, n
+        if n == 0 or total >= max_pages:
+            return seen.all()
+        src = frontier if ok_nodes is None else frontier.join(ok_nodes.select("node"), "node", "left_semi")
+        reached = links.join(src.select(F.col("node").alias("src"), F.col("rank").alias("parent")), "src").select(
+            F.col("dst").alias("node"), F.struct("parent", F.col("pos").cast("long").alias("pos")).alias("key"))
+        fresh = reached.groupBy("node").agg(F.min("key").alias("key")).join(seen.all().select("node"), "node", "left_anti")
+        found = staged(fresh, "crawl-found")
+        seen.settle()
+        hop += 1
+
+
 def crawl_reach(links: DataFrame, seeds: DataFrame, max_pages: int | None = None,
                 ok_nodes: DataFrame | None = None) -> DataFrame:
     """Breadth-first from ``seeds`` (node, ord) over ``links`` (src, dst, pos) until
@@ -56,40 +121,27 @@ def crawl_reach(links: DataFrame, seeds: DataFrame, max_pages: int | None = None
     Returns (node, hop, visit_rank, visited): every visited node (FIFO rank below
     ``max_pages``) and every node discovered from a visited, answering node; without
     ``max_pages`` every node is visited and unranked.  Each hop is one join and an
-    anti-join with what was seen; its new nodes are written once, as one folder of a
-    Parquet table, so nothing seen before is rewritten.
+    anti-join with what was seen.
     """
-    # Each node carries its FIFO key: its seed order, then the link positions along
-    # the path that first reaches it.  Within one hop, keys compare exactly like
-    # (parent's rank, link position), so one numbering by (hop, key) at the end
-    # gives the visiting order.
-    spark, fifo = links.sparkSession, max_pages is not None
-    if fifo:
-        found = seeds.groupBy("node").agg(F.array(F.min("ord").cast("long")).alias("key"))
-    else:
+    spark = links.sparkSession
+    if max_pages is None:
+        path, hop = scratch_path(spark, "crawl"), 0
         found = seeds.select("node").distinct()
-    path, schema, total, hop = scratch_path(spark, "crawl"), found.schema, 0, 0
-    with_hop = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields) + ", hop int"
-    while True:
-        found.write.parquet(f"{path}/hop={hop}")
-        frontier = spark.read.schema(schema).parquet(f"{path}/hop={hop}")
-        seen = spark.read.schema(with_hop).parquet(path)
-        n = frontier.count()
-        total += n
-        if n == 0 or (fifo and total >= max_pages):
-            break
-        src = frontier if ok_nodes is None else frontier.join(ok_nodes.select("node"), "node", "left_semi")
-        reached = links.join(src.withColumnRenamed("node", "src"), "src")
-        if fifo:
-            reached = reached.select(F.col("dst").alias("node"),
-                                     F.concat("key", F.array(F.col("pos").cast("long"))).alias("key"))
-            found = reached.join(seen.select("node"), "node", "left_anti").groupBy("node").agg(F.min("key").alias("key"))
-        else:
+        schema = found.schema
+        with_hop = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields) + ", hop int"
+        while True:
+            # a hop's new nodes are written once, as one folder; nothing seen before is rewritten
+            found.write.parquet(f"{path}/hop={hop}")
+            frontier = spark.read.schema(schema).parquet(f"{path}/hop={hop}")
+            seen = spark.read.schema(with_hop).parquet(path)
+            if frontier.isEmpty():
+                break
+            src = frontier if ok_nodes is None else frontier.join(ok_nodes.select("node"), "node", "left_semi")
+            reached = links.join(src.withColumnRenamed("node", "src"), "src")
             found = reached.select(F.col("dst").alias("node")).distinct().join(seen.select("node"), "node", "left_anti")
-        hop += 1
-    if not fifo:
+            hop += 1
         return seen.select("node", "hop", F.lit(None).cast("long").alias("visit_rank"), F.lit(True).alias("visited"))
-    seen = with_index(seen, ["hop", "key", "node"], "rank").drop("key")
+    seen = _visiting_order(links, seeds, max_pages, ok_nodes)
     visited = seen.filter(F.col("rank") < max_pages)
     vsrc = visited if ok_nodes is None else visited.join(ok_nodes.select("node"), "node", "left_semi")
     discovered = (links.join(vsrc.select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node"))

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import staged
+from .ordering import with_index
+
 # Required fields per platform entity.
 REQUIRED = {
     "Department": ["Name"],
@@ -64,44 +67,58 @@ def outbox_problems(outbox: DataFrame) -> DataFrame:
     return outbox.select("entity", "key", error.alias("error")).filter("error is not null")
 
 
+def _carried(elements: DataFrame, n: int, size: int) -> DataFrame:
+    """``elements`` (i from 0 to n - 1, first, last, closed, count, and more) with what the
+    elements before each of them leave behind: ``in_run``, ``in_count``.
+
+    An element stands for a stretch of attempts: the runs it begins and ends in, the limits
+    counted in its last run since the last reset in it, and whether that count is closed to
+    the left (a reset, or another run before).  Two neighbours make one such element, so a
+    prefix is found in a tree: groups of ``size`` elements are scanned, each group is one
+    element of the level above, and no scan covers more than ``size`` rows at any length.
+    """
+    e = elements.withColumn("g", F.floor(F.col("i") / size))
+    w = Window.partitionBy("g").orderBy("i")
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    head = F.row_number().over(w) == 1
+    parted = ~head & ~F.lag("last").over(w).eqNullSafe(F.col("first"))
+    e = e.withColumn("seg", F.sum((F.col("closed") | parted).cast("int")).over(upto))
+    e = e.withColumn("sum", F.sum("count").over(Window.partitionBy("g", "seg").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)))
+    prior = lambda c: F.lag(c).over(w)
+    e = e.withColumns({"head": head, "in_run": prior("last"), "in_closed": prior("seg") > 0, "in_count": prior("sum")})
+    kept = [c for c in elements.columns if c not in ("in_run", "in_count")]
+    if n <= size:
+        return e.select(*kept, "in_run", "in_count")
+    groups = e.groupBy("g").agg(F.min_by("first", "i").alias("first"), F.max_by(F.struct("last", (F.col("seg") > 0).alias("closed"), F.col("sum").alias("count")), "i").alias("t"))
+    groups = staged(groups.select(F.col("g").alias("i"), "first", "t.*"), "scan-groups")
+    above = _carried(groups, -(-n // size), size).select(F.col("i").alias("g"), F.col("first").alias("g_first"), F.col("in_run").alias("g_run"), F.col("in_count").alias("g_count"))
+    j = e.join(above, "g")
+    # the group's own start is open to the left: what its elements count goes on from before
+    goes_on = F.col("g_count").isNotNull() & F.col("g_run").eqNullSafe(F.col("g_first"))
+    count = (F.when(F.col("head"), F.col("g_count")).when(F.col("in_closed") | ~goes_on, F.col("in_count"))
+             .otherwise(F.col("in_count") + F.col("g_count")))
+    return j.select(*kept, F.when(F.col("head"), F.col("g_run")).otherwise(F.col("in_run")).alias("in_run"), count.alias("in_count"))
+
+
 def attempt_cutoff(attempts: DataFrame, max_consecutive: int = 3, run: str = "run_id", pos: str = "pos",
                    outcome: str = "outcome", chunk_size: int = 4096) -> DataFrame:
     """A run stops at the attempt that makes ``max_consecutive`` rate limits in
     a row (an ``ok`` or another error resets the count, ``non_200`` leaves it);
     later attempts are ``not_attempted``.
 
-    Runs are cut into chunks of ``chunk_size`` positions so no window sorts a
-    whole run: each chunk is scanned locally, the count carried into a chunk comes
-    from a scan over one summary row per chunk.
+    A parallel prefix scan: attempts are numbered in the order (run, position), whatever
+    values positions have, and scanned in a tree of groups of ``chunk_size`` rows, so a run
+    that holds most rows is spread like any other.
     """
-    a = attempts.select(run, pos, outcome).withColumn("__chunk", F.floor(F.col(pos) / chunk_size))
-    reset = F.col(outcome).isin("ok", "other_error").cast("int")
-    limited = (F.col(outcome) == "rate_limit").cast("int")
-    wl = Window.partitionBy(run, "__chunk").orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
-    a = a.withColumn("__isl", F.sum(reset).over(wl))
-    wi = Window.partitionBy(run, "__chunk", "__isl").orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
-    a = a.withColumn("__cnt", F.sum(limited).over(wi))
-    # per chunk: did it reset, the count after its last reset, its total rate limits
-    summ = a.groupBy(run, "__chunk").agg(
-        (F.max("__isl") > 0).alias("has_reset"),
-        F.max_by("__cnt", F.struct("__isl", pos)).alias("tail"),
-        F.sum(limited).alias("total"))
-    # count carried into each chunk: scan over chunk summaries (one row per chunk)
-    wc = Window.partitionBy(run).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
-    last_reset = F.last(F.when(F.col("has_reset"), F.struct("__chunk", "tail")), ignorenulls=True).over(wc)
-    run_total = F.sum("total").over(wc)
-    summ = summ.withColumn("__lr", last_reset).withColumn("__before", F.coalesce(run_total, F.lit(0)))
-    totals_upto = summ.select(F.col(run).alias("__r"), F.col("__chunk").alias("__lrc"),
-                              F.col("__before").alias("__before_lr"), F.col("total").alias("__lr_total"))
-    summ = summ.join(totals_upto, (F.col(run) == F.col("__r")) & (F.col("__lr.__chunk") == F.col("__lrc")), "left") \
-        .drop("__r")
-    carry = F.when(F.col("__lr").isNull(), F.col("__before")).otherwise(
-        F.col("__lr.tail") + F.col("__before") - F.col("__before_lr") - F.col("__lr_total"))
-    summ = summ.select(run, "__chunk", carry.alias("__carry"))
-    a = a.join(summ, [run, "__chunk"], "left")
-    count = F.when(F.col("__isl") == 0, F.col("__carry") + F.col("__cnt")).otherwise(F.col("__cnt"))
-    a = a.withColumn("consecutive_limits", count)
-    stop = a.filter(F.col("consecutive_limits") >= max_consecutive).groupBy(run).agg(F.min(pos).alias("__stop"))
+    rows = with_index(attempts.select(F.col(run).alias("first"), F.col(pos).alias("p"), F.col(outcome).alias("o")), ["first", "p", "o"], "i")
+    element = rows.select("i", "first", F.col("first").alias("last"), F.col("o").isin("ok", "other_error").alias("closed"),
+                          (F.col("o") == "rate_limit").cast("long").alias("count"), "p", "o")
+    a = _carried(element.withColumn("closed", F.coalesce("closed", F.lit(False))).withColumn("count", F.coalesce("count", F.lit(0).cast("long"))), rows.count(), chunk_size)
+    goes_on = ~F.col("closed") & F.col("in_count").isNotNull() & F.col("in_run").eqNullSafe(F.col("first"))
+    a = staged(a.select(F.col("first").alias(run), F.col("p").alias(pos), F.col("o").alias(outcome),
+                        F.when(goes_on, F.col("in_count") + F.col("count")).otherwise(F.col("count")).alias("consecutive_limits")), "attempts")
+    # written, so that the join below has two plain exchanges and a hot run is split
+    stop = staged(a.filter(F.col("consecutive_limits") >= max_consecutive).groupBy(run).agg(F.min(pos).alias("__stop")), "attempt-stops")
     a = a.join(stop, run, "left")
     status = F.when(F.col("__stop").isNotNull() & (F.col(pos) > F.col("__stop")), F.lit("not_attempted")) \
         .otherwise(F.col(outcome))

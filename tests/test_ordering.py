@@ -184,3 +184,28 @@ def test_repeated_and_null_keys_have_places_of_their_own(spark):
     assert sorted(r["v"] for r in got) == sorted("abcbde") and [r["k"] for r in got if r["batch_id"] == 0] == [None, None]
     assert O.even_sample(df, 3, "k").count() == 3
     assert O.batches(df.filter("false"), "k", 2).count() == 0
+
+
+def test_cutoff_of_one_long_sparse_run(spark):
+    """One run of far-apart positions over three levels of groups, beside short ones."""
+    rnd = random.Random(11)
+    runs = {5: [rnd.choice(["rate_limit", "non_200", "non_200", "ok"]) for _ in range(900)] + ["non_200"] * 700 + ["rate_limit"] * 3 + ["ok"] * 40}
+    runs |= {r: [rnd.choice(["rate_limit", "ok", None]) for _ in range(rnd.randrange(1, 9))] for r in (1, 2, 3, 6, 7, 8)}
+    data = [(r, p * 1_000_003, o) for r, seq in runs.items() for p, o in enumerate(seq)]
+    got = Q.attempt_cutoff(spark.createDataFrame(data, "run_id long, pos long, outcome string"), max_consecutive=40, chunk_size=10).collect()
+    for r, seq in runs.items():
+        n, want = 0, []
+        for o in seq:
+            n = n + 1 if o == "rate_limit" else 0 if o in ("ok", "other_error") else n
+            want.append(n)
+        assert [x["consecutive_limits"] for x in sorted((x for x in got if x["run_id"] == r), key=lambda x: x["pos"])] == want
+
+
+def test_capped_crawl_of_a_long_chain(spark):
+    """The key stays one rank and one position however deep the crawl goes."""
+    links = spark.createDataFrame([(i, i + 1, 0) for i in range(60)] + [(i, i + 1000, 1) for i in range(60)], "src long, dst long, pos int").coalesce(1)
+    seeds = spark.createDataFrame([(0, 0)], "node long, ord int")
+    order = C._visiting_order(links, seeds, 10_000, None)
+    assert order.columns == ["node", "rank", "hop"] and [t.simpleString() for t in (order.schema["rank"].dataType, order.schema["hop"].dataType)] == ["bigint", "int"]
+    got = [r["node"] for r in sorted(order.collect(), key=lambda r: r["rank"])]
+    assert got == [0] + [x for i in range(60) for x in (i + 1, i + 1000)]
