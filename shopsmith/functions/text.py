@@ -156,3 +156,54 @@ def first_json_object(c: ColumnOrName) -> Column:
 def drop_trailing_commas(c: ColumnOrName) -> Column:
     """``,}`` and ``,]`` -> ``}`` / ``]``."""
     return F.regexp_replace(_c(c), r",\s*([}\]])", "$1")
+
+
+#: Pieces of a JSON text: an escaped character, one sign of the grammar, or what lies between.
+_JSON_PIECES = r"""(?s)\\u[0-9A-Fa-f]{4}|\\.|["{}\[\]:,]|[^\\"{}\[\]:,]++|\\"""
+_JSON_SCALAR = r"^(?:-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?|true|false|null)$"
+_JSON_BLANK = r"^[\x20\t\r\n]*$"
+
+
+def json_fault(c) -> Column:
+    """0-based place of the first character at which a text stops being one JSON value (its
+    length where it just ends too early), null if it is one.
+
+    One fold over the pieces of the text.  The state is what may come next and the open
+    brackets: V a value, A a value or ``]``, K a key or ``}``, k a key, C a colon, E a comma
+    or the closing bracket, D nothing more, s in a key, S in a string value.
+    """
+    text = F.col(c) if isinstance(c, str) else c
+    state = "struct<at:int,fault:int,want:string,open:string>"
+
+    def step(a, piece):
+        want, stack = a["want"], a["open"]
+        top, end = F.right(stack, F.lit(1)), F.when(F.length(stack) == 0, "D").otherwise("E")
+        below = F.substring(stack, F.lit(1), F.length(stack) - 1)
+        closed = F.when(F.length(stack) == 1, "D").otherwise("E")
+        value_may = want.isin("V", "A")
+        bare = F.regexp_replace(piece, r"^[\x20\t\r\n]+|[\x20\t\r\n]+$", "")
+        blanks = F.length(piece) - F.length(F.regexp_replace(piece, r"^[\x20\t\r\n]+", ""))
+        control = F.regexp_instr(piece, F.lit(r"[\x00-\x1F]"))
+        # (what is wanted next, open brackets, offset of a fault in the piece)
+        go = lambda w, o=stack: F.struct(w.alias("want"), o.alias("open"), F.lit(None).cast("int").alias("off"))
+        bad = lambda off=F.lit(0): F.struct(want.alias("want"), stack.alias("open"), off.cast("int").alias("off"))
+        inside = (F.when(piece == '"', go(F.when(want == "s", F.lit("C")).otherwise(end)))
+                  .when(piece == "\\", bad())
+                  .when(F.substring(piece, 1, 1) == "\\", F.when(piece.rlike(r"""^\\(?:["\\/bfnrt]|u[0-9A-Fa-f]{4})$"""), go(want)).otherwise(bad()))
+                  .when(control > 0, bad(control - 1)).otherwise(go(want)))
+        outside = (F.when(piece.rlike(_JSON_BLANK), go(want))
+                   .when(piece == '"', F.when(want.isin("K", "k"), go(F.lit("s"))).when(value_may, go(F.lit("S"))).otherwise(bad()))
+                   .when(piece == "{", F.when(value_may, go(F.lit("K"), F.concat(stack, F.lit("{")))).otherwise(bad()))
+                   .when(piece == "[", F.when(value_may, go(F.lit("A"), F.concat(stack, F.lit("[")))).otherwise(bad()))
+                   .when(piece == "}", F.when((top == "{") & want.isin("K", "E"), go(closed, below)).otherwise(bad()))
+                   .when(piece == "]", F.when((top == "[") & want.isin("A", "E"), go(closed, below)).otherwise(bad()))
+                   .when(piece == ":", F.when(want == "C", go(F.lit("V"))).otherwise(bad()))
+                   .when(piece == ",", F.when(want == "E", go(F.when(top == "{", F.lit("k")).otherwise(F.lit("V")))).otherwise(bad()))
+                   .otherwise(F.when(value_may & bare.rlike(_JSON_SCALAR), go(end)).otherwise(bad(blanks))))
+        nxt = F.get(F.transform(F.array(F.when(want.isin("s", "S"), inside).otherwise(outside)), lambda n: F.struct(
+            (a["at"] + F.length(piece)).alias("at"), (a["at"] + n["off"]).alias("fault"), n["want"].alias("want"), n["open"].alias("open"))), F.lit(0))
+        return F.when(a["fault"].isNotNull(), a).otherwise(nxt.cast(state))
+
+    start = F.struct(F.lit(0).alias("at"), F.lit(None).cast("int").alias("fault"), F.lit("V").alias("want"), F.lit("").alias("open")).cast(state)
+    return F.aggregate(F.regexp_extract_all(text, F.lit(_JSON_PIECES), F.lit(0)), start, step,
+                       lambda a: F.when(a["fault"].isNotNull(), a["fault"]).when(a["want"] != "D", a["at"]))

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import remove_path, scratch_path, staged
+from .html import parse_pages, product_links
 from .ordering import dedupe_first_seen, with_index
 
 
@@ -43,6 +44,25 @@ def listing_harvest(listing: DataFrame, max_pages: int | None = None, category:
     return kept.drop("stop_page")
 
 
+def listing_from_pages(pages: DataFrame, pattern: str | None = None) -> DataFrame:
+    """B5 for W1: captured listing pages (url, status, html) -> (category_url, page, item,
+    pos, status), one row per product link and one with a null item for a page without any.
+
+    The page number is the URL's ``page`` parameter, the category the URL without it; other
+    pages are none of a listing.  A page captured several times counts once, answered
+    captures first.
+    """
+    number = F.regexp_extract("url", r"[?&]page=(\d+)(?:[&#]|$)", 1)
+    listed = pages.withColumn("page", F.nullif(number, F.lit("")).try_cast("int"))
+    listed = listed.filter(F.col("page").isNotNull()).withColumn("status", F.coalesce("status", F.lit(200)))
+    once = listed.groupBy("url").agg(F.min_by(F.struct("page", "status", "html"), F.struct((F.col("status") != 200), "status", "html")).alias("r")).select("url", "r.*")
+    links = product_links(parse_pages(once.filter("status = 200").select("url", "html"), key="url"), "url", pattern)
+    rows = once.select("url", "page", "status").join(links.select("url", F.col("dst").alias("item"), "pos"), "url", "left")
+    # the parameter goes, with the sign before it, or its sign moves to the next one
+    plain = F.regexp_replace(F.regexp_replace("url", r"([?&])page=\d+&", "$1"), r"[?&]page=\d+(?=#|$)", "")
+    return rows.select(plain.alias("category_url"), "page", "item", "pos", "status")
+
+
 def harvest_first_seen(kept: DataFrame, category: str = "category_no", page: str = "page",
                        item: str = "product_key", pos: str | None = None) -> DataFrame:
     """W1 global dedupe: each item once, at its first (category, page[, pos])."""

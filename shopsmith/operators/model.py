@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import drop_trailing_commas, first_json_object, parse_price, strip_code_fence
+from ..functions.text import drop_trailing_commas, first_json_object, json_fault, parse_price, strip_code_fence
 from ..session import spread, staged
 from ..sources.tables import RECORD
 from .ordering import batches
@@ -52,8 +52,9 @@ def cleaned_json(text_col: str = "text"):
 def parse_model_json(responses: DataFrame, key: str = "url", text_col: str = "text",
                      context: int = 200) -> tuple[DataFrame, DataFrame]:
     """(records, rejects).  A response that is not one complete JSON object is
-    rejected with its text and the last ``context`` characters of the cleaned
-    object (where cut-off output breaks); nothing is guessed shut (Q24).  A field of
+    rejected with its text, the place (``fault_at``) in the cleaned object where it stops
+    being JSON and up to ``context`` characters on either side; without an object the
+    context is the end of the text.  Nothing is guessed shut (Q24).  A field of
     another scalar type (a price as text, an id as number) is converted; one that
     cannot be is null (prices 0, as F10)."""
     c = responses.select(key, text_col, cleaned_json(text_col).alias("__json"))
@@ -64,10 +65,12 @@ def parse_model_json(responses: DataFrame, key: str = "url", text_col: str = "te
     good = parsed.filter(~bad).select(key, *[_typed(F.col("__r")[f.name], f.dataType).alias(f.name) for f in _ANSWER.fields])
     good = good.withColumn("categories", F.coalesce(
         "categories", F.when(F.col("category").isNotNull(), F.array("category")))).drop("category")
-    rejects = parsed.filter(bad).select(
-        key, text_col,
-        F.when(F.col("__json") == "", "no JSON object").otherwise("invalid JSON").alias("reason"),
-        F.right(F.coalesce(F.nullif(F.col("__json"), F.lit("")), F.col(text_col)), F.lit(context)).alias("context"))
+    # an object that is JSON but has no product has no fault; its context is its end
+    rejects = parsed.filter(bad).select(key, text_col, F.nullif(F.col("__json"), F.lit("")).alias("__json")).withColumn("fault_at", json_fault("__json"))
+    place = F.substring("__json", F.greatest(F.col("fault_at") - context, F.lit(0)) + 1, F.least(F.col("fault_at"), F.lit(context)) + context)
+    rejects = rejects.select(
+        key, text_col, F.when(F.col("__json").isNull(), "no JSON object").otherwise("invalid JSON").alias("reason"),
+        F.coalesce(place, F.right(F.coalesce("__json", F.col(text_col)), F.lit(context))).alias("context"), "fault_at")
     return good, rejects
 
 

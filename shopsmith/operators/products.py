@@ -46,12 +46,10 @@ def first_of_id(df: DataFrame, preserved: str, order: list[str]) -> DataFrame:
             .drop("__id", "__first"))
 
 
-def build_products(records: DataFrame, tree: DataFrame, brands: DataFrame, existing_max_id: int = 0,
-                   key: str = "url") -> tuple[DataFrame, DataFrame]:
-    """Resolve category (J3/J4) and brand (J6); products without either are
-    rejected with a reason; ids preserved from the record or assigned.  One record per
-    ``key`` (W6 sees to that); of records with one preserved id the first by ``key``
-    keeps it, the others are rejected (``duplicate_id``)."""
+def product_rows(records: DataFrame, tree: DataFrame, brands: DataFrame, key: str = "url") -> DataFrame:
+    """One row per record with its category (J3/J4), brand (J6) and, if it cannot be loaded,
+    a ``reason``: no category, no brand, or a preserved id (``duplicate_id``) that a record
+    before it by ``key`` has."""
     base = records.select(
         key, F.col("product.Name").alias("name"), F.col("product.ProductId").alias("product_id_text"),
         extract_id(F.col("product.ProductId")).alias("product_id_preserved"),
@@ -68,17 +66,34 @@ def build_products(records: DataFrame, tree: DataFrame, brands: DataFrame, exist
               .when(F.col("brand_id").isNull(), F.lit("no_brand")))
     j = j.withColumn("reason", reason).withColumn(
         "__kept_id", F.when(F.col("reason").isNull(), F.col("product_id_preserved")))
-    j = first_of_id(j, "__kept_id", [key]).withColumn(
+    return first_of_id(j, "__kept_id", [key]).withColumn(
         "reason", F.coalesce("reason", F.when(F.col("repeats_id"), "duplicate_id"))).drop("repeats_id", "__kept_id")
-    rejects = j.filter(F.col("reason").isNotNull()).select(key, "name", "reason")
-    ok = j.filter(F.col("reason").isNull()).drop("reason")
-    ok = assign_ids(ok, "product_id_preserved", existing_max_id, [key], "id")
-    products = ok.select(
+
+
+def product_rejects(rows: DataFrame, key: str = "url") -> DataFrame:
+    """Of ``product_rows``: (key, name, reason) of those that cannot be loaded."""
+    return rows.filter(F.col("reason").isNotNull()).select(key, "name", "reason")
+
+
+def numbered_products(rows: DataFrame, existing_max_id: int = 0, key: str = "url") -> DataFrame:
+    """Of ``product_rows``: the products, with the record's id or a new one."""
+    ok = assign_ids(rows.filter(F.col("reason").isNull()).drop("reason"), "product_id_preserved", existing_max_id, [key], "id")
+    return ok.select(
         "id", key, "name", "category_id", "brand_id", "description", "short_description",
         F.coalesce(F.when(F.col("title") != "", F.col("title")), F.col("name")).alias("title"),
         "keywords", F.lit(True).alias("is_active"), F.lit(True).alias("is_visible"),
         "show_without_stock", "product_id_preserved")
-    return products, rejects
+
+
+def build_products(records: DataFrame, tree: DataFrame, brands: DataFrame, existing_max_id: int = 0,
+                   key: str = "url") -> tuple[DataFrame, DataFrame]:
+    """Resolve category (J3/J4) and brand (J6); products without either are
+    rejected with a reason; ids preserved from the record or assigned.  One record per
+    ``key`` (W6 sees to that); of records with one preserved id the first by ``key``
+    keeps it, the others are rejected (``duplicate_id``).  To resolve once for both
+    results, write ``product_rows`` down and split that."""
+    rows = product_rows(records, tree, brands, key)
+    return numbered_products(rows, existing_max_id, key), product_rejects(rows, key)
 
 
 def build_skus(records: DataFrame, products: DataFrame, existing_max_id: int = 0,

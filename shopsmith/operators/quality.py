@@ -20,9 +20,11 @@ REQUIRED = {
 
 
 def record_problem(url="url", product="product"):
-    """First failing rule of a record, null when valid."""
+    """First failing rule of a record, null when valid.  A page that could not be
+    parsed has no product; one without any name is none that could be loaded."""
     return (F.when(F.col(url).isNull(), F.lit("missing 'url' field"))
-            .when(F.col(product).isNull(), F.lit("missing 'product' field")))
+            .when(F.col(product).isNull(), F.lit("missing 'product' field"))
+            .when(F.trim(F.coalesce(F.col(f"{product}.Name"), F.lit(""))) == "", F.lit("missing product name")))
 
 
 def valid_records(records: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -55,16 +57,23 @@ def check_required(payloads: DataFrame, entity: str, payload_col: str = "payload
 
 #: Outbox entities that have required fields, under their platform names.
 _ENTITIES = {"department": "Department", "category": "Category", "brand": "Brand", "product": "Product", "sku": "SKU"}
+#: JSON types that the required fields of a request have (keys of ``TYPES``).
+REQUEST_TYPES = {"Name": "string", "FatherCategoryId": "integer", "CategoryId": "integer", "BrandId": "integer",
+                 "ProductId": "integer", "EAN": "string", "IsActive": "boolean"}
 
 
 def outbox_problems(outbox: DataFrame) -> DataFrame:
-    """B15 on every request body of an outbox: (entity, key, error) of those not fit to send."""
+    """B15 on every request body of an outbox: (entity, key, error) of those not fit to send:
+    a required field is missing, else the first one of another type."""
+    checked = outbox.filter(F.col("entity").isin(list(_ENTITIES))).withColumn("__value", F.try_parse_json("payload"))
+    field = lambda f: F.try_variant_get("__value", f"$.{f}", "variant")
     error = F.lit(None).cast("string")
     for entity, name in _ENTITIES.items():
-        first = F.coalesce(*[F.when(F.get_json_object("payload", f"$.{f}").isNull(), F.lit(f"Missing required field: {f}"))
-                             for f in REQUIRED[name]])
-        error = F.when(F.col("entity") == entity, first).otherwise(error)
-    return outbox.select("entity", "key", error.alias("error")).filter("error is not null")
+        missing = [F.when(field(f).isNull() | F.is_variant_null(field(f)), F.lit(f"Missing required field: {f}")) for f in REQUIRED[name]]
+        wrong = [F.when(~F.schema_of_variant(field(f)).rlike(f"^{TYPES[REQUEST_TYPES[f]]}$"), F.lit(f"Field '{f}' must be of type {REQUEST_TYPES[f]}"))
+                 for f in REQUIRED[name]]
+        error = F.when(F.col("entity") == entity, F.coalesce(*missing, *wrong)).otherwise(error)
+    return checked.select("entity", "key", error.alias("error")).filter("error is not null")
 
 
 def _carried(elements: DataFrame, n: int, size: int) -> DataFrame:

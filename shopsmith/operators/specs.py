@@ -46,6 +46,13 @@ def spec_values(resolved: DataFrame, overrides: dict[str, str] | None = None,
                 existing_max_field_id: int = 0) -> tuple[DataFrame, DataFrame]:
     """(values, new field candidates).  Unmatched names become new fields of
     the product's category, type from the overrides map else Text."""
+    new_fields = new_spec_fields(resolved, overrides, existing_max_field_id)
+    return with_new_fields(resolved, new_fields), new_fields
+
+
+def new_spec_fields(resolved: DataFrame, overrides: dict[str, str] | None = None, existing_max_field_id: int = 0) -> DataFrame:
+    """The fields that values ask for and no category on the way up has, numbered in the
+    order (category, name)."""
     from .ordering import assign_ids
     missing = resolved.filter(F.col("field_id").isNull()).select("category_id", "name").distinct()
     ov = F.create_map(*[x for k, v in (overrides or {}).items() for x in (F.lit(normalize_spec_name_py(k)), F.lit(v))]) \
@@ -53,15 +60,18 @@ def spec_values(resolved: DataFrame, overrides: dict[str, str] | None = None,
     ftype = F.coalesce(F.element_at(ov, F.col("name")), F.lit("Text")) if ov is not None else F.lit("Text")
     new_fields = assign_ids(missing.withColumn("field_type", ftype), None, existing_max_field_id,
                             ["category_id", "name"], "field_id")
-    new_fields = new_fields.withColumn("field_type_id", field_type_id("field_type")).withColumn("created", F.lit(True))
+    return new_fields.withColumn("field_type_id", field_type_id("field_type")).withColumn("created", F.lit(True))
+
+
+def with_new_fields(resolved: DataFrame, new_fields: DataFrame) -> DataFrame:
+    """Every value with its field, of old or new."""
     nf = new_fields.select("category_id", "name", F.col("field_id").alias("new_id"),
                            F.col("field_type").alias("new_type"))
-    vals = resolved.join(nf, ["category_id", "name"], "left").select(
+    return resolved.join(nf, ["category_id", "name"], "left").select(
         "product_id", "category_id", "name", "value",
         F.coalesce("field_id", "new_id").alias("field_id"),
         F.coalesce("field_type", "new_type").alias("field_type"),
         F.col("field_id").isNull().alias("field_created"))
-    return vals, new_fields
 
 
 def normalize_spec_name_py(s: str) -> str:

@@ -206,3 +206,36 @@ def q_apply_field_rules(spark, sf):
     r = parsed.select("page_id", H.extracted_record().alias("r"))
     return r.select("page_id", F.col("r.product.Name").alias("name"), F.col("r.skus")[0]["Price"].alias("price"),
                     F.col("r.brand.Name").alias("brand"))
+
+
+_GRAPH_SQL = """
+select url, case when {on} then name end as name, case when {on} then 'https://img.example.com/product/' || cast(product_key as varchar) || '/ld.jpg' end as image
+from v_products"""
+
+
+def _graph_record(spark, sf, graph):
+    r = H.extract_products(_cat(spark, sf).inputs.graph_pages, key="page_id", graph=graph)
+    return r.select("url", F.col("product.Name").alias("name"), F.get("images", F.lit(0)).alias("image"))
+
+
+@query("jsonld_top_level", _GRAPH_SQL.format(on="product_key % 4 = 0"), ("v_products",))
+def q_jsonld_top_level(spark, sf):
+    """C2, C3 with Q18 as it stands: only a top-level JSON-LD Product counts."""
+    return _graph_record(spark, sf, False)
+
+
+@query("jsonld_graph", _GRAPH_SQL.format(on="true"), ("v_products",))
+def q_jsonld_graph(spark, sf):
+    """C2, C3 with the flag on: Products in lists, in ``@graph`` and of several types count too."""
+    return _graph_record(spark, sf, True)
+
+
+@query("rule_problems", """
+select distinct split_part(split_part(url, '://', 2), '/', 1) as site, field, selector, true as has_problem
+from v_products, (values ('Brand', 'div:has(>'), ('Price', null)) t(field, selector)""", ("v_products",))
+def q_rule_problems(spark, sf):
+    """Of the field rules for the shop pages' sites, those that cannot be applied."""
+    sites = _cat(spark, sf).inputs.product_pages.select(U.url_netloc("url").alias("site")).distinct()
+    rules = sites.select("site", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.lit(x).cast("string").alias("selector")) for f, x in (
+        ("Name", "h1[itemprop='name']"), ("Brand", "div:has(>"), ("Price", None))])).alias("r")).select("site", "r.*")
+    return H.rule_problems(rules).select("site", "field", "selector", F.col("problem").isNotNull().alias("has_problem"))

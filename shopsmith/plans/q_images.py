@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import images as I
+from ..operators.stock import sku_inventory
 from ..sources import stages as S
 from .catalog import Catalog
 from .q_catalog import _BRANDS, _CAT_VIEWS, _PATHS, _PRODUCTS, _SKUS
@@ -136,18 +137,32 @@ _CATEGORY_BODY = """'{{"Name":"' || name || '","FatherCategoryId":' || {father}
  || '"Active":true,"IsActive":true,"ShowInStoreFront":true,"ActiveStoreFrontLink":true,"GlobalCategoryId":1}}'"""
 
 
+_PRODUCT_BODY = """'{"Name":"' || name || '","CategoryId":' || cast(category_id as varchar) || ',"BrandId":' || cast(brand_id as varchar)
+  || ',"Description":"About ' || name || '.","ShortDescription":"About ' || name || '.","ReleaseDate":null,"KeyWords":null,"Title":"' || name
+  || '","IsActive":true,"IsVisible":true,"ShowWithoutStock":true,"Score":null,"Id":' || cast(id as varchar) || '}'"""
+_SKU_BODY = """'{"Id":' || cast(id as varchar) || ',"ProductId":' || cast(product_id as varchar) || ',"Name":"' || name
+  || '","EAN":"EAN' || cast(product_id as varchar) || '","IsActive":false,' || case when ref_id is null then '' else '"RefId":"' || ref_id || '",' end
+  || '"PackagedHeight":1,"PackagedWidth":1,"PackagedLength":1,"PackagedWeightKg":1,"Height":1,"Width":1,"Length":1,"WeightKg":1}'"""
+
+
 @query("outbox_bodies", f"""with {_BASE}
 select 'department' as entity, id as key, {_CATEGORY_BODY.format(father="'null'")} as payload from tree2 where level = 1 and created
 union all select 'category', id, {_CATEGORY_BODY.format(father="cast(parent_id as varchar)")} from tree2 where level > 1 and created
 union all select 'brand', id, '{{"Name":"' || name || '","Active":true,"Text":null,"Keywords":null,"SiteTitle":"' || name || '"}}' from bdim where created
-union all select 'product', id, '{{"Name":"' || name || '","CategoryId":' || cast(category_id as varchar) || ',"BrandId":' || cast(brand_id as varchar)
-  || ',"Description":"About ' || name || '.","ShortDescription":"About ' || name || '.","ReleaseDate":null,"KeyWords":null,"Title":"' || name
-  || '","IsActive":true,"IsVisible":true,"ShowWithoutStock":true,"Score":null,"Id":' || cast(id as varchar) || '}}' from prod
-union all select 'sku', id, '{{"Id":' || cast(id as varchar) || ',"ProductId":' || cast(product_id as varchar) || ',"Name":"' || name
-  || '","EAN":"EAN' || cast(product_id as varchar) || '","IsActive":false,' || case when ref_id is null then '' else '"RefId":"' || ref_id || '",' end
-  || '"PackagedHeight":1,"PackagedWidth":1,"PackagedLength":1,"PackagedWeightKg":1,"Height":1,"Width":1,"Length":1,"WeightKg":1}}' from skids""", _V)
+union all select 'product', id, {_PRODUCT_BODY} from prod
+union all select 'sku', id, {_SKU_BODY} from skids""", _V)
 def q_outbox_bodies(spark, sf):
     """A10: the text of every tree, brand, product and SKU request."""
     c = _cat(spark, sf)
     out = S.export_payloads({"tree": c.tree, "brands": c.brands, "products": c.products, "skus": c.skus})
     return out.select("entity", "key", "payload")
+
+
+@query("sku_stock", f"""with {_BASE}
+select s.id as sku_id, w.id as warehouse_id, cast(case when s.id % 9 = 0 then 0 else s.id % 50 end as integer) as quantity, false as unlimited
+from skids s, v_warehouses w where length(w.id) = 3""", _V)
+def q_sku_stock(spark, sf):
+    """J7 with a quantity per SKU (every 9th has none: 0), in the warehouses with short ids."""
+    c = _cat(spark, sf)
+    stocked = c.skus.withColumn("stock", F.when(F.col("id") % 9 != 0, F.col("id") % 50))
+    return sku_inventory(stocked, c.inputs.warehouses.filter(F.length("id") == 3), quantity_col="stock")

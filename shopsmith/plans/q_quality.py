@@ -17,7 +17,7 @@ from ..operators.products import flatten_products
 from ..operators.urlsets import classify_url
 from .catalog import Catalog
 from .q_catalog import _BRANDS, _CAT_VIEWS, _PATHS, _PRODUCTS, _SKUS
-from ..sources.stages import export_payloads
+from ..sources.stages import answer_references, export_payloads, spec_requests
 from .q_html import _DUCK_KEPT
 from .q_images import _PLAN
 from .q_urls import _DUCK_URLS as _DUCK_URLS_CLASSIFIED
@@ -43,6 +43,15 @@ def q_valid_records(spark, sf):
     return ok.select("url", F.lit(None).cast("string").alias("reason")).unionByName(bad.select("url", "reason"))
 
 
+@query("valid_pages", """
+select url, case when product_key % 97 = 0 then 'missing ''product'' field' when product_key % 89 = 0 then 'missing product name' end as reason
+from v_products""", ("v_products",))
+def q_valid_pages(spark, sf):
+    """B14 on extracted records: pages without a body and pages without any name are rejected."""
+    ok, bad = Q.valid_records(H.extract_products(_cat(spark, sf).inputs.broken_pages, key="page_id"))
+    return ok.select("url", F.lit(None).cast("string").alias("reason")).unionByName(bad.select("url", "reason"))
+
+
 @query("check_required", f"""with {_BASE}
 select url, case when category_id is null then 'Missing required field: CategoryId'
   when brand_id is null then 'Missing required field: BrandId' end as error from pb""", _V)
@@ -123,6 +132,21 @@ def demo_extractor(html: str, url: str, instructions: str | None) -> str:
     return "```json\n" + json.dumps(body) + "\n```"
 
 
+@query("model_json_faults", """
+select url, cast(50 + 10 * (product_key % 7) as integer) as fault_at, true as shows_place
+from v_products where product_key % 5 = 0""", ("v_products",))
+def q_model_json_faults(spark, sf):
+    """C7 on answers with a fault at a known place: a sign that must not be there after a
+    value of known length; the context has the text on both sides of it."""
+    p = _cat(spark, sf).inputs.products.filter(F.col("product_key") % 5 == 0)
+    # 50 characters and a name of known length stand before the sign
+    text = F.concat(F.lit('{"product": {"Name": "'), F.expr("repeat('x', cast(10 * (product_key % 7) as int))"),
+                    F.lit('", "ProductId": "1234567890"@ , "Title": "'), F.expr("repeat('t', 300)"), F.lit('"}, "skus": []}'))
+    _, bad = M.parse_model_json(p.select("url", text.alias("text")), "url")
+    shows = F.col("context").contains('1234567890"@ , "Title": "tttt') & (F.length("context") <= 400)
+    return bad.select("url", "fault_at", shows.alias("shows_place"))
+
+
 @query("with_extractor", """
 select url, name, brand, price, l1 || '|' || l2 as categories from v_products""", ("v_products",))
 def q_with_extractor(spark, sf):
@@ -199,6 +223,35 @@ def q_resolve_spec_fields(spark, sf):
     return _resolved(spark, sf).select("product_id", "name", "value", "field_id")
 
 
+_RESOLVED_SPECS = f"""{_SPEC_FIELDS},
+r as (select sv.*, b.field_id from sv left join best b using (category_id, name)),
+mx as (select max(field_id) as m from sf),
+nf as (select category_id, name, (select m from mx) + row_number() over (order by category_id, name) as new_id
+       from (select distinct category_id, name from r where field_id is null) t)"""
+_VALUE_BODY = """'{{"FieldId":' || {field} || ',"FieldValueId":null,"Text":"' || r.value || '"}}'"""
+_WAITS = "'\"@spec_field:' || cast(new_id as varchar) || '\"'"
+
+
+@query("spec_requests", f"""with {_BASE}, {_RESOLVED_SPECS}
+select 'spec_field' as entity, 2500 as load_order, new_id as key, '{{"Name":"' || name || '","CategoryId":' || cast(category_id as varchar)
+  || ',"FieldTypeId":' || case when name = 'Size' then '4' else '1' end || ',"IsRequired":false,"IsStockKeepingUnit":false,"IsFilter":true,"IsOnProductDetails":true}}' as payload,
+  cast(null as bigint) as needs from nf
+union all select 'spec_value', 3500, r.product_id, {_VALUE_BODY.format(field="cast(coalesce(r.field_id, new_id * 10) as varchar)")}, null
+from r left join nf using (category_id, name) where r.field_id is not null or new_id % 3 <> 0
+union all select 'spec_value', 3500, r.product_id, {_VALUE_BODY.format(field=_WAITS)}, new_id
+from r join nf using (category_id, name) where r.field_id is null and new_id % 3 = 0""", _V)
+def q_spec_requests(spark, sf):
+    """E11 in the outbox, both phases: new fields are requested, the platform answers two of
+    three with an id of its own, and the values that waited for those get it."""
+    c = _cat(spark, sf)
+    res = _resolved(spark, sf)
+    top = _spec_fields(c.tree).agg(F.max("id").alias("m")).first()["m"]
+    vals, new = SP.spec_values(res, {"Size": "Number"}, top)
+    asked = spec_requests(vals, new)
+    answers = new.filter(F.col("field_id") % 3 != 0).select(F.col("field_id").alias("key"), (F.col("field_id") * 10).alias("id"))
+    return answer_references(asked, answers).select("entity", "load_order", "key", "payload", "needs")
+
+
 @query("spec_values", f"""with {_BASE}, {_SPEC_FIELDS},
 r as (select sv.*, b.field_id from sv left join best b using (category_id, name)),
 mx as (select max(field_id) as m from sf),
@@ -299,6 +352,21 @@ def q_outbox_problems(spark, sf):
     return Q.outbox_problems(export_payloads({"tree": c.tree, "brands": c.brands, "products": products, "skus": skus}))
 
 
+@query("outbox_types", f"""with {_BASE}
+select 'product' as entity, id as key, 'Field ''CategoryId'' must be of type integer' as error from prod where id % 10 = 0
+union all select 'sku', id, 'Field ''Name'' must be of type string' from skids where id % 7 = 0
+union all select 'sku', id, 'Field ''IsActive'' must be of type boolean' from skids where id % 7 <> 0 and id % 11 = 0""", _V)
+def q_outbox_types(spark, sf):
+    """B15 with types over the outbox: category numbers as text, names as numbers, flags as text."""
+    c = _cat(spark, sf)
+    out = export_payloads({"tree": c.tree, "brands": c.brands, "products": c.products, "skus": c.skus})
+    product, sku, k = F.col("entity") == "product", F.col("entity") == "sku", F.col("key")
+    wrong = (F.when(product & (k % 10 == 0), F.regexp_replace("payload", r'"CategoryId":(\d+)', '"CategoryId":"$1"'))
+             .when(sku & (k % 7 == 0), F.regexp_replace("payload", r'"Name":"[^"]*"', '"Name":5'))
+             .when(sku & (k % 11 == 0), F.regexp_replace("payload", r'"IsActive":false', '"IsActive":"no"')))
+    return Q.outbox_problems(out.withColumn("payload", F.coalesce(wrong, "payload")))
+
+
 @query("classify_pages_by_signals", rf"""
 with {_DUCK_URLS_CLASSIFIED},
 sig as (select url, true as is_product_page from v_products

@@ -5,14 +5,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..session import scratch_path
+from ..operators.report import one_row
+from ..session import folder_names, remove_path, scratch_path
 from ..sources import stages as ST
 from ..sources import tables as TB
 from ..streaming import keyed as KT
 from ..streaming import pages as SP
 from .catalog import Catalog
 from .workflow import run_workflow
-from .q_catalog import _CAT_VIEWS, _PATHS
+from .q_images import _BASE, _CATEGORY_BODY, _PLAN, _PRODUCT_BODY, _SKU_BODY, _V
 from .registry import query
 
 
@@ -82,17 +83,56 @@ def q_pending(spark, sf):
     return ST.pending(c.records.select("url"), done, "url")
 
 
-@query("write_outbox", f"""with {_PATHS}
-select 'department' as entity, count(*) as n from tree2 where level = 1 and created""", _CAT_VIEWS)
+_DIGEST = "cast(sum(cast('0x' || substr(md5(cast(key as varchar) || '|' || payload), 1, 8) as bigint)) as bigint)"
+
+
+@query("write_outbox", f"""with {_BASE}, {_PLAN},
+outbox as (select 'department' as entity, id as key, {_CATEGORY_BODY.format(father="'null'")} as payload from tree2 where level = 1 and created
+union all select 'category', id, {_CATEGORY_BODY.format(father="cast(parent_id as varchar)")} from tree2 where level > 1 and created
+union all select 'brand', id, '{{"Name":"' || name || '","Active":true,"Text":null,"Keywords":null,"SiteTitle":"' || name || '"}}' from bdim where created
+union all select 'product', id, {_PRODUCT_BODY} from prod
+union all select 'sku', id, {_SKU_BODY} from skids
+union all select 'image', sku_id, '{{"url":"https://files.example.com/shop/catalog-images/main/images/' || file_name || '","name":"' || file_name
+  || '","isMain":' || case when is_main then 'true' else 'false' end || ',"label":"' || file_name || '"}}' from plan
+union all select 'price', id, '{{"markup":0,"costPrice":' || cast(price as varchar) || '}}' from skids
+union all select 'inventory', s.id, '{{"warehouseId":"' || w.id || '","unlimitedQuantity":false,"quantity":100}}' from skids s, v_warehouses w)
+select entity, count(*) as n, {_DIGEST} as checksum from outbox group by entity""", _V)
 def q_write_outbox(spark, sf):
-    """A10 sink: the outbox written as JSON lines per entity and read back; the
-    department requests are counted."""
+    """A10 sink: every request written as JSON lines per entity and read back: how many of
+    each entity, and a checksum over their texts."""
     c = _cat(spark, sf)
-    out = ST.export_payloads({"tree": c.tree, "products": c.products})
+    out = ST.export_payloads({"tree": c.tree, "brands": c.brands, "products": c.products, "skus": c.skus,
+                              "images": c.image_plan, "prices": c.prices, "inventory": c.inventory})
     path = scratch_path(spark, "outbox")
     ST.write_outbox(out, path)
-    back = spark.read.json(path)
-    return back.filter(F.col("entity") == "department").groupBy("entity").agg(F.count(F.lit(1)).alias("n"))
+    return ST.outbox_digest(ST.read_outbox(spark, path))
+
+
+@query("resumed_workflow", """
+with p as (select * from v_products where brand <> 'Default')
+select (select count(*) from p where product_key % 2 = 0) as products_first, (select count(*) from p) as products,
+  true as kept_same, true as rebuilt_changed, true as rebuilt_broken""", ("v_products",))
+def q_resumed_workflow(spark, sf):
+    """A9 in E13: a run over half the pages, a second over the same (nothing is built again),
+    one over all pages (what depends on them is), and one after a stage lost its manifest."""
+    c = _cat(spark, sf).inputs
+    base = scratch_path(spark, "resumed")
+
+    def go(pages):
+        r = run_workflow(pages, c.existing_categories, c.existing_brands, c.warehouses, key="page_id", stage_dir=base)
+        return r.products.count(), {n: folder_names(spark, f"{base}/{n}") for n in folder_names(spark, base)}
+
+    half = c.product_pages.filter(F.col("page_id") % 2 == 0)
+    n_half, first = go(half)
+    _, again = go(half)
+    n_all, changed = go(c.product_pages)
+    broken = next(n for n in changed if n.endswith("_category_tree"))
+    remove_path(spark, f"{base}/{broken}/manifest")
+    n_mended, mended = go(c.product_pages)
+    same = [n for n in changed if changed[n] == mended[n]]
+    return spark.createDataFrame([(n_half, n_mended, first == again, not any(first[n] == changed[n] for n in first),
+                                   n_all == n_mended and broken not in same and len(same) == len(changed) - 1)],
+                                 "products_first long, products long, kept_same boolean, rebuilt_changed boolean, rebuilt_broken boolean")
 
 
 @query("stream_pages", """
@@ -169,6 +209,30 @@ def q_run_workflow(spark, sf):
     return res.summary
 
 
+@query("run_workflow_outcomes", """
+with p as (select product_key as k from v_products where brand <> 'Default'),
+i as (select k, seq, (k + seq) % 3 = 0 or (k % 10 = 0) as failed from p cross join (values (1), (2)) t(seq))
+select (select count(*) from p) as products, (select count(distinct k) from i where not failed) as skus_active,
+  (select count(*) from i where not failed) as images_associated, (select count(*) from i where failed) as images_failed,
+  (select count(distinct k) from i where not failed) as active_requests, cast(0 as bigint) as problems,
+  (select 2 * count(*) from p) as spec_values, (select count(*) from (select distinct l1, l2 from v_products where brand <> 'Default') c) * 2 as spec_fields_created""", ("v_products",))
+def q_run_workflow_outcomes(spark, sf):
+    """E13 with an image host that fails some images (E5, E8) and specifications loaded into
+    a catalog without fields (E11): counts from the summaries and from the requests."""
+    c = _cat(spark, sf).inputs
+    k = F.col("product_key")
+    failed = ((k + F.col("seq")) % 3 == 0) | (k % 10 == 0)
+    outcomes = c.products.select("product_key", F.explode(F.array(F.lit(1), F.lit(2))).alias("seq")).select(
+        k.alias("sku_id"), "seq", F.when(failed, "failed").otherwise("associated").alias("status"), F.when(failed, "HTTP 500").alias("error"))
+    none = spark.createDataFrame([], "category_id long, name string, id long, field_type string")
+    res = run_workflow(c.product_pages, c.existing_categories, c.existing_brands, c.warehouses, outcomes=outcomes, key="page_id", spec_fields=none)
+    active = res.outbox.filter("entity = 'sku' and get_json_object(payload, '$.IsActive') = 'true'")
+    return one_row(res.summary.select("products", "skus_active", "images_associated", "images_failed"),
+                   active.agg(F.count(F.lit(1)).alias("active_requests")), res.outbox_problems.agg(F.count(F.lit(1)).alias("problems")),
+                   res.outbox.agg(F.count_if(F.col("entity") == "spec_value").alias("spec_values")),
+                   res.catalog_summary.select("spec_fields_created"))
+
+
 @query("load_order", """
 select * from (values ('department', 0), ('category', 1002), ('brand', 2000), ('product', 3000), ('sku', 4000),
   ('image', 5000), ('price', 6000), ('inventory', 7000)) t(entity, first_order)""")

@@ -184,6 +184,35 @@ def q_listing_harvest(spark, sf):
     return C.harvest_first_seen(kept)
 
 
+_WALK = """
+with recursive seen as (select category_no, product_key, min(page) as fp from v_listing where status = 200 group by 1, 2),
+gain as (select distinct category_no, fp as page from seen),
+walk(category_no, page) as (
+  select distinct category_no, 0 from v_listing
+  union all
+  select w.category_no, w.page + 1 from walk w join gain g on g.category_no = w.category_no and g.page = w.page + 1)"""
+
+
+@query("listing_harvest_pages", f"""{_WALK},
+kept as (select 'https://shop.example.com/c/' || cast(category_no as varchar) || case when category_no % 2 = 0 then '' else '?sort=new' end as category_url,
+  page, 'https://shop.example.com/p/item-' || cast(product_key as varchar) as item from v_listing join walk using (category_no, page) where status = 200)
+select item, min(struct_pack(c := category_url, p := page)).c as category_url, min(struct_pack(c := category_url, p := page)).p as page
+from kept group by item""", ("v_listing",))
+def q_listing_harvest_pages(spark, sf):
+    """W1 from captured listing pages: page numbers and categories from the URLs, product
+    links by B5, the walk per category, each product once at its first place."""
+    listing = C.listing_from_pages(_cat(spark, sf).inputs.listing_pages)
+    kept = C.listing_harvest(listing, category="category_url", page="page", item="item", status="status")
+    return C.harvest_first_seen(kept.select("category_url", "page", "item"), "category_url", "page", "item")
+
+
+@query("unclassified_rest", f"with {_DUCK_URLS} select url from urls where length(url) % 3 = 0", ("v_products",))
+def q_unclassified_rest(spark, sf):
+    """T2 where a reviewer left URLs out: those whose length is a multiple of three."""
+    urls = _all_urls(spark, sf)
+    return S.unclassified(urls, S.classify_urls(urls).filter(F.length("url") % 3 != 0))
+
+
 # hops of all reachable pages; a page keeps its first hop, so the recursion ends by itself
 _DUCK_HOPS = """h(node, hop) using key (node) as (
   select 0::bigint, 0 union

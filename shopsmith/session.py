@@ -105,6 +105,12 @@ def remove_path(spark: SparkSession, path: str) -> None:
     fs.delete(hadoop, True)
 
 
+def folder_names(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder, on any file system that Spark reads (absent: none)."""
+    fs, hadoop = _file_system(spark, path)
+    return sorted(s.getPath().getName() for s in fs.listStatus(hadoop)) if fs.exists(hadoop) else []
+
+
 def spread(df):
     """Use every core for a Python pass: when the input has fewer partitions than
     the cluster's parallelism (a small file is one split), deal its rows out

@@ -277,6 +277,49 @@ class CatalogInputs:
             F.lit("</body></html>"))
         return p.select(F.col("product_key").alias("page_id"), "url", html.alias("html"))
 
+    @cached_property
+    def broken_pages(self) -> DataFrame:
+        """Shop pages of which every 97th was captured without a body and every 89th lost
+        its title and headings."""
+        k = F.col("page_id")
+        bare = F.regexp_replace("html", r"(?s)<title>.*?</title>|<h1.*?</h1>", "")
+        return self.product_pages.withColumn("html", F.when(k % 97 != 0, F.when(k % 89 == 0, bare).otherwise(F.col("html"))))
+
+    @cached_property
+    def graph_pages(self) -> DataFrame:
+        """Pages with nothing but JSON-LD, from ``part``: by product number the product is the
+        top object, one of a list, a node of an ``@graph``, or a node of several types there."""
+        p = self.products
+        k = F.col("product_key")
+        about = F.concat(F.lit('"name":"'), F.col("name"), F.lit('","productID":"'), k.cast("string"), F.lit('","image":["https://img.example.com/product/'),
+                         k.cast("string"), F.lit('/ld.jpg"]}'))
+        crumb = F.lit('{"@type":"BreadcrumbList","name":"Shop"}')
+        product = F.concat(F.lit('{"@type":"Product",'), about)
+        typed = F.concat(F.lit('{"@type":["Thing","Product"],'), about)
+        graph = lambda node: F.concat(F.lit('{"@context":"https://schema.org","@graph":['), crumb, F.lit(","), node, F.lit("]}"))
+        script = (F.when(k % 4 == 0, product).when(k % 4 == 1, F.concat(F.lit("["), crumb, F.lit(","), product, F.lit("]")))
+                  .when(k % 4 == 2, graph(product)).otherwise(graph(typed)))
+        html = F.concat(F.lit('<html><head><script type="application/ld+json">'), script, F.lit("</script></head><body></body></html>"))
+        return p.select(k.alias("page_id"), "url", html.alias("html"))
+
+    @cached_property
+    def listing_pages(self) -> DataFrame:
+        """Listing pages rendered from ``lineitem``: a category per supplier, a page per line
+        number, its parts as links, image targets or data attributes, with a pager."""
+        k = F.col("product_key").cast("string")
+        target = F.concat(F.lit("/p/item-"), k)
+        tag = (F.when(F.col("product_key") % 3 == 0, F.concat(F.lit('<img src="/x.png" data-href="'), target, F.lit('">')))
+               .when(F.col("product_key") % 3 == 1, F.concat(F.lit('<a href="https://shop.example.com'), target, F.lit('?ref=list#top">See</a>')))
+               .otherwise(F.concat(F.lit('<div data-product-url="'), target, F.lit('"></div>'))))
+        pages = self.listing.groupBy("category_no", "page", "status").agg(F.array_join(F.array_sort(F.collect_list(tag)), "").alias("tags"))
+        number = F.concat(F.lit("page="), F.col("page").cast("string"))
+        # every other category has a parameter of its own beside the page
+        tail = F.when(F.col("category_no") % 2 == 0, F.concat(F.lit("?"), number)).otherwise(F.concat(F.lit("?sort=new&"), number))
+        url = F.concat(F.lit("https://shop.example.com/c/"), F.col("category_no").cast("string"), tail)
+        html = F.concat(F.lit('<html><body><a href="/about">About</a><a href="?page='), (F.col("page") + 1).cast("string"), F.lit('">Next</a><a href="https://other.example.org/p/away">x</a>'),
+                        F.when(F.col("status") == 200, F.col("tags")).otherwise(F.lit("")), F.lit("</body></html>"))
+        return pages.select(url.alias("url"), "status", html.alias("html"))
+
     @cached_property
     def sitemaps(self) -> DataFrame:
         """Captured sitemap answers per site: chunked urlsets of its pages (1,000 URLs
