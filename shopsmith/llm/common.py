@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
-from ..session import ensure_checkpoint_dir, scratch_path
+from ..session import ensure_checkpoint_dir, remove_path, scratch_path
 
 #: Rows and bytes per Arrow batch: documents reach 100s of KB, so batches stay small.
 BATCH_ROWS, BATCH_BYTES = 512, 32 << 20
@@ -39,14 +39,14 @@ def map_lists(df: DataFrame, fn, schema: str | StructType) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_schema
     small_batches(df.sparkSession)
     spark_schema = StructType.fromDDL(schema) if isinstance(schema, str) else schema
-    arrow = to_arrow_schema(spark_schema)
+    arrow, names = to_arrow_schema(spark_schema), df.columns
 
     def run(batches):
         work = fn() if isinstance(fn, type) else fn
         for batch in batches:
             if not batch.num_rows:
                 continue
-            out = work({n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names)})
+            out = work({n: batch.column(i).to_pylist() for i, n in enumerate(names)})
             if out and len(next(iter(out.values()))):
                 yield pa.RecordBatch.from_pydict(out, schema=arrow)
         if hasattr(work, "finish"):
@@ -54,7 +54,8 @@ def map_lists(df: DataFrame, fn, schema: str | StructType) -> DataFrame:
             if out and len(next(iter(out.values()))):
                 yield pa.RecordBatch.from_pydict(out, schema=arrow)
 
-    return df.mapInArrow(run, spark_schema)
+    # by position: a column's name may hold a full stop
+    return df.toDF(*[f"c{i}" for i in range(len(names))]).mapInArrow(run, spark_schema)
 
 
 def free_names(df: DataFrame, *wanted: str) -> list[str]:
@@ -72,7 +73,14 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_path = path
+    return out
 
 
-__all__ = ["WORD_BYTES", "documents", "labels", "small_batches", "map_lists", "free_names", "stage", "scratch_path", "ensure_checkpoint_dir"]
+def unstage(df: DataFrame) -> None:
+    """Remove the files of a result of ``stage`` that nothing reads any more."""
+    remove_path(df.sparkSession, df._staged_path)
+
+
+__all__ = ["WORD_BYTES", "documents", "labels", "small_batches", "map_lists", "free_names", "stage", "unstage", "scratch_path", "ensure_checkpoint_dir"]

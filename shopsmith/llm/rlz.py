@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_lists, stage
+from .common import free_names, map_lists, stage, unstage
 
 WINDOW = 50
 #: Words of the runs whose hashes choose anchors.
@@ -168,6 +168,7 @@ def duplicate_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     parsed = blocks.join(known, ["anchor", "block"]).withColumn("copied", F.col("doc_id") > F.col("least"))
     parsed = stage(parsed.filter("copied or several").select(
         "doc_id", "row_key", "start", "windows", "left", "left_key", "right_key", "copied"), "rlz-parsed")
+    unstage(blocks)
     copied = parsed.filter("copied").select("doc_id", "row_key", "start", "windows")
 
     # factor boundaries: the first document with a block looks its windows up among the others
@@ -208,13 +209,12 @@ def remove_duplicates(docs: DataFrame, window: int = WINDOW, keep_columns: bool
     text: no words.  Repeated rows (same doc_id) never make each other duplicates; rows
     without a doc_id are neither reference nor cut; an empty table gives none.
     """
-    spans = duplicate_spans(docs, window).select(
-        F.col("doc_id").alias("__id"), F.col("row_key").alias("__key"), F.col("spans").alias("__spans"))
+    id_, key, own, at = free_names(docs, "id", "key", "own", "spans")
+    spans = duplicate_spans(docs, window).select(F.col("doc_id").alias(id_), F.col("row_key").alias(key), F.col("spans").alias(at))
     names = docs.columns if keep_columns else ["doc_id", "text"]
-    keyed = docs.select(*[F.col(f"`{c}`") for c in names]).withColumn("__hash", F.hash(F.coalesce("text", F.lit(""))))
-    joined = (_packed(keyed)
-              .join(spans, (F.col("doc_id") == F.col("__id")) & (F.col("__hash") == F.col("__key")), "left")
-              .drop("__id", "__key", "__hash"))
+    keyed = docs.select(*[F.col(f"`{c}`") for c in names], F.hash(F.coalesce("text", F.lit(""))).alias(own))
+    joined = (_packed(keyed).join(spans, (F.col("doc_id") == F.col(id_)) & (F.col(own) == F.col(key)), "left")
+              .drop(id_, key, own))
 
     def trim(text, found):
         words = words_of(text)
@@ -228,7 +228,7 @@ def remove_duplicates(docs: DataFrame, window: int = WINDOW, keep_columns: bool
     if not keep_columns:
         def run(rows):
             out = {"doc_id": rows["doc_id"], "n_words": [], "n_removed": [], "kept_text": []}
-            for text, found in zip(rows["text"], rows["__spans"]):
+            for text, found in zip(rows["text"], rows[at]):
                 words, gone = trim(_unpack(text), found)
                 out["n_words"].append(len(words))
                 out["n_removed"].append(int(gone.sum()))
@@ -238,7 +238,7 @@ def remove_duplicates(docs: DataFrame, window: int = WINDOW, keep_columns: bool
 
 
     def rewrite(rows):
-        found = rows.pop("__spans")
+        found = rows.pop(at)
         rows["text"] = list(map(_unpack, rows["text"]))
         for k, f in enumerate(found):
             if f:

@@ -19,7 +19,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import free_names, stage
 from .labelled import fold
 
 #: Findings the forest is fitted on at most, half of each class (a hash chooses among more).
@@ -54,6 +54,8 @@ _UNIT = (rf"({_PEM}{_PEM_BODY}[^{_W}]*"
 #: Values in a word: groups 1 private key, 3 quoted, 4 plain, 5 after Bearer, 6 any other run.
 _VALUES = rf"{_PEM}({_PEM_BODY})|{_ASSIGN}(?:{_QUOTED}\2|{_PLAIN})|{_BEARER}|({_JWT}|{_TOKEN})"
 _ANY = f"{_PEM}|{_ASSIGN}|{_BEARER}|{_TOKEN}"
+#: What a text with a candidate has.
+_MAY = rf"[=:]|(?<![{_CHARS}])[{_CHARS}]{{{LEAST_LENGTH}}}|(?i:bearer)"
 #: Key formats that prove a secret wherever they stand.
 _FORMATS = (r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|github_pat_\w{22,}|glpat-[\w\-]{20,}"
             r"|xox[abeprs]-[\w\-]{10,}|(?:sk|rk)_(?:live|test)_\w{16,}|sk-[A-Za-z0-9_\-]{20,}|AIza[\w\-]{35}|npm_[A-Za-z0-9]{36}"
@@ -72,7 +74,7 @@ def candidates(docs: DataFrame) -> DataFrame:
     """
     path = next((F.col(c) for c in ("path", "source") if c in docs.columns), F.lit(""))
     base = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.coalesce(path.cast("string"), F.lit("")).alias("path"), "text")
-    base = base.filter(F.col("text").rlike(rf"[=:]|(?<![{_CHARS}])[{_CHARS}]{{{LEAST_LENGTH}}}"))
+    base = base.filter(F.col("text").rlike(_MAY))
 
     def look(words: Column) -> Column:
         numbered = F.transform(words, lambda w, i: F.struct(i.alias("at"), w.alias("word")))
@@ -190,20 +192,24 @@ def scan(docs: DataFrame, dictionary: DataFrame, findings=rule_labels, threshold
 def redact(docs: DataFrame, found: DataFrame, mark: str = "[secret]") -> DataFrame:
     """``docs`` with every value of ``found`` that is a secret replaced in the texts it was
     found in; all rows and columns stay.  A short value goes only from the word it was found in."""
+    own, key, values, short = free_names(docs, "own", "key", "values", "short")
     long = F.length("value") >= LEAST_LENGTH
     edged = F.concat(F.lit(r"(?<![A-Za-z0-9])\Q"), F.replace("value", F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E(?![A-Za-z0-9])"))
-    per_text = (found.filter("is_secret").groupBy(F.col("text_key").alias("__key"))
-                .agg(F.sort_array(F.collect_set(F.when(long, F.struct(F.length("value").alias("n"), "value"))), asc=False).alias("__values"),
-                     F.sort_array(F.collect_set(F.when(~long, F.struct("at", F.length("value").alias("n"), edged.alias("edged")))), asc=False).alias("__short")))
+    per_text = (found.filter("is_secret").groupBy(F.col("text_key").alias(key))
+                .agg(F.sort_array(F.collect_set(F.when(long, F.struct(F.length("value").alias("n"), "value"))), asc=False).alias(values),
+                     F.sort_array(F.collect_set(F.when(~long, F.struct("at", F.length("value").alias("n"), edged.alias("edged")))), asc=False).alias(short)))
     # the words as in candidates, each with the white space before it
     words = F.regexp_extract_all("text", F.lit(f"[{_W}]*{_UNIT}"), F.lit(0))
-    one = lambda w, i: F.aggregate(F.filter("__short", lambda v: v["at"] == i), w, lambda t, v: F.regexp_replace(t, v["edged"], F.lit(mark)))
-    in_place = F.when(F.size("__short") == 0, F.col("text")).otherwise(
+    one = lambda w, i: F.aggregate(F.filter(short, lambda v: v["at"] == i), w, lambda t, v: F.regexp_replace(t, v["edged"], F.lit(mark)))
+    in_place = F.when(F.size(short) == 0, F.col("text")).otherwise(
         F.concat(F.array_join(F.transform(words, one), ""), F.regexp_extract("text", rf"[{_W}]*\z", 0)))
-    clean = F.aggregate("__values", in_place, lambda text, v: F.replace(text, v["value"], F.lit(mark)))
-    return (docs.join(per_text, F.xxhash64("text") == F.col("__key"), "left")
-            .withColumn("text", F.when(F.col("__values").isNull(), F.col("text")).otherwise(clean))
-            .select(*[F.col(f"`{c}`") for c in docs.columns]))
+    clean = F.aggregate(values, in_place, lambda text, v: F.replace(text, v["value"], F.lit(mark)))
+    # texts without a candidate are not shuffled; the others meet their secrets in a merge join at every size
+    may = F.coalesce(F.col("text").rlike(_MAY), F.lit(False))
+    joined = docs.filter(may).withColumn(own, F.xxhash64("text")).join(per_text.hint("merge"), F.col(own) == F.col(key), "left")
+    done = joined.withColumn("text", F.when(F.col(values).isNull(), F.col("text")).otherwise(clean))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return done.select(*columns).unionAll(docs.filter(~may).select(*columns))
 
 
 def dictionary_of(texts: DataFrame, column: str = "text") -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_lists, stage
+from .common import free_names, map_lists, stage
 from .components import components
 
 SHINGLE_WORDS = 3
@@ -88,18 +88,30 @@ def forest_of_tile(home: np.ndarray, guests: np.ndarray, radius: int, block: int
     lo = np.array([counts[a:b].min(axis=0) for a, b in zip(starts, ends)])
     hi = np.array([counts[a:b].max(axis=0) for a, b in zip(starts, ends)])
     label = np.arange(len(both))
+
+    def roots(x: np.ndarray) -> np.ndarray:
+        """The trees' roots; paths are shortened on the way."""
+        r = label[x]
+        while True:
+            up = label[r]
+            if np.array_equal(up, r):
+                break
+            r = up
+        label[x] = r
+        return r
+
     for i in range((len(home) + block - 1) // block):
         apart = np.maximum(0, np.maximum(lo[i] - hi[i:], lo[i:] - hi[i])).sum(axis=1)
         for j in i + np.flatnonzero(apart <= radius):
             near = np.bitwise_count(both[starts[i]:ends[i], None] ^ both[None, starts[j]:ends[j]]) <= radius
             x, y = np.nonzero(near)
-            a, b = label[x + starts[i]], label[y + starts[j]]
+            a, b = roots(x + starts[i]), roots(y + starts[j])
             while (differ := a != b).any():
-                k = int(np.argmax(differ))
-                keep, gone = sorted((int(a[k]), int(b[k])))
-                label[label == gone] = keep
+                # every larger root hangs on one of its smaller neighbours; again until none is left
                 a, b = a[differ], b[differ]
-                a, b = np.where(a == gone, keep, a), np.where(b == gone, keep, b)
+                label[np.maximum(a, b)] = np.minimum(a, b)
+                a, b = roots(a), roots(b)
+    label = roots(np.arange(len(both)))
     other = np.flatnonzero(label != np.arange(len(both)))
     both = both.view("<i8")
     return list(zip(both[label[other]].tolist(), both[other].tolist()))
@@ -176,10 +188,12 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, radius:
 
 def drop_near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
     """One row of every component stays: the row of its component_id.  Rows without a
-    doc_id stay; of rows repeating the kept doc_id, one stays."""
+    doc_id stay; of rows repeating the kept doc_id, one stays.  All columns stay."""
+    id_, rows = free_names(docs, "id", "rows")
     found = near_duplicates(docs, shingle_words, radius)
-    keep = stage(found.filter("doc_id = component_id").groupBy(F.col("doc_id").alias("__keep"))
-                 .agg(F.count(F.lit(1)).alias("__rows")), "simhash-kept")
-    kept = docs.join(keep, F.col("doc_id") == F.col("__keep"))
-    one = kept.filter("__rows = 1").unionByName(kept.filter("__rows > 1").dropDuplicates(["__keep"]))
-    return one.drop("__keep", "__rows").unionByName(docs.filter("doc_id is null"))
+    keep = stage(found.filter("doc_id = component_id").groupBy(F.col("doc_id").alias(id_))
+                 .agg(F.count(F.lit(1)).alias(rows)), "simhash-kept")
+    # as many ids as documents: a merge join at every size, no broadcast of what happens to be small
+    kept = docs.join(keep.hint("merge"), F.col("doc_id") == F.col(id_))
+    one = kept.filter(F.col(rows) == 1).unionByName(kept.filter(F.col(rows) > 1).dropDuplicates([id_]))
+    return one.drop(id_, rows).unionByName(docs.filter("doc_id is null"))
