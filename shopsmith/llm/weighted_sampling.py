@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 from collections import Counter
+from itertools import repeat
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -19,11 +20,18 @@ from pyspark.sql import functions as F
 from .common import map_lists, small_batches
 
 SAMPLES = 128
-#: (word, weight) rows kept per worker (8 bytes a sample each).
+#: (word, weight) rows kept per worker (4 bytes a sample each).
 CACHE_ROWS = 100_000
 
 
-def _gamma_table(bits: int = 20) -> np.ndarray:
+#: Bits of a hash that choose among the shares of a Gamma table (small enough for the cache).
+_BITS = 16
+#: Bits of a sample's mark; a table's rows drawn at once.
+MARK_BITS, _BLOCK = 12, 128
+_MARK = np.uint32((1 << MARK_BITS) - 1)
+
+
+def _gamma_table(bits: int = _BITS) -> np.ndarray:
     """Gamma(2, 1) at the middle of 2 ** bits equal shares: its distribution function
     1 - (1 + x) exp(-x), inverted on a fine grid."""
     x = np.geomspace(1e-6, 60, 400_000)
@@ -35,24 +43,43 @@ _GAMMA = _gamma_table()
 _LN_GAMMA = np.log(_GAMMA)
 
 
+def _mix(x: np.ndarray) -> np.ndarray:
+    """Two rounds of multiply and shift, in place: 32 bits, which processors do many at a time."""
+    x ^= x >> np.uint32(16)
+    x *= np.uint32(0x7FEB352D)
+    x ^= x >> np.uint32(15)
+    x *= np.uint32(0x846CA68B)
+    x ^= x >> np.uint32(16)
+    return x
+
+
 def draw(seeds: np.ndarray, weights: np.ndarray, samples: int) -> np.ndarray:
-    """ln a of each (word seed, weight) and sample, as a float whose lowest 16 bits are the
-    mark of word and t: the least of several floats brings its mark along.
-
-    One 64-bit mix of seed and sample gives r (20 bits), c (20 bits) and b (24 bits)."""
-    x = seeds[:, None] + np.arange(1, samples + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    x ^= x >> np.uint64(31)
-    r = _GAMMA[x >> np.uint64(44)]
-    ln_c = _LN_GAMMA[x >> np.uint64(24) & np.uint64(0xFFFFF)]
-    b = ((x & np.uint64(0xFFFFFF)).astype(np.float32) + np.float32(0.5)) * np.float32(2.0 ** -24)
-    t = np.floor(np.log(weights.astype(np.float32))[:, None] / r + b)
-    ln_a = ln_c - r * (t - b + 1)
-    mark = seeds[:, None] ^ (t.astype(np.int64).view(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    mark = (mark ^ (mark >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    bits = ln_a.astype(np.float64).view(np.uint64) & ~np.uint64(0xFFFF)
-    return (bits | mark >> np.uint64(48)).view(np.float64)
+    """ln a of each (word seed, weight) and sample, as a 32-bit float whose lowest 12 bits are
+    the mark of word and t: the least of several floats brings its mark along.
+
+    Either half of a word's 64-bit seed is mixed with the sample's number: one gives r and c
+    (16 bits each), the other b (24 bits).  Most words stand once in their text: for weight 1,
+    t is 0 whatever r is."""
+    number = np.arange(1, samples + 1, dtype=np.uint32)
+    x = _mix((seeds >> np.uint64(32)).astype(np.uint32)[:, None] + number * np.uint32(0x9E3779B9))
+    r = _GAMMA[x >> np.uint32(16)]
+    ln_a = _LN_GAMMA[x & np.uint32(0xFFFF)]
+    low = seeds.astype(np.uint32)[:, None]
+    # b - 1, in (-1, 0)
+    b = (_mix(low + number * np.uint32(0x85EBCA77)) >> np.uint32(8)).astype(np.float32)
+    b -= np.float32(16777215.5)
+    b *= np.float32(2.0 ** -24)
+    mark = low
+    if (weights != 1).any():
+        t = np.floor(np.log(weights.astype(np.float32))[:, None] / r + (b + np.float32(1)))
+        b -= t
+        mark = low ^ (t.astype(np.int32).view(np.uint32) * np.uint32(0x9E3779B1))
+    b *= r
+    ln_a += b
+    bits = ln_a.view(np.uint32)
+    bits &= ~_MARK
+    bits |= _mix(mark ^ np.uint32(0x5BD1E995)) & _MARK
+    return ln_a
 
 
 class Sampler:
@@ -60,33 +87,43 @@ class Sampler:
 
     def __init__(self, samples: int = SAMPLES, rows: int = CACHE_ROWS):
         self.samples, self.rows, self.place = samples, rows, {}
-        self.drawn = np.empty((rows, samples))
-
-    def _fill(self, keys) -> None:
-        import xxhash
-        keys = [k for k in keys if k not in self.place]
-        for at in range(0, len(keys), 512):
-            part = keys[at:at + 512]
-            first = len(self.place)
-            seeds = np.array([xxhash.xxh64_intdigest(w, 11) for w, _ in part], np.uint64)
-            self.drawn[first:first + len(part)] = draw(seeds, np.array([n for _, n in part]), self.samples)
+        self.drawn = np.empty((rows, samples), np.float32)
+
+    def _fill(self, keys: list, seeds: list, weights: np.ndarray) -> np.ndarray:
+        """Draw the rows of ``keys`` into the table; the least of them in each sample."""
+        best = np.full(self.samples, np.inf, np.float32)
+        seeds = np.array(seeds, np.uint64)
+        for at in range(0, len(keys), _BLOCK):
+            part, first = keys[at:at + _BLOCK], len(self.place)
+            rows = draw(seeds[at:at + _BLOCK], weights[at:at + _BLOCK], self.samples)
+            self.drawn[first:first + len(part)] = rows
             self.place.update(zip(part, range(first, first + len(part))))
+            np.minimum(best, rows.min(axis=0), out=best)
+        return best
 
     def signature(self, bag: Counter) -> np.ndarray:
-        """One 16-bit mark a sample; all 0xFFFF for an empty bag."""
-        best = np.full(self.samples, np.inf)
-        keys = list(bag.items())
-        step = self.rows // 2
-        for at in range(0, len(keys), step):
-            part = keys[at:at + step]
-            if len(self.place) + len(part) > self.rows:
-                self.place.clear()
-            self._fill(part)
-            rows = np.fromiter(map(self.place.__getitem__, part), np.int64, len(part))
-            best = np.minimum(best, self.drawn[rows].min(axis=0))
-        if not keys:
+        """One mark a sample; all 0xFFFF, which no mark is, for an empty bag."""
+        from xxhash import xxh64_intdigest
+        if not bag:
             return np.full(self.samples, 0xFFFF, np.uint16)
-        return (best.view(np.uint64) & np.uint64(0xFFFF)).astype(np.uint16)
+        best = np.full(self.samples, np.inf, np.float32)
+        # words of weight 1, most of all, are drawn apart; their key is the word itself
+        ones = [w for w, n in bag.items() if n == 1]
+        step = self.rows // 2
+        for keys in (ones, [k for k in bag.items() if k[1] != 1]):
+            for at in range(0, len(keys), step):
+                part = keys[at:at + step]
+                if len(self.place) + len(part) > self.rows:
+                    self.place.clear()
+                rows = np.fromiter(map(self.place.get, part, repeat(-1)), np.intp, len(part))
+                known = rows[rows >= 0]
+                if len(known):
+                    np.minimum(best, self.drawn.take(known, axis=0).min(axis=0), out=best)
+                if len(known) < len(part):
+                    new = [part[k] for k in np.flatnonzero(rows < 0).tolist()]
+                    words, weights = (new, np.ones(len(new))) if keys is ones else zip(*new)
+                    np.minimum(best, self._fill(new, [xxh64_intdigest(w, 11) for w in words], np.asarray(weights)), out=best)
+        return (best.view(np.uint32) & _MARK).astype(np.uint16)
 
 
 def text_bag(text: str) -> Counter:
@@ -162,7 +199,8 @@ def neighbour_fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame
     first = first if least is None else first.unionByName(least)
     before = F.create_map(*[F.lit(x) for pair in sorted(lead.items()) for x in pair])
     tails = first.withColumn("part", before[F.col("part")]).withColumn("tail", F.lit(True))
-    rows = (keyed.withColumn("tail", F.lit(False)).unionByName(tails).repartition("part")
+    # each range is a partition of its own
+    rows = (keyed.withColumn("tail", F.lit(False)).unionByName(tails).repartitionById(len(cuts) + 2, F.col("part"))
             .sortWithinPartitions("part", "tail", F.col("doc_id").desc_nulls_last(), "text"))
 
     class Walk:
