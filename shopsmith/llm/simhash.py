@@ -24,7 +24,8 @@ from .components import components
 SHINGLE_WORDS = 3
 RADIUS = 2
 SEED = 42
-#: Fingerprints of a tile that are compared in one task; larger tiles are cut by hash.
+#: Fingerprints of a tile, and of its neighbours, that are compared at a time, about; larger
+#: tiles are cut by hash, and so are their guests.
 TILE_ROWS = 100_000
 #: Rows of a block inside a tile.
 BLOCK = 128
@@ -76,8 +77,9 @@ def _byte_counts(fps: np.ndarray) -> np.ndarray:
     return np.bitwise_count(fps.view(np.uint8).reshape(-1, 8)).astype(np.int16)
 
 
-def forest_of_tile(home: np.ndarray, guests: np.ndarray, radius: int, block: int = BLOCK) -> list[tuple[int, int]]:
-    """Links (root, other) that connect what is linked among ``home`` x (``home`` + ``guests``)."""
+def forest_of_tile(home: np.ndarray, guests: np.ndarray, radius: int, block: int = BLOCK, inner: bool = True) -> list[tuple[int, int]]:
+    """Links (root, other) that connect what is linked among ``home`` x (``home`` + ``guests``),
+    or among ``home`` x ``guests`` alone if not ``inner``."""
     both = np.concatenate([home, guests])
     is_home = np.arange(len(both)) < len(home)
     counts = _byte_counts(both)
@@ -101,8 +103,9 @@ def forest_of_tile(home: np.ndarray, guests: np.ndarray, radius: int, block: int
         return r
 
     for i in range((len(home) + block - 1) // block):
-        apart = np.maximum(0, np.maximum(lo[i] - hi[i:], lo[i:] - hi[i])).sum(axis=1)
-        for j in i + np.flatnonzero(apart <= radius):
+        first = i if inner else -(-len(home) // block)
+        apart = np.maximum(0, np.maximum(lo[i] - hi[first:], lo[first:] - hi[i])).sum(axis=1)
+        for j in first + np.flatnonzero(apart <= radius):
             near = np.bitwise_count(both[starts[i]:ends[i], None] ^ both[None, starts[j]:ends[j]]) <= radius
             x, y = np.nonzero(near)
             a, b = roots(x + starts[i]), roots(y + starts[j])
@@ -117,28 +120,41 @@ def forest_of_tile(home: np.ndarray, guests: np.ndarray, radius: int, block: int
     return list(zip(both[label[other]].tolist(), both[other].tolist()))
 
 
+def groups(fps: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROWS) -> DataFrame:
+    """(tile, cut, slot, fp, home): what is compared together, home rows with each other (in
+    slot 0) and with the guests; about ``tile_rows`` of either in a group, whatever the tile."""
+    keyed = fps.select("fp", _tile(F.col("fp")).alias("tile"))
+    steps = tile_offsets(radius)
+    near = lambda df: df.withColumn("tile", F.explode(F.transform(F.array(*map(F.lit, steps)), lambda s: s + F.col("tile"))))
+    # tiles: at most 17 ** 4 rows whatever the input
+    counted = stage(keyed.groupBy("tile").agg(F.count(F.lit(1)).alias("n")), "tile-sizes")
+    # a tile's guests are all rows of its neighbours and, where it is cut, its own; home rows are
+    # dealt to cuts and guests to slots by hash, so a group has about tile_rows of either
+    many = lambda n: F.greatest(F.lit(1), F.ceil(n / tile_rows)).cast("int")
+    own_cuts = counted.withColumn("cuts", many(F.col("n")))
+    visits = own_cuts.filter("cuts > 1").select("tile", "n")
+    if steps:
+        visits = visits.unionByName(near(counted))
+    visits = visits.groupBy("tile").agg(F.sum("n").alias("guests"))
+    tiles = stage(own_cuts.join(visits, "tile", "left").select("tile", "cuts", many(F.coalesce("guests", F.lit(0))).alias("slots")), "tiles")
+    hashed = lambda k, n: F.pmod(F.xxhash64("fp", F.lit(k)), F.col(n)).cast("int")
+    every = lambda first, n: F.explode(F.sequence(F.lit(first) if isinstance(first, int) else first, F.col(n) - 1))
+    own = keyed.join(F.broadcast(tiles), "tile").withColumn("cut", hashed(0, "cuts"))
+    rows = own.select("tile", "cut", every(0, "slots").alias("slot"), "fp", F.lit(True).alias("home"))
+    below = own.filter("cut + 1 < cuts").select("tile", every(F.col("cut") + 1, "cuts").alias("cut"), hashed(1, "slots").alias("slot"), "fp", F.lit(False).alias("home"))
+    rows = rows.unionByName(below)
+    if steps:
+        rows = rows.unionByName(near(keyed).join(F.broadcast(tiles), "tile").select(
+            "tile", every(0, "cuts").alias("cut"), hashed(1, "slots").alias("slot"), "fp", F.lit(False).alias("home")))
+    return rows
+
+
 def links(fps: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROWS) -> DataFrame:
     """(a, b): links between distinct fingerprints (``fps.fp``, unique) that connect all
     pairs within ``radius`` bits."""
     if not 0 <= radius <= 7:
         raise ValueError("radius must be 0 to 7")
-    keyed = fps.select("fp", _tile(F.col("fp")).alias("tile"))
-    # tiles: at most 17 ** 4 rows whatever the input
-    tiles = stage(keyed.groupBy("tile").agg(F.ceil(F.count(F.lit(1)) / tile_rows).cast("int").alias("cuts")), "tiles")
-    own = keyed.join(F.broadcast(tiles), "tile").withColumn("cut", F.pmod(F.xxhash64("fp"), F.col("cuts")).cast("int"))
-    home = own.select("tile", "cut", "fp", F.lit(True).alias("home"))
-    below = own.filter("cut > 0").select("tile", F.explode(F.sequence(F.lit(0), F.col("cut") - 1)).alias("cut"),
-                                         "fp", F.lit(False).alias("home"))
-    steps = tile_offsets(radius)
-    parts = [home, below]
-    if steps:
-        near = keyed.select("fp", F.explode(F.transform(F.array(*map(F.lit, steps)), lambda s: s + F.col("tile"))).alias("tile"))
-        parts.append(near.join(F.broadcast(tiles), "tile")
-                     .select("tile", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("cut"), "fp", F.lit(False).alias("home")))
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
-    rows = rows.repartition("tile", "cut").sortWithinPartitions("tile", "cut")
+    rows = groups(fps, radius, tile_rows).repartition("tile", "cut", "slot").sortWithinPartitions("tile", "cut", "slot")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches):
@@ -146,20 +162,20 @@ def links(fps: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROWS) -> D
 
         def compare():
             f, h = np.concatenate(fp).view("<u8"), np.concatenate(home)
-            got = forest_of_tile(f[h], f[~h], radius) if h.any() and len(f) > 1 else []
+            got = forest_of_tile(f[h], f[~h], radius, inner=key[1] == 0) if h.any() and len(f) > 1 else []
             return pa.RecordBatch.from_arrays([pa.array([g[k] for g in got], pa.int64()) for k in (0, 1)], schema=schema)
 
         for batch in batches:
-            tile, cut, f, h = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            tile, cut, slot, f, h = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
             both = tile.astype(np.int64) << 32 | cut
-            edges = [0, *(np.flatnonzero(np.diff(both)) + 1), len(both)]
+            edges = [0, *(np.flatnonzero((np.diff(both) != 0) | (np.diff(slot) != 0)) + 1), len(both)]
             for a, b in zip(edges, edges[1:]):
                 if a == b:
                     continue
-                if key is not None and both[a] != key:
+                if key is not None and (both[a], slot[a]) != key:
                     yield compare()
                     fp, home = [], []
-                key = both[a]
+                key = (both[a], slot[a])
                 fp.append(f[a:b])
                 home.append(h[a:b].astype(bool))
         if fp:
