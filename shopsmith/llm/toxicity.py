@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
 
 import numpy as np
@@ -21,8 +22,8 @@ from .common import map_lists, stage
 from .labelled import MAX_TRAIN, held_out, training_labels
 
 THRESHOLD = 0.5
-#: Log-likelihood ratio a lexicon word needs, lexicon size, length that softens short texts.
-LEAST_RATIO, MOST_WORDS, SOFT_LENGTH = 20.0, 1_000, 20
+#: Log-likelihood ratio a lexicon word needs, documents a phrase needs, length that softens short texts.
+LEAST_RATIO, LEAST_DOCUMENTS, SOFT_LENGTH = 20.0, 3, 20
 #: Look-alike letters and the Latin letters they stand for, digits in words.
 LOOKALIKES = dict(zip("аеорсухіјѕһԁԛԝɡӏαεικνορτυχ", "aeopcyxijshdqwgiaeiknoptux"))
 DIGITS = dict(zip("0134578@$!|", "oieastbasii"))
@@ -76,14 +77,18 @@ class Lexicon:
             for w in self.weights:
                 self._automaton.add_word(w, w)
             self._automaton.make_automaton()
-        out, n = [], len(folded)
+        out, n, spans, starts = [], len(folded), [], []
         for end, word in self._automaton.iter(folded):
             a, b = end + 1 - len(word), end + 1
             if a and folded[a - 1].isalpha() or b < n and folded[b].isalpha():
                 continue
-            left = _WORD.findall(folded[max(0, a - 40):a])
-            right = _WORD.search(folded, b, min(n, b + 40))
-            out.append((word, f"{left[-1] if left else ''} {word}", f"{word} {right[0] if right else ''}"))
+            if not spans:  # the text's words, once it has a match
+                spans = [m.span() for m in _WORD.finditer(folded)]
+                starts = [s[0] for s in spans]
+            k = bisect_right(starts, a) - 1
+            left = folded[slice(*spans[k - 1])] if k > 0 else ""
+            right = folded[slice(*spans[k + 1])] if k + 1 < len(spans) else ""
+            out.append((word, f"{left} {word}", f"{word} {right}"))
         return out
 
     def measure(self, text: str | None) -> tuple[float, float]:
@@ -107,6 +112,14 @@ def _ratio(toxic: int, clean: int, n_toxic: int, n_clean: int) -> float:
     return 2 * (out + (clean * math.log(clean / (n_clean * share)) if clean else 0))
 
 
+def _ratio_column(n_toxic: int, n_clean: int) -> F.Column:
+    """``_ratio`` of the columns toxic and clean."""
+    toxic, clean = F.col("toxic").cast("double"), F.col("clean").cast("double")
+    share = (toxic + clean) / (n_toxic + n_clean)
+    both = toxic * F.ln(toxic / (n_toxic * share)) + F.when(clean > 0, clean * F.ln(clean / (n_clean * share))).otherwise(0.0)
+    return F.when(toxic > n_toxic * share, 2 * both).otherwise(0.0)
+
+
 def _odds(toxic: int, clean: int, n_toxic: int, n_clean: int) -> float:
     return math.log((toxic + 0.5) / (n_toxic + 1)) - math.log((clean + 0.5) / (n_clean + 1))
 
@@ -147,15 +160,14 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> Lexicon:
         share = (n_toxic + 0.5) / (n_toxic + n_clean + 1)
         return Lexicon({}, (), (math.log(share / (1 - share)), 0.0, 0.0))
     words = _document_counts(sample, lambda t: set(_WORD.findall(fold(t))))
-    # a word needs some toxic documents to reach the ratio: a bounded number of words can
-    frequent = words.filter(F.col("toxic") >= 3).filter(F.col("toxic") * n_clean > 3 * F.col("clean") * n_toxic)
-    top = frequent.orderBy(F.desc("toxic"), "clean", "item").limit(20 * MOST_WORDS).collect()
-    ranked = sorted(((_ratio(r["toxic"], r["clean"], n_toxic, n_clean), r["item"], r) for r in top), key=lambda x: (-x[0], x[1]))
-    weights = {w: _odds(r["toxic"], r["clean"], n_toxic, n_clean) for ratio, w, r in ranked[:MOST_WORDS] if ratio >= LEAST_RATIO}
+    # every word over the ratio, which at most ``most`` labelled documents bound
+    frequent = words.filter((F.col("toxic") >= LEAST_DOCUMENTS) & (_ratio_column(n_toxic, n_clean) >= 0.99 * LEAST_RATIO)).collect()
+    weights = {r["item"]: _odds(r["toxic"], r["clean"], n_toxic, n_clean) for r in sorted(frequent, key=lambda r: r["item"])
+               if _ratio(r["toxic"], r["clean"], n_toxic, n_clean) >= LEAST_RATIO}
     lexicon = Lexicon(weights)
     phrases = _document_counts(sample, lambda t: {p for h in lexicon.hits(fold(t)) for p in h[1:]})
-    common = phrases.filter((F.col("clean") >= 3) & (F.col("toxic") * n_clean <= F.col("clean") * n_toxic))
-    exceptions = [r["item"] for r in common.orderBy(F.desc("clean"), "item").limit(MOST_WORDS).collect()]
+    common = phrases.filter((F.col("clean") >= LEAST_DOCUMENTS) & (F.col("toxic") * n_clean <= F.col("clean") * n_toxic))
+    exceptions = [r["item"] for r in common.select("item").collect()]  # at most two a lexicon word and sampled document
     lexicon = Lexicon(weights, exceptions)
 
     def run(rows):
@@ -181,7 +193,12 @@ def score_documents(docs: DataFrame, lexicon: Lexicon, threshold: float = THRESH
 
 
 def drop_toxic(docs: DataFrame, lexicon: Lexicon, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that score below ``threshold``, all columns, in place."""
+    """The rows of ``docs`` that score below ``threshold``, all columns, in place.
+
+    A null or empty text collects no weight, so it stays unless most labelled documents are
+    toxic; repeated rows stay or go each; a null doc_id does not matter; columns may have any
+    name; an empty table stays one.
+    """
     def run(rows):
         keep = [lexicon.score(t) < threshold for t in rows["text"]]
         return {c: [v for v, k in zip(values, keep) if k] for c, values in rows.items()}
