@@ -17,8 +17,8 @@ from .common import map_lists
 from .tokens import encoder
 
 WINDOW = 2048
-#: Ids packed together by one task: bounds its memory whatever the partition's size.
-BATCH_IDS = 8_000_000
+#: Ids and rests packed together by one task: they bound its memory whatever the partition's size.
+BATCH_IDS, BATCH_RESTS = 8_000_000, 500_000
 #: Gaps up to this many ids are left as padding rather than filled with a cut.
 SMALL_GAP = 16
 
@@ -166,7 +166,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, keeps_spaces: bool, end_id:
                 if total > full:
                     self.rests.append((doc_id, total, full, ids[4 * full:]))
                     self.size += total - full
-                if self.size >= batch_ids:
+                if self.size >= batch_ids or len(self.rests) >= BATCH_RESTS:
                     self.pack()
             return self.out
 

@@ -35,7 +35,8 @@ def feature_table(docs: DataFrame) -> DataFrame:
 def train(table: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> BoostedTrees:
     """Fit on at most ``most`` labelled documents (that many short rows reach the driver)."""
     some = F.broadcast(training_labels(labels, "quality", most))  # at most ``most`` rows
-    rows = table.join(some, "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").select("x", "label").collect()
+    # of several texts with one id the one with the least statistics counts
+    rows = table.join(some, "doc_id").groupBy("doc_id", "label").agg(F.min("x").alias("x")).orderBy("doc_id").select("x", "label").collect()
     return fit(np.array([r["x"] for r in rows]), np.array([r["label"] for r in rows]))
 
 
