@@ -58,15 +58,22 @@ def parse_model_json(responses: DataFrame, key: str = "url", text_col: str = "te
     another scalar type (a price as text, an id as number) is converted; one that
     cannot be is null (prices 0, as F10)."""
     c = responses.select(key, text_col, cleaned_json(text_col).alias("__json"))
-    parsed = c.withColumn("__r", F.from_json(
-        "__json", _PARSE_SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}))
-    bad = (F.col("__json") == "") | F.col("__r").isNull() | F.col("__r._corrupt_record").isNotNull() \
-        | F.col("__r.product").isNull()
-    good = parsed.filter(~bad).select(key, *[_typed(F.col("__r")[f.name], f.dataType).alias(f.name) for f in _ANSWER.fields])
-    good = good.withColumn("categories", F.coalesce(
-        "categories", F.when(F.col("category").isNotNull(), F.array("category")))).drop("category")
+    raw = F.from_json("__json", _PARSE_SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+
+    def judged(r: Column) -> Column:
+        bad = (F.col("__json") == "") | r.isNull() | r["_corrupt_record"].isNotNull() | r["product"].isNull()
+        record = F.struct(*[(F.coalesce(_typed(r["categories"], _ANSWER["categories"].dataType), F.when(
+            r["category"].isNotNull(), F.array(_typed(r["category"], _ANSWER["category"].dataType)))) if f.name == "categories"
+            else _typed(r[f.name], f.dataType)).alias(f.name) for f in _ANSWER.fields if f.name != "category"])
+        return F.struct(F.coalesce(bad, F.lit(True)).alias("bad"), F.when(~F.coalesce(bad, F.lit(True)), record).alias("record"))
+
+    # bound to a lambda variable, a text is parsed once; written, both results come from that
+    parsed = c.withColumn("__p", F.get(F.transform(F.array(raw), judged), F.lit(0)))
+    only_bad = lambda name: F.when(F.col("__p.bad"), F.col(name)).alias(name)
+    parsed = staged(parsed.select(key, only_bad(text_col), only_bad("__json"), "__p"), "model-records")
+    good = parsed.filter("not __p.bad").select(key, "__p.record.*")
     # an object that is JSON but has no product has no fault; its context is its end
-    rejects = parsed.filter(bad).select(key, text_col, F.nullif(F.col("__json"), F.lit("")).alias("__json")).withColumn("fault_at", json_fault("__json"))
+    rejects = parsed.filter("__p.bad").select(key, text_col, F.nullif(F.col("__json"), F.lit("")).alias("__json")).withColumn("fault_at", json_fault("__json"))
     place = F.substring("__json", F.greatest(F.col("fault_at") - context, F.lit(0)) + 1, F.least(F.col("fault_at"), F.lit(context)) + context)
     rejects = rejects.select(
         key, text_col, F.when(F.col("__json").isNull(), "no JSON object").otherwise("invalid JSON").alias("reason"),

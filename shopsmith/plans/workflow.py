@@ -61,7 +61,7 @@ def run_workflow(pages: DataFrame, existing_categories: DataFrame, existing_bran
                  warehouses: DataFrame, outcomes: DataFrame | None = None, existing_products: DataFrame | None = None,
                  rules: DataFrame | None = None, key: str = "url", existing_skus: DataFrame | None = None,
                  stage_dir: str | None = None, order: str | None = None, spec_fields: DataFrame | None = None,
-                 spec_types: dict[str, str] | None = None) -> WorkflowResult:
+                 spec_types: dict[str, str] | None = None, mark_bodies: bool = False) -> WorkflowResult:
     """E13.  ``outcomes`` (sku_id, seq, status, error) come from the image host;
     without them every planned image counts as associated.  A URL captured several
     times counts once: the capture with the highest ``order`` column (W6).  With
@@ -71,10 +71,12 @@ def run_workflow(pages: DataFrame, existing_categories: DataFrame, existing_bran
 
     Stages are Parquet tables; with ``stage_dir`` (a shared folder for this run) they are
     kept there under their numbers and a second run goes on after the last finished one.  A
-    stage is built again if anything it is made from, stage or input, is not what it was.
+    stage is built again if anything it is made from, stage or input, is not what it was; a
+    page is known by all its columns but the wide ``html``, unless ``mark_bodies`` asks for
+    another pass over the bodies.
     """
     spark = pages.sparkSession
-    sources = {"pages": (pages,), "rules": (rules,), "categories": (existing_categories,), "known_brands": (existing_brands,),
+    sources = {"pages": (pages if mark_bodies else pages.drop("html"),), "rules": (rules,), "categories": (existing_categories,), "known_brands": (existing_brands,),
                "known_products": (existing_products,), "known_skus": (existing_skus,), "outcomes": (outcomes,), "known_fields": (spec_fields,)}
     marks: dict[str, str] = {}
 

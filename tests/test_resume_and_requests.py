@@ -50,6 +50,25 @@ def test_changed_inputs_are_noticed(spark):
     assert ST.load_stage(spark, "report", base, "other") is None
 
 
+def test_a_workflow_notices_other_pages(spark):
+    from shopsmith.plans.workflow import run_workflow
+    from shopsmith.sources.fixtures import CatalogInputs
+    ci = CatalogInputs(spark, "/root/testdata/sf0.001")
+    base = scratch_path(spark, "t-notice")
+    few = ci.product_pages.filter("page_id < 9")
+    renamed = few.withColumn("html", F.replace("html", F.lit('itemprop="name">'), F.lit('itemprop="name">New ')))
+
+    def names(pages, **more):
+        got = run_workflow(pages, ci.existing_categories, ci.existing_brands, ci.warehouses, key="page_id", stage_dir=base, **more).products
+        return sorted(r["name"] for r in got.collect())
+
+    first = names(few)
+    assert names(renamed) == first                      # the bodies were not asked for
+    assert names(renamed, mark_bodies=True) == sorted(f"New {n}" for n in first)
+    assert names(few, mark_bodies=True) == first
+    assert len(names(few.filter("page_id < 5"))) < len(first)
+
+
 def test_request_types(spark):
     rows = [("product", 1, '{"Name":"a","CategoryId":1,"BrandId":2}'), ("product", 2, '{"Name":"a","CategoryId":"1","BrandId":2}'),
             ("product", 3, '{"Name":null,"CategoryId":"1"}'), ("category", 4, '{"Name":"c","FatherCategoryId":1.5}'),
