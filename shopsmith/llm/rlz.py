@@ -28,7 +28,7 @@ WINDOW = 50
 #: Words of the runs whose hashes choose anchors.
 RUN = 8
 #: Word hashes kept per worker.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 100_000
 _STEP = 0x9E3779B97F4A7C15 | 1
 
 

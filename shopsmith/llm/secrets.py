@@ -30,8 +30,10 @@ from .labelled import fold
 #: chooses among more), and seed texts of each form.
 MAX_TRAIN, SEEDS_EACH = 20_000, 40
 TREES, DEPTH, SEED, THRESHOLD = 40, 10, 42, 0.5
-#: Least length of a run that stands alone; what is assigned to a name may be of any length.
-LEAST_LENGTH = 12
+#: Least length of a run that stands alone, and of one that is a plain word (letters of one case,
+#: or capitalised); what is assigned to a name may be of any length.
+LEAST_LENGTH, LEAST_WORD = 12, 16
+_PLAIN_WORD = r"^[^A-Za-z0-9]*+[A-Za-z]?(?:[a-z]*+|[A-Z]*+)[^A-Za-z0-9]*+$"
 _C = "A-Za-z0-9+/_\\-"
 _W = r"\x20\x09-\x0D"
 _WORDS, _SPACED_WORDS = f"[^{_W}]++", f"[{_W}]*+[^{_W}]++"
@@ -95,7 +97,8 @@ def candidates(docs: DataFrame, least_length: int = LEAST_LENGTH) -> DataFrame:
                 prev = near(s["at"], -1)
                 sign = F.right(prev, F.lit(1)).isin("=", ":", ">") | (F.lower(prev).contains("bearer"))
                 line = (F.size(marks["begins"]) > 0) & s["word"].rlike(r"^[A-Za-z0-9+/]{4,}+={0,2}$")
-                return (F.length(s["word"]) >= least_length) | s["word"].rlike("[=:]") | sign | F.coalesce(line, F.lit(False))
+                long = (F.length(s["word"]) >= least_length) & ((F.length(s["word"]) >= LEAST_WORD) | ~s["word"].rlike(_PLAIN_WORD))
+                return long | s["word"].rlike("[=:]") | sign | F.coalesce(line, F.lit(False))
 
             return F.transform(F.filter(numbered, wanted), lambda s: F.struct(
                 s["at"], s["word"], near(s["at"], -1).alias("before"), near(s["at"], -2).alias("before2"), near(s["at"], -3).alias("before3"), near(s["at"], 1).alias("after"),
@@ -133,7 +136,8 @@ def candidates(docs: DataFrame, least_length: int = LEAST_LENGTH) -> DataFrame:
         F.when(F.coalesce("next", F.lit("")) != "", F.array(one(F.when(quote_first, F.col("next")).otherwise(plain(F.col("next"), F.lit(""))), "after", quote_first, F.col("before").contains("=")))).otherwise(F.array()),
         F.when(F.coalesce("token", F.lit("")) != "", F.array(one(F.col("token"), "bearer", quote_first, F.lit(False)))).otherwise(F.array()))
     named = rows.withColumn("own", own).withColumn("all", F.concat("own", F.transform(
-        F.filter("runs", lambda r: ~F.exists("own", lambda o: o["value"].contains(r)) & ~r.rlike(r"^(.)\1*+$|-----")),
+        F.filter("runs", lambda r: ~F.exists("own", lambda o: o["value"].contains(r)) & ~r.rlike(r"^(.)\1*+$|-----")
+                 & ((F.length(r) >= LEAST_WORD) | (F.col("key_block") > 0) | ~r.rlike(_PLAIN_WORD))),
         lambda r: one(r, "run", quote_first, F.lit(False)))))
     values = named.select("doc_id", "text_key", "path", "at", "key_block", "word", "before", "before2", "before3", "after", F.posexplode("all").alias("part", "v"))
     return values.select("doc_id", "text_key", "path", "at", "part", "v.*", "key_block", "word", "before", "before2", "before3", "after").filter("value <> ''")
