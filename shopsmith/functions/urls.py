@@ -162,9 +162,14 @@ def resolve_image_url(c: ColumnOrName, base_url: ColumnOrName) -> Column:
             .otherwise(F.concat(rel_dir, clean_url(u))))
 
 
+# Size markers in image URLs and file names.
+THUMBNAIL_SIZE = r"(?i)(thumb|thumbnail|small|medium)[_\-/]?\d+x\d+"
+FILE_NAME_SIZE = r"(?i)-\d+[wh]?x\d+[wh]?"
+
+
 def full_size_url(c: ColumnOrName) -> Column:
     """thumbnail size markers become ``full``."""
-    return F.regexp_replace(_c(c), r"(?i)(thumb|thumbnail|small|medium)[_\-/]?\d+x\d+", "full")
+    return F.regexp_replace(_c(c), THUMBNAIL_SIZE, "full")
 
 
 def srcset_urls(c: ColumnOrName, need_descriptor: bool = True) -> Column:
@@ -182,6 +187,6 @@ def image_extension(c: ColumnOrName) -> Column:
     path = F.coalesce(url_path(c), F.regexp_extract(_c(c), r"^([^?#]*)", 1))
     last = F.element_at(F.split(path, "/"), -1)
     ext = F.regexp_extract(last, r"[^.](\.[^.]*)$", 1)
-    ext = F.lower(F.regexp_replace(ext, r"(?i)-\d+[wh]?x\d+[wh]?", ""))
+    ext = F.lower(F.regexp_replace(ext, FILE_NAME_SIZE, ""))
     return (F.when(ext.isin(".jpg", ".jpeg"), ".jpg").when(ext == ".png", ".png").when(ext == ".webp", ".webp")
             .when(ext == ".gif", ".gif").when(ext == ".svg", ".svg").otherwise(".jpg"))

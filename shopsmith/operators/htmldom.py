@@ -16,7 +16,7 @@ RAW_TEXT = {"script", "style"}
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "parent", "children", "_index", "facts")
+    __slots__ = ("tag", "attrs", "parent", "children", "_index", "facts", "place", "by_tag", "by_attr")
 
     def __init__(self, tag, attrs, parent):
         self.tag = tag
@@ -25,6 +25,7 @@ class Node:
         self.children = []
         self._index = None
         self.facts = None  # on the root: (tags, attribute names, class tokens) of the page
+        self.place = 0     # number in document order
 
     def elements(self):
         """All elements below this node in document order (computed once)."""
@@ -66,14 +67,21 @@ class _Builder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Node("#root", {}, None)
         self.root.facts = (set(), set(), set())
+        self.root.by_tag, self.root.by_attr, self.noted = {}, {}, 0  # elements in document order
         self.stack = [self.root]
         self.comments = 0
 
     def _note(self, node):
         tags, names, classes = self.root.facts
         tags.add(node.tag)
-        names.update(node.attrs)
-        classes.update(node.classes())
+        self.noted += 1
+        node.place = self.noted
+        self.root.by_tag.setdefault(node.tag, []).append(node)
+        if node.attrs:
+            names.update(node.attrs)
+            classes.update(node.classes())
+            for name in node.attrs:
+                self.root.by_attr.setdefault(name, []).append(node)
 
     def handle_starttag(self, tag, attrs):
         node = Node(tag, {k: (v if v is not None else "") for k, v in attrs}, self.stack[-1])
@@ -234,11 +242,23 @@ def select(root: Node, sel) -> list[Node]:
     chains = [ch for ch in chains if _possible(root, ch)]
     if not chains:
         return []
-    tags = {ch[-1][1][0] for ch in chains}
-    nodes = root.elements()
-    if None not in tags:  # every chain ends in a tag: only those elements can match
-        nodes = [n for n in nodes if n.tag in tags]
-    return [n for n in nodes if any(_match_chain(n, ch) for ch in chains)]
+    if root.facts is None:
+        return [n for n in root.elements() if any(_match_chain(n, ch) for ch in chains)]
+    found = [[n for n in _last(root, ch) if _match_chain(n, ch)] for ch in chains]
+    found = [f for f in found if f]
+    if len(found) < 2:
+        return found[0] if found else []
+    return sorted({id(n): n for f in found for n in f}.values(), key=lambda n: n.place)
+
+
+def _last(root: Node, chain) -> list[Node]:
+    """The page's elements that may be the last of a chain: those with its rarest tag or
+    attribute, in document order."""
+    tag, tests = chain[-1][1]
+    lists = [root.by_attr.get(t[0] if t[0] in ("class", "id") else t[1], ()) for t in tests]
+    if tag:
+        lists.append(root.by_tag.get(tag.lower(), ()))
+    return min(lists, key=len) if lists else root.elements()
 
 
 # Elements that stay although they hold no text.
