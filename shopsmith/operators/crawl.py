@@ -24,7 +24,10 @@ def listing_harvest(listing: DataFrame, max_pages: int | None = None, category:
     """(category, page, item) rows of listing pages -> items kept per category:
     pages before the stop page, where stop = first page that is missing, not 200,
     empty, or adds no item unseen in earlier pages of the category.  ``max_pages``
-    (none by default) also ends a walk."""
+    (none by default) also ends a walk.
+
+    Merge joins throughout: Spark guesses the pages and their new items far smaller than they
+    are, and a broadcast of them would go through the driver."""
     l = listing.filter(F.col(page) >= 1)
     if max_pages is not None:
         l = l.filter(F.col(page) <= max_pages)
@@ -35,12 +38,12 @@ def listing_harvest(listing: DataFrame, max_pages: int | None = None, category:
     new = firsts.groupBy(category, F.col("first_page").alias(page)).agg(F.count(F.lit(1)).alias("n_new"))
     # pages that add something; the walk stops at the first page after one of them (or
     # after page 0) that is not one of them itself
-    good = (pages.filter((F.col("status") == 200) & (F.col("n_items") > 0)).join(new, [category, page])
+    good = (pages.filter((F.col("status") == 200) & (F.col("n_items") > 0)).join(new.hint("merge"), [category, page])
             .select(category, page))
     after = (l.select(category).distinct().withColumn(page, F.lit(0)).unionByName(good)
              .select(category, (F.col(page) + 1).alias(page)))
-    stop = after.join(good, [category, page], "left_anti").groupBy(category).agg(F.min(page).alias("stop_page"))
-    kept = l.join(stop, category).filter(F.col(page) < F.col("stop_page")).filter(F.col(item).isNotNull())
+    stop = after.join(good.hint("merge"), [category, page], "left_anti").groupBy(category).agg(F.min(page).alias("stop_page"))
+    kept = l.join(stop.hint("merge"), category).filter(F.col(page) < F.col("stop_page")).filter(F.col(item).isNotNull())
     return kept.drop("stop_page")
 
 
@@ -50,17 +53,18 @@ def listing_from_pages(pages: DataFrame, pattern: str | None = None) -> DataFram
 
     The page number is the URL's ``page`` parameter, the category the URL without it; other
     pages are none of a listing.  A page captured several times counts once, answered
-    captures first.
+    captures first.  The rows are written once, since a harvest reads them several times.
     """
     number = F.regexp_extract("url", r"[?&]page=(\d+)(?:[&#]|$)", 1)
     listed = pages.withColumn("page", F.nullif(number, F.lit("")).try_cast("int"))
     listed = listed.filter(F.col("page").isNotNull()).withColumn("status", F.coalesce("status", F.lit(200)))
     once = listed.groupBy("url").agg(F.min_by(F.struct("page", "status", "html"), F.struct((F.col("status") != 200), "status", "html")).alias("r")).select("url", "r.*")
     links = product_links(parse_pages(once.filter("status = 200").select("url", "html"), key="url"), "url", pattern)
-    rows = once.select("url", "page", "status").join(links.select("url", F.col("dst").alias("item"), "pos"), "url", "left")
+    # a page's links are exploded from it, so Spark takes them for no more than the pages: no broadcast
+    rows = once.select("url", "page", "status").join(links.select("url", F.col("dst").alias("item"), "pos").hint("merge"), "url", "left")
     # the parameter goes, with the sign before it, or its sign moves to the next one
     plain = F.regexp_replace(F.regexp_replace("url", r"([?&])page=\d+&", "$1"), r"[?&]page=\d+(?=#|$)", "")
-    return rows.select(plain.alias("category_url"), "page", "item", "pos", "status")
+    return staged(rows.select(plain.alias("category_url"), "page", "item", "pos", "status"), "listing")
 
 
 def harvest_first_seen(kept: DataFrame, category: str = "category_no", page: str = "page",

@@ -76,7 +76,7 @@ def staged(df, name: str):
     """Write ``df`` as Parquet in the shared scratch folder and read it back: like
     ``cut_lineage``, but columnar, so readers prune columns and see statistics."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -111,13 +111,13 @@ def folder_names(spark: SparkSession, path: str) -> list[str]:
     return sorted(s.getPath().getName() for s in fs.listStatus(hadoop)) if fs.exists(hadoop) else []
 
 
-def spread(df):
+def spread(df, per_core: int = 1):
     """Use every core for a Python pass: when the input has fewer partitions than
     the cluster's parallelism (a small file is one split), deal its rows out
     round-robin; large inputs keep their scan splits and are not shuffled.
     Meant for scan-like inputs (page tables): their split count is known without
-    running anything."""
+    running anything.  ``per_core``: partitions for each core, so that slow ones even out."""
     target = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
+        return df.repartition(target * per_core)
     return df
