@@ -35,7 +35,9 @@ def stream_pages(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str
         ok = df.filter(F.coalesce(F.col("status"), F.lit(200)) == 200)
         recs = extract_products(ok, key="url")
         if registry:
-            recs = recs.join(register_ids(recs.select("url"), registry, epoch_id, "url", first_id), "url")
+            # every page is a record, so the ids need the URLs alone and pages are parsed once
+            ids = register_ids(ok.select("url"), registry, epoch_id, "url", first_id)
+            recs = recs.join(ids.hint("shuffle_hash"), "url")
         # a folder per batch: a replayed batch rewrites its own rows
         recs.write.mode("overwrite").parquet(f"{out_dir.rstrip('/')}/batch_id={epoch_id}")
 
