@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,15 +67,22 @@ REQUEST_TYPES = {"Name": "string", "FatherCategoryId": "integer", "CategoryId":
 def outbox_problems(outbox: DataFrame) -> DataFrame:
     """B15 on every request body of an outbox: (entity, key, error) of those not fit to send:
     a required field is missing, else the first one of another type."""
-    checked = outbox.filter(F.col("entity").isin(list(_ENTITIES))).withColumn("__value", F.try_parse_json("payload"))
-    field = lambda f: F.try_variant_get("__value", f"$.{f}", "variant")
-    error = F.lit(None).cast("string")
-    for entity, name in _ENTITIES.items():
+    checked = outbox.filter(F.col("entity").isin(list(_ENTITIES)))
+
+    def problem(value):
+        return reduce(lambda error, e: F.when(F.col("entity") == e, one(value, _ENTITIES[e])).otherwise(error), _ENTITIES, F.lit(None).cast("string"))
+
+    def one(value, name):
+        field = lambda f: F.try_variant_get(value, f"$.{f}", "variant")
         missing = [F.when(field(f).isNull() | F.is_variant_null(field(f)), F.lit(f"Missing required field: {f}")) for f in REQUIRED[name]]
         wrong = [F.when(~F.schema_of_variant(field(f)).rlike(f"^{TYPES[REQUEST_TYPES[f]]}$"), F.lit(f"Field '{f}' must be of type {REQUEST_TYPES[f]}"))
                  for f in REQUIRED[name]]
-        error = F.when(F.col("entity") == entity, F.coalesce(*missing, *wrong)).otherwise(error)
-    return checked.select("entity", "key", error.alias("error")).filter("error is not null")
+        return F.coalesce(*missing, *wrong)
+
+    # A body is built and parsed once: as a lambda variable it is bound for all the tests of it,
+    # and the filter stays above the explode, where it cannot repeat them.
+    tested = checked.select("entity", "key", F.explode_outer(F.transform(F.array(F.try_parse_json("payload")), problem)).alias("error"))
+    return tested.filter("error is not null")
 
 
 def _carried(elements: DataFrame, n: int, size: int) -> DataFrame:
