@@ -121,3 +121,15 @@ def spread(df, per_core: int = 1):
     if df.rdd.getNumPartitions() < target:
         return df.repartition(target * per_core)
     return df
+
+
+#: Rows of a narrow table that a task gets to render and parse pages from.
+DEALT_ROWS = 20_000
+
+
+def deal(df, rows: int = DEALT_ROWS):
+    """Narrow rows that are much work each: dealt out over every core several times over, and
+    by their number, not their bytes, as a table grows (a small file is few splits, and a
+    row group of a million rows is one)."""
+    parts = max(4 * df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows))
+    return df.repartition(parts)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .tables import table
-from ..session import spread
+from ..session import deal
 from ..operators.ordering import with_index
 
 
@@ -238,7 +238,7 @@ class CatalogInputs:
     def product_pages(self) -> DataFrame:
         """Shop product pages rendered from ``part`` columns; Spark has to parse them back.
         The narrow rows are dealt out, so that the wide pages need not be."""
-        p = spread(self.products, 4)
+        p = deal(self.products)
         s = lambda c: F.col(c).cast("string")
         html = F.concat(
             F.lit('<!DOCTYPE html><html><head><title>'), F.col("name"),
@@ -264,7 +264,7 @@ class CatalogInputs:
         """Pages of another shop layout, from ``part``: two variants, a list price, no
         breadcrumb; every other page marks its categories in the menu, the rest link one
         in the detail section."""
-        p = self.products
+        p = deal(self.products)
         k = F.col("product_key").cast("string")
         money = lambda add: (F.col("price") + add).cast("decimal(12,2)").cast("string")
         menu = F.concat(F.lit('<nav class="main-menu"><ul><li class="active"><a href="/a">'), F.col("l1"),
@@ -293,7 +293,7 @@ class CatalogInputs:
     def graph_pages(self) -> DataFrame:
         """Pages with nothing but JSON-LD, from ``part``: by product number the product is the
         top object, one of a list, a node of an ``@graph``, or a node of several types there."""
-        p = self.products
+        p = deal(self.products)
         k = F.col("product_key")
         about = F.concat(F.lit('"name":"'), F.col("name"), F.lit('","productID":"'), k.cast("string"), F.lit('","image":["https://img.example.com/product/'),
                          k.cast("string"), F.lit('/ld.jpg"]}'))
