@@ -15,6 +15,7 @@ from ..operators import specs as SP
 from ..operators import html as H
 from ..operators.products import flatten_products
 from ..operators.urlsets import classify_url
+from ..session import staged
 from .catalog import Catalog
 from .q_catalog import _BRANDS, _CAT_VIEWS, _PATHS, _PRODUCTS, _SKUS
 from ..sources.stages import answer_references, export_payloads, spec_requests
@@ -48,7 +49,8 @@ select url, case when product_key % 97 = 0 then 'missing ''product'' field' when
 from v_products""", ("v_products",))
 def q_valid_pages(spark, sf):
     """B14 on extracted records: pages without a body and pages without any name are rejected."""
-    ok, bad = Q.valid_records(H.extract_products(_cat(spark, sf).inputs.broken_pages, key="page_id"))
+    # extracted once for both results
+    ok, bad = Q.valid_records(staged(H.extract_products(_cat(spark, sf).inputs.broken_pages, key="page_id"), "page-records"))
     return ok.select("url", F.lit(None).cast("string").alias("reason")).unionByName(bad.select("url", "reason"))
 
 
