@@ -133,3 +133,9 @@ def deal(df, rows: int = DEALT_ROWS):
     row group of a million rows is one)."""
     parts = max(4 * df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows))
     return df.repartition(parts)
+
+
+def partitions_for(df, rows: int = 250_000) -> int:
+    """Partitions for a shuffle of ``df`` that hold some ``rows`` each, however few bytes these
+    take, and no fewer than the session's."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // rows))

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .tables import table
-from ..session import deal
+from ..session import deal, partitions_for
 from ..operators.ordering import with_index
 
 
@@ -59,10 +59,16 @@ class CatalogInputs:
             "product_key", F.lit(3).alias("level"), F.col("l3").alias("name"))
         return lv1.unionByName(lv2).unionByName(lv3)
 
+    @cached_property
+    def _ranges(self) -> int:
+        return partitions_for(self.t("lineitem"))
+
     @cached_property
     def skus(self) -> DataFrame:
+        # as many partitions as rows ask for: these numbers take few bytes, and the lists and
+        # texts made of them many, so partitions joined by their bytes would have to spill
         li = self.t("lineitem").select("l_partkey", "l_suppkey", "l_extendedprice").filter(
-            F.col("l_partkey") % 10 != 3)
+            F.col("l_partkey") % 10 != 3).repartition(self._ranges, "l_partkey")
         part = self.t("part").select("p_partkey", "p_retailprice")
         # both sides meet by part once; the groups, and lists of a part's SKUs, stay there
         g = (li.join(part.hint("merge"), li.l_partkey == part.p_partkey)
@@ -208,7 +214,7 @@ class CatalogInputs:
         u = aligned[0]
         for df in aligned[1:]:
             u = u.unionByName(df)
-        g = u.groupBy("product_key").agg(
+        g = u.repartition(self._ranges, "product_key").groupBy("product_key").agg(
             F.max("p").alias("p"), *[F.array_sort(F.collect_list(k)).alias(k) for k in ("c", "i", "sp")])
         j = g.filter(F.col("p").isNotNull()).select("product_key", "p.*", "c", "i", "sp").join(
             lists.hint("merge"), F.col("product_key") == F.col("s_key"), "left")
