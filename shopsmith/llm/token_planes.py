@@ -122,27 +122,76 @@ def shard_starts(blocks: DataFrame) -> DataFrame:
     return sizes.select("shard", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("shard_start"))
 
 
-def read_token_files(spark: SparkSession, path: str, kind: str = "byte") -> DataFrame:
-    """The pieces of documents in every block: shard, row (document number in its shard),
-    doc_id, at (ids of the document before the piece), total, position in the shard, ids."""
+def _stored(rows, kind: str):
+    """(shard, piece, position of its first id in the shard, its ids) of blocks' documents."""
+    import zstandard
+    unzip = zstandard.ZstdDecompressor()
+    for shard, first, n, sizes, payload, pieces in zip(*(rows[c] for c in (
+            "shard", "first_id", "n_ids", "plane_bytes", "payload", "pieces"))):
+        ends = np.cumsum([0, *sizes])
+        data = memoryview(from_planes([unzip.decompress(payload[a:b]) for a, b in zip(ends, ends[1:])], n, kind).tobytes())
+        at = 0
+        for p in pieces:
+            yield shard, p, first + at, data[4 * at: 4 * (at + p["length"])]
+            at += p["length"]
+
+
+def _read(spark: SparkSession, path: str, kind: str, value: str, of) -> DataFrame:
+    """shard, row, doc_id, at, length, total, position and ``value`` (a name and type), which is
+    ``of`` a piece's ids, for every piece of a document."""
     def run(rows):
-        import zstandard
-        unzip = zstandard.ZstdDecompressor()
-        out = {c: [] for c in ("shard", "row", "doc_id", "at", "total", "position", "ids")}
-        for shard, first, n, sizes, payload, pieces in zip(*(rows[c] for c in (
-                "shard", "first_id", "n_ids", "plane_bytes", "payload", "pieces"))):
-            ends = np.cumsum([0, *sizes])
-            data = from_planes([unzip.decompress(payload[a:b]) for a, b in zip(ends, ends[1:])], n, kind).tobytes()
-            at = 0
-            for p in pieces:
-                for c, v in (("shard", shard), ("row", p["row"]), ("doc_id", p["doc_id"]), ("at", p["at"]),
-                             ("total", p["total"]), ("position", first + at), ("ids", data[4 * at: 4 * (at + p["length"])])):
-                    out[c].append(v)
-                at += p["length"]
+        out = {c: [] for c in ("shard", "row", "doc_id", "at", "length", "total", "position", value.split()[0])}
+        for shard, p, position, ids in _stored(rows, kind):
+            for column, v in zip(out.values(), (shard, p["row"], p["doc_id"], p["at"], p["length"], p["total"], position, of(ids))):
+                column.append(v)
         return out
 
     blocks = spark.read.schema(BLOCK_SCHEMA).parquet(path)
-    return map_lists(blocks, run, "shard int, row long, doc_id long, at long, total long, position long, ids binary")
+    return map_lists(blocks, run, f"shard int, row long, doc_id long, at long, length long, total long, position long, {value}")
+
+
+def read_token_files(spark: SparkSession, path: str, kind: str = "byte") -> DataFrame:
+    """The pieces of documents in every block: shard, row (document number in its shard),
+    doc_id, at (ids of the document before the piece), total, position in the shard, ids."""
+    return _read(spark, path, kind, "ids binary", bytes).drop("length")
+
+
+def read_digests(spark: SparkSession, path: str, kind: str = "byte") -> DataFrame:
+    """shard, doc_id, begin (position of its first id in the shard), n_tokens and ids_crc32 of
+    every document.  The files are read once, and of a document's ids only the checksum of
+    each piece goes on: that of a document cut by a block's end is made of its pieces'."""
+    class Join:
+        def __init__(self):
+            self.last = None
+
+        def __call__(self, rows):
+            out = []
+            for shard, row, doc_id, length, total, position, crc in zip(*(rows[c] for c in ("shard", "row", "doc_id", "length", "total", "position", "ids_crc32"))):
+                if self.last is not None and self.last[:2] == [shard, row]:
+                    self.last[5] = crc32_joined(self.last[5], crc, 4 * length)
+                else:
+                    out.append(self.last)
+                    self.last = [shard, row, doc_id, position, total, crc]
+            return self.columns(out)
+
+        def finish(self):
+            return self.columns([self.last])
+
+        @staticmethod
+        def columns(found):
+            found = [r for r in found if r is not None]
+            return dict(zip(("shard", "row", "doc_id", "begin", "n_tokens", "ids_crc32"), zip(*found))) if found else None
+
+    pieces = _read(spark, path, kind, "ids_crc32 long", zlib.crc32)
+    ordered = pieces.repartition("shard", "row").sortWithinPartitions("shard", "row", "at").select(
+        "shard", "row", "doc_id", "length", "total", "position", "ids_crc32")
+    return map_lists(ordered, Join, "shard int, row long, doc_id long, begin long, n_tokens long, ids_crc32 long").drop("row")
+
+
+def crc32_joined(first: int, second: int, n: int) -> int:
+    """The CRC-32 of some bytes and ``n`` more after them, from the two CRC-32s."""
+    zeros = bytes(n)
+    return zlib.crc32(zeros, first) ^ zlib.crc32(zeros) ^ second
 
 
 def token_file_digests(docs: DataFrame, tokenizer: str, keeps_spaces: bool, end_id: int = 0) -> DataFrame:
@@ -150,23 +199,6 @@ def token_file_digests(docs: DataFrame, tokenizer: str, keeps_spaces: bool, end_
     spark = docs.sparkSession
     path = scratch_path(spark, "token-planes")
     write_token_files(docs, path, tokenizer, keeps_spaces, end_id)
-    pieces = read_token_files(spark, path)
-    whole = F.octet_length("ids") == 4 * F.col("total")
-    ready = pieces.filter(whole).select("shard", "row", "doc_id", F.col("position").alias("begin"),
-                                        F.col("total").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
-
-    def join(key, pdf):
-        import pandas as pd
-        pdf, crc = pdf.sort_values("at"), 0
-        for data in pdf["ids"]:
-            crc = zlib.crc32(data, crc)
-        p = pdf.iloc[0]
-        return pd.DataFrame({"shard": [p["shard"]], "row": [p["row"]], "doc_id": pd.array([p["doc_id"]], "Int64"),
-                             "begin": [p["position"]], "n_tokens": [p["total"]], "ids_crc32": [crc]})
-
-    # a document that ends in a later block: at most one group of pieces for each block
-    cut = pieces.filter(~whole).groupBy("shard", "row").applyInPandas(
-        join, "shard int, row long, doc_id long, begin long, n_tokens long, ids_crc32 long")
     blocks = spark.read.schema(BLOCK_SCHEMA).parquet(path)
-    return (ready.unionByName(cut).join(F.broadcast(shard_starts(blocks)), "shard")  # a row per shard
+    return (read_digests(spark, path).join(F.broadcast(shard_starts(blocks)), "shard")  # a row per shard
             .select("doc_id", (F.col("begin") + F.col("shard_start")).alias("start"), "n_tokens", "ids_crc32"))

@@ -26,6 +26,7 @@ ODD_SPACE = [chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in
 DOUBLE = ("  ", " \n", "\n ", "\n\n")
 _LETTERS, _PUNCT = "A-Za-zÀ-ÖØ-öø-ÿ", r"!-&(-/:-@\[-`{-~"
 PLAIN = re.compile(rf"(\n)?([{_LETTERS}]+)([{_PUNCT}]*)|(\n)?([{_PUNCT}]+)")
+WORD, MARKS = re.compile(f"[{_LETTERS}]+"), "".join(c for c in map(chr, range(128)) if re.match(f"[{_PUNCT}]", c))
 
 
 def byte_symbols() -> list[str]:
@@ -42,14 +43,14 @@ def byte_symbols() -> list[str]:
     return out
 
 
-_TABLE = {b: s for b, s in enumerate(byte_symbols()) if chr(b) != s}
-_SPACE = _TABLE[32]
+_SYMBOLS = byte_symbols()
+_SPACE = _SYMBOLS[32]
 
 
 def to_symbols(piece: str) -> str:
     if piece.isascii() and piece.isprintable():
         return _SPACE + piece[1:] if piece[0] == " " else piece
-    return piece.encode("utf-8").decode("latin-1").translate(_TABLE)
+    return "".join([_SYMBOLS[b] for b in piece.encode("utf-8")])
 
 
 class PartCache(dict):
@@ -113,20 +114,28 @@ class PartEncoder:
     def __init__(self, path: str, keeps_spaces: bool):
         self.tok, self.keeps_spaces = load_tokenizer(path), keeps_spaces
         self.cache = PartCache(self._after_space if keeps_spaces else self._part)
+        self.marks = PartCache(lambda marks: self._ids([marks]))
+        self.id_bytes = [i.to_bytes(4, "little") for i in range(max(self.tok.get_vocab(True).values(), default=-1) + 1)]
 
     def _after_space(self, part: str) -> bytes:
+        word = part.rstrip(MARKS)
+        # most parts are a word, or a word that may be known already and the marks after it
+        if word.isalpha() and (word.isascii() or WORD.fullmatch(word)):
+            return self._ids([" " + word]) if len(word) == len(part) else self.cache[word] + self.marks[part[len(word):]]
         return self._part(part if part[0] == "\n" else " " + part)
 
+    def _ids(self, pieces: list[str]) -> bytes:
+        tokenize = self.tok.model.tokenize
+        known = self.id_bytes
+        return b"".join([known[t.id] for p in pieces for t in tokenize(to_symbols(p if self.keeps_spaces else p.lower()))])
+
     def _part(self, part: str) -> bytes:
         pieces = plain_pieces(part.removeprefix(" "))
         if pieces is None:
-            ids = self.tok.encode(part, add_special_tokens=False).ids
-        else:
-            if part[0] == " ":
-                pieces[0] = " " + pieces[0]
-            tokenize = self.tok.model.tokenize
-            ids = [t.id for p in pieces for t in tokenize(to_symbols(p if self.keeps_spaces else p.lower()))]
-        return array("I", ids).tobytes()
+            return array("I", self.tok.encode(part, add_special_tokens=False).ids).tobytes()
+        if part[0] == " ":
+            pieces[0] = " " + pieces[0]
+        return self._ids(pieces)
 
     def encode(self, text: str | None) -> bytes:
         if not text:

@@ -94,6 +94,26 @@ def test_documents_across_blocks(spark, tmp_path):
     assert starts == [sum(sizes[:k]) for k in range(len(sizes))]
 
 
+def test_checksums_of_cut_documents(spark, tmp_path):
+    path, out = tokenizer_file("byte_bpe_50k.json"), str(tmp_path / "planes")
+    token_planes.write_token_files(spark.createDataFrame(ROWS, SCHEMA), out, path, True, 0, block_ids=64)
+    read = token_planes.read_digests(spark, out)
+    tok = load_tokenizer(path)
+    want = [tok.encode(r[1] or "", add_special_tokens=False).ids + [0] for r in ROWS]
+    assert sorted((r["n_tokens"], r["ids_crc32"]) for r in read.collect()) == sorted(
+        (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())) for ids in want)
+    for a, b in ((b"", b"x"), (b"ab", b""), (b"abc", b"d" * 1000)):
+        assert token_planes.crc32_joined(zlib.crc32(a), zlib.crc32(b), len(b)) == zlib.crc32(a + b)
+
+
+def test_a_known_word_is_not_tokenized_again_with_its_marks():
+    enc = PartEncoder(tokenizer_file("byte_bpe_50k.json"), True)
+    asked, ids = [], enc._ids
+    enc._ids = lambda pieces: asked.append(pieces) or ids(pieces)
+    enc.encode("x thonst thonst, thonst. élan élan!")
+    assert asked == [["x"], [" thonst"], [","], ["."], [" élan"], ["!"]]
+
+
 def test_encode_documents_edge_rows(spark):
     got = encode_documents(spark.createDataFrame(ROWS, SCHEMA), tokenizer_file("word_bpe_49k.json")).collect()
     assert len(got) == len(ROWS) and {r["n_tokens"] for r in got if r["doc_id"] in (1, 2)} == {0}
