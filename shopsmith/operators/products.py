@@ -11,10 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import (extract_id, normalize_brand_name, short_description, sku_list_price,
-                              sku_price)
+                              sku_price, strip)
 from ..session import staged
 from .ordering import assign_ids
-from .tree import category_path, resolve_brand, resolve_category
+from .tree import brand_keys, category_path, lower_path, path_categories
 
 
 def flatten_products(records: DataFrame, key: str = "url") -> dict[str, DataFrame]:
@@ -37,6 +37,20 @@ def products_last_wins(records: DataFrame, order: str | None = None, key: str =
     return records.groupBy(key).agg(last.alias("__r")).select(key, "__r.*")
 
 
+def last_of_repeated(records: DataFrame, key: str = "url") -> DataFrame:
+    """``products_last_wins`` without an order, for records that are written down: they are read
+    more than once.  Keys that repeat are found from hashes of the keys alone, and only their
+    rows are shuffled and compared; rows that share no more than a hash stay apart there too."""
+    h = F.xxhash64(key).alias("__h")
+    many = staged(records.select(h).groupBy("__h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("__h"), "repeated-keys")
+    rows = records.select(key, *[c for c in records.columns if c != key])
+    if many.isEmpty():
+        return rows
+    marked = rows.withColumn("__h", h)
+    return (marked.join(many, "__h", "left_anti").drop("__h")
+            .unionByName(products_last_wins(marked.join(many, "__h", "left_semi").drop("__h"), key=key)))
+
+
 def first_of_id(df: DataFrame, preserved: str, order: list[str]) -> DataFrame:
     """Add ``repeats_id``: the row's preserved id is also that of a row before it in
     ``order`` (rows without one never do).  ``df`` is read twice: give it written down.
@@ -67,10 +81,12 @@ def product_rows(records: DataFrame, tree: DataFrame, brands: DataFrame, key: st
         F.coalesce(F.col("product.ShowWithoutStock"), F.lit(True)).alias("show_without_stock"),
         normalize_brand_name(F.coalesce(F.col("brand.Name"), F.lit("Default"))).alias("brand_name"),
         category_path("categories").alias("path"))
-    cat = resolve_category(base.select(key, "path"), tree, key)
-    br = resolve_brand(base.select(key, "brand_name"), brands, key)
-    # products are never broadcast, small as their files may be
-    j = base.join(cat.hint("merge"), key, "left").join(br.hint("merge"), key, "left")
+    # looked up by path and by brand, so products need not be shuffled to meet the dimensions
+    base = base.withColumn("lp", lower_path("path")).withColumn("bkey", F.lower(strip("brand_name")))
+    found = base.join(path_categories(base, tree), "lp", "left").join(brand_keys(brands), "bkey", "left")
+    # a record without a key is no product's
+    own = lambda c: F.when(F.col(key).isNotNull(), F.col(c)).alias(c)
+    j = found.select(*[c for c in base.columns if c not in ("lp", "bkey")], own("category_id"), own("brand_id"))
     reason = (F.when(F.col("category_id").isNull(), F.lit("no_category"))
               .when(F.col("brand_id").isNull(), F.lit("no_brand")))
     j = j.withColumn("reason", reason).withColumn(

@@ -48,7 +48,8 @@ def build_departments(records: DataFrame) -> DataFrame:
 
 def build_category_nodes(records: DataFrame) -> DataFrame:
     """Every distinct path prefix is a node; a one-entry list is its department."""
-    paths = records.select(category_path("categories").alias("path")).filter(F.size("path") > 0)
+    # lists that records share are cleaned once
+    paths = records.select("categories").distinct().select(category_path("categories").alias("path")).filter(F.size("path") > 0)
     nodes = paths.select(F.explode(_prefixes(F.col("path"))).alias("path_arr")).distinct()
     return nodes.select(
         "path_arr",
@@ -123,7 +124,7 @@ def build_category_tree(records: DataFrame, existing_categories: DataFrame) -> D
     after the highest existing id in (level, path) order, parents linked by path."""
     nodes = build_category_nodes(records)
     ex = tree_paths(existing_categories)
-    matched = match_existing_categories(nodes, ex)
+    matched = staged(match_existing_categories(nodes, ex), "category-nodes")  # numbered in several passes
     max_id = existing_categories.agg(F.coalesce(F.max("id"), F.lit(0)).alias("m"))
     with_ids = assign_ids(matched, "existing_id", max_id.first()["m"], ["level", "path"], "id")
     parents = with_ids.select(F.col("path_arr").alias("parent_path"), F.col("id").alias("parent_id"))
@@ -135,56 +136,71 @@ def build_category_tree(records: DataFrame, existing_categories: DataFrame) -> D
 
 def build_brand_dim(records: DataFrame, existing_brands: DataFrame) -> DataFrame:
     """E9 (brands): reuse or create, new ids after the highest existing id by name."""
-    m = match_existing_brands(build_brands(records), existing_brands)
+    m = staged(match_existing_brands(build_brands(records), existing_brands), "brand-names")
     max_id = existing_brands.agg(F.coalesce(F.max("id"), F.lit(0)).alias("m")).first()["m"]
     return assign_ids(m, "existing_id", max_id, ["name"], "id").select("id", "name", "created")
 
 
 def resolve_category(paths: DataFrame, tree: DataFrame, key: str = "url") -> DataFrame:
-    """J3 + J4: category id per product.
+    """J3 + J4: category id per product (null without a ``key``): that of its path."""
+    p = paths.select(key, lower_path("path").alias("lp"))
+    known = F.when(F.col(key).isNotNull(), F.col("category_id"))
+    return p.join(path_categories(p, tree), "lp", "left").select(key, known.alias("category_id"))
+
+
+def lower_path(path: Column | str) -> Column:
+    return F.transform(path, F.lower)
+
+
+def path_categories(paths: DataFrame, tree: DataFrame) -> DataFrame:
+    """(lp, category_id) for every path ``lp`` of ``paths`` (lower case) that has a category;
+    a path that many products share is resolved once.
 
     J3: start at the first path entry that is a department (case-insensitive),
     then take the deepest contiguous match.  Every contiguous sub-path of the
-    product path is joined to the tree paths once: a sub-path matches only if
+    path is joined to the tree paths once: a sub-path matches only if
     all levels above it match (path equality) and, since tree paths begin at a
     department, the smallest matching start is the first department in the
     list; the answer is the longest match at that start.
     J4: with no department in the list (so no J3 match at all) the whole path
     must exist below some department; the lowest department id wins.
     """
-    t = tree.select("id", F.transform("path_arr", F.lower).alias("lpath"), "level")
-    lp = paths.select(key, F.transform("path", F.lower).alias("lp")).filter(F.size("lp") > 0)
+    t = tree.select("id", lower_path("path_arr").alias("lpath"), "level")
+    lp = staged(paths.select("lp").filter(F.size("lp") > 0).distinct(), "paths")
     n = F.size("lp")
     subs = F.flatten(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.transform(
         F.sequence(F.lit(1), n - i), lambda m: F.struct(i.alias("i"), m.alias("m"), F.slice("lp", i + 1, m).alias("sp")))))
-    cand = lp.select(key, F.explode(subs).alias("s")).select(key, "s.i", "s.m", F.col("s.sp").alias("lpath"))
-    # one node per lower-cased path (lowest id) on the small side, so the product
-    # side needs only fixed-width aggregates: smallest start, then longest match
+    cand = lp.select("lp", F.explode(subs).alias("s")).select("lp", "s.i", "s.m", F.col("s.sp").alias("lpath"))
+    # one node per lower-cased path (lowest id): smallest start, then longest match
     tl = t.groupBy("lpath").agg(F.min("id").alias("id"))
     # both fit 32 bits, so one long ranks every (start, length)
     rank = F.col("m").cast("long") - F.col("i").cast("long") * F.lit(1 << 32)
-    direct = cand.join(tl, "lpath").groupBy(key).agg(F.max_by("id", rank).alias("direct_id"))
+    direct = cand.join(tl, "lpath").groupBy("lp").agg(F.max_by("id", rank).alias("direct_id"))
     roots = t.filter(F.col("level") == 1).groupBy(F.element_at("lpath", 1).alias("root")).agg(
         F.min("id").alias("root_id"))
-    # J4 candidates resolved on the dimension side: per tail path the node under the
-    # lowest department; the product side is then a plain left join
+    # J4 candidates: per tail path the node under the lowest department
     tails = (t.filter(F.col("level") >= 2)
              .select(F.col("id").alias("any_id"), F.slice("lpath", 2, F.col("level")).alias("lp"),
                      F.element_at("lpath", 1).alias("root"))
              .join(roots, "root")
              .groupBy("lp").agg(F.min_by("any_id", F.struct("root_id", "any_id")).alias("any_id")))
-    any_root = lp.join(tails, "lp").select(key, "any_id")
-    return (paths.select(key).join(direct, key, "left").join(any_root, key, "left")
-            .select(key, F.coalesce("direct_id", "any_id").alias("category_id")))
+    found = lp.join(direct, "lp", "left").join(tails, "lp", "left").select(
+        "lp", F.coalesce("direct_id", "any_id").alias("category_id")).filter(F.col("category_id").isNotNull())
+    # written down, so that readers know its size
+    return staged(found, "path-categories")
 
 
 def resolve_brand(products: DataFrame, brands: DataFrame, key: str = "url",
                   brand_col: str = "brand_name") -> DataFrame:
     """Case-insensitive trimmed match, lowest id on ties."""
-    b = (brands.select(F.lower(strip("name")).alias("bkey"), F.col("id").alias("brand_id"))
-         .groupBy("bkey").agg(F.min("brand_id").alias("brand_id")))
     p = products.select(key, F.lower(strip(brand_col)).alias("bkey"))
-    return p.join(b, "bkey", "left").select(key, "brand_id")
+    return p.join(brand_keys(brands), "bkey", "left").select(key, "brand_id")
+
+
+def brand_keys(brands: DataFrame) -> DataFrame:
+    """(bkey, brand_id): the lowest id of every brand name in lower case."""
+    return (brands.select(F.lower(strip("name")).alias("bkey"), F.col("id").alias("brand_id"))
+            .groupBy("bkey").agg(F.min("brand_id").alias("brand_id")))
 
 
 def missing_tail(paths: DataFrame, tree: DataFrame, key: str = "url") -> DataFrame:

@@ -100,7 +100,7 @@ def run_workflow(pages: DataFrame, existing_categories: DataFrame, existing_bran
         if order:
             last = pages.join(pages.groupBy("url").agg(F.max(order).alias(order)), ["url", order], "left_semi")
         recs = H.extract_products(last, key=key, rules=rules)
-        recs = P.products_last_wins(recs.drop(key) if key != "url" else recs)
+        recs = P.last_of_repeated(staged(recs.drop(key) if key != "url" else recs, "extracted"))
         return recs.withColumn("skus", P.fill_sku_ids("skus", "product.ProductId"))
 
     def top(df: DataFrame | None) -> int:
